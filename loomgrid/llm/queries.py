@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import importlib.util
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, quality, secrets, toxicity, url_filter
+from . import bpe, decontaminate, html_text, jaccard, lm_score, quality, secrets, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +50,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
+    op2_ngram_jaccard_join,
+    op3_lm_scoring,
     op4_secret_scan,
     op5_bpe_codec,
     op6_benchmark_decontamination,
@@ -51,8 +63,14 @@ _ALL = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _ALL}
+    """The operators' queries, and the pipeline where its module stands beside the package."""
+    found = {f.__name__: f for f in _ALL}
+    if importlib.util.find_spec("corpus_pipeline") is not None:
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_lm_scoring": lm_score.ORACLE}
