@@ -80,9 +80,10 @@ def track(detections: DataFrame, cfg: TrackerConfig = TrackerConfig(), max_frame
     return detections.groupBy("clip").applyInPandas(run, f"clip {kind}, {_OUT}")
 
 
-def track_stream(detections: DataFrame, cfg: TrackerConfig = TrackerConfig(), idle: str = "10 minutes") -> DataFrame:
-    """``track`` on a stream whose micro-batches hold whole frames in rising order; an idle clip's state ends."""
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+def track_stream(detections: DataFrame, cfg: TrackerConfig = TrackerConfig(), idle: str | None = None) -> DataFrame:
+    """``track`` on a stream whose micro-batches hold whole frames in rising order; a clip's state ends when it was idle so long, or never."""
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
     def run(key, parts, group: GroupState):
         if group.hasTimedOut:
@@ -95,12 +96,13 @@ def track_stream(detections: DataFrame, cfg: TrackerConfig = TrackerConfig(), id
             state, shown = track_step(state, found, cfg)
             out += [(key[0], frame, *s) for s in shown]
         group.update((json.dumps(state),))
-        group.setTimeoutDuration(wait)
+        if wait:
+            group.setTimeoutDuration(wait)
         yield pd.DataFrame(out, columns=["clip", *_COLUMNS])
 
     kind = detections.schema["clip"].dataType.simpleString()
     return detections.groupBy("clip").applyInPandasWithState(
-        run, f"clip {kind}, {_OUT}", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, f"clip {kind}, {_OUT}", "state string", "append", timeout
     )
 
 
