@@ -8,15 +8,16 @@ distinct shingles of five words, or its whole sequence if it has fewer. Two docu
    hashes by range. A document more than a quarter of whose shingles occur nowhere else has no partner,
    whatever the others are, and is done.
 2. The others' sets are built again and equal sets become one representative.
-3. Two sets that link share one of their ``n - ceil(0.75 n) + 1`` least hashes, so those are grouped.
-   Star rounds verify each member of a group against one leader; where all of a group is in one
-   component by then, the group is done.
-4. What is left are groups that several components share. They are cut into blocks; in each block (or
-   pair of blocks) a signature tree, whose nodes hold OR-combined bitmaps and size ranges, is traversed
-   against itself, and pairs of nodes whose largest possible overlap is too small are pruned. Surviving
-   pairs of different components are verified on the sets, a few for each pair of components at first.
+3. With shingles sorted rare ones first, two sets that link share one of their first
+   ``n - ceil(0.75 n) + 1``; chains of such shared shingles make families, which no link leaves. A first
+   round verifies each set against one leader.
+4. Families that still hold several components are cut into blocks. In each block (or pair of blocks)
+   signature trees, whose nodes hold OR-combined bitmaps and size ranges, are traversed against each
+   other, and pairs of nodes whose largest possible overlap is too small are pruned. Surviving pairs of
+   different components are verified on the sets, and only links that join components come out.
 
-No step gathers a group beyond a block, drops a row or compares all pairs of a group.
+No step gathers a group beyond a block or drops a row; sets of a family's main component are not
+compared with each other again.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing, not even with
 each other; rows that share an id are taken as parts of one document, whose component is the least of
@@ -28,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
@@ -213,20 +213,32 @@ def candidate_sets(docs: DataFrame) -> DataFrame:
 
 
 def prefix_rows(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, id, n): the least hashes of each set, of which two sets that link share one."""
-    @F.pandas_udf("array<long>")
-    def least(tokens: pd.Series) -> pd.Series:
-        out = []
-        for raw in tokens:
-            t = np.frombuffer(raw, "<u8")
-            out.append(t[: len(t) - int(need(len(t), percent)) + 1].view(np.int64))
-        return pd.Series(out)
+    """(token, id): shingles that two sets share, of which two sets that link share one at least.
 
-    return sets.select(F.explode(least("tokens")).alias("token"), "id", "n")
+    All sets are sorted the same way, rare shingles first (by how many of the sets hold them, then by
+    hash); two sets that link share one of the first ``n - ceil(0.75 n) + 1``. Shingles of one set only
+    come first and need no row, so their number per set shortens the rest of its prefix.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            for part in tb.slices(iter([batch]), "tokens", 1 << 20):
+                sizes = part.column("n").to_numpy()
+                tokens = np.frombuffer(b"".join(part.column("tokens").to_pylist()), "<u8").view(np.int64)
+                at = np.repeat(np.arange(len(sizes)), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), part.column("id").take(pa.array(at))], names=["token", "id"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    rows = sets.select("n", "tokens", "id").mapInArrow(spread, f"token long, id {kind}")
+    often = rows.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    shared = cut(rows.join(often, "token").groupBy("id").agg(F.collect_list(F.struct("often", "token")).alias("t")), "shared")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("t"))
+    first = F.greatest(first.cast("int"), F.lit(0))
+    return shared.join(sets.select("id", "n"), "id").select("id", F.explode(F.slice(F.array_sort("t"), F.lit(1), first)).alias("p")).select("p.token", "id")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets link, with their overlap."""
+    """The pairs (a, b) whose sets link."""
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"))
 
@@ -234,12 +246,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("left"), batch.column("right")):
-                s, t = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.minimum(np.searchsorted(t, s), max(len(t) - 1, 0))
-                both = int((t[at] == s).sum()) if len(s) else 0
-                keep.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
+                keep.append(_links(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = sets.schema["id"].dataType.simpleString()
@@ -300,108 +307,100 @@ class SignatureTree:
             yield self.order[x][a], other.order[y][b]
 
 
-def tree_pairs(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b, ca, cb) of different components that share a token and may link.
+class Forest:
+    """Union-find over the rows of a block."""
+
+    def __init__(self, labels):
+        first: dict = {}
+        self.parent = [first.setdefault(c, i) for i, c in enumerate(labels)]
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def unite(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        self.parent[max(i, j)] = min(i, j)
 
-    ``rows`` are (token, id, n, c). A group larger than ``BLOCK`` is dealt into blocks by a hash of
-    the id, and each pair of its blocks is a group of its own.
+
+def _links(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    if len(s) > len(t):
+        s, t = t, s
+    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+    both = int((t[at] == s).sum())
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that join what is left apart in each family: rows (family, id, c).
+
+    Sets already in the family's main component share blocks of their own, which are never compared
+    with each other; every other pair of blocks (of at most about ``BLOCK`` sets each) is one group, in
+    which two signature trees are traversed and surviving pairs of different components are verified.
     """
-    @F.pandas_udf("binary")
-    def sign(tokens: pd.Series) -> pd.Series:
-        return pd.Series([signature(np.frombuffer(t, "<u8")).tobytes() for t in tokens])
-
-    signs = cut(sets.join(rows.select("id").distinct(), "id", "left_semi").select("id", sign("tokens").alias("sig")), "signatures")
-    blocks = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("token", "id", "n", "c", "own", other)
-    dealt = dealt.select(
-        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "c"
-    ).join(signs, "id")
+    main = rows.groupBy("family", "c").agg(F.count("*").alias("n"))
+    sizes = main.groupBy("family").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    sizes = sizes.where("inside < n").select("family", "main", blocks(F.col("inside")).alias("k0"), blocks(F.col("n") - F.col("inside")).alias("k1"))
+    # Few sets in all: they are one block.
+    sizes = sizes.withColumn("one", (F.col("k0") == 1) & (F.col("k1") == 1))
+    dealt = rows.join(sizes, "family")
+    deal = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
+    inner = F.col("c") == F.col("main")
+    own = F.when(F.col("one"), 0).when(inner, deal(F.col("k0"))).otherwise(F.col("k0") + deal(F.col("k1")))
+    dealt = dealt.withColumn("own", own)
+    last = F.col("k0") + F.col("k1") - 1
+    others = F.when(F.col("one"), F.array(F.lit(0))).when(inner, F.sequence(F.col("k0"), last)).otherwise(F.sequence(F.lit(0), last))
+    dealt = dealt.select("family", "id", "c", "own", F.explode(others).alias("other"))
+    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c")
+    dealt = dealt.join(sets.select("id", "tokens"), "id")
     kind = sets.schema["id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
         own = table.column("own").to_numpy()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        n = table.column("n").to_numpy().astype(np.int64)
-        bits = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u8").reshape(len(n), -1)
-        ids, c = np.array(table.column("id").to_pylist()), np.array(table.column("c").to_pylist())
-        out = [(ids[:0], ids[:0], c[:0], c[:0])]
+        ids = table.column("id").to_pylist()
+        tokens = [np.frombuffer(t, "<u8") for t in table.column("tokens").to_pylist()]
+        n = np.array([len(t) for t in tokens], np.int64)
+        bits = np.stack([signature(t) for t in tokens])
+        forest = Forest(table.column("c").to_pylist())
         x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        a, b = [], []
         if len(x) and len(y):
             left = SignatureTree(n[x], bits[x])
             right = left if i == j else SignatureTree(n[y], bits[y])
-            for a, b in left.partners(right, percent):
-                a, b = x[a], y[b]
-                keep = (c[a] != c[b]) & ((ids[a] < ids[b]) if i == j else True)
-                a, b = a[keep], b[keep]
-                swap = ids[a] > ids[b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                out.append((ids[a], ids[b], c[a], c[b]))
-        columns = [np.concatenate(p) for p in zip(*out)]
-        return pa.table(dict(zip(("a", "b", "ca", "cb"), map(pa.array, columns))))
-
-    schema = f"a {kind}, b {kind}, ca {kind}, cb {kind}"
-    return dealt.groupBy("token", "i", "j").applyInArrow(run, schema).distinct()
-
-
-def _with_components(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return rows.withColumn("c", F.col("id"))
-    return rows.join(found, "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("c"))
-
+            for p, q in left.partners(right, percent):
+                for u, v in zip(x[p].tolist(), y[q].tolist()):
+                    if u != v and forest.root(u) != forest.root(v) and _links(tokens[u], tokens[v], percent):
+                        forest.unite(u, v)
+                        a.append(ids[u])
+                        b.append(ids[v])
+        return pa.table({"a": pa.array(a, table.schema.field("id").type), "b": pa.array(b, table.schema.field("id").type)})
 
-def _open_groups(rows: DataFrame) -> DataFrame:
-    """Rows (token, id, n, c) of the tokens that more than one component holds."""
-    mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    return rows.join(mixed.select("token"), "token")
+    return dealt.groupBy("family", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def link_components(sets: DataFrame, percent: int = PERCENT, star_rounds: int = 3) -> DataFrame:
+def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, component) of the sets (id, n, tokens) that link with another one."""
-    rows = cut(_open_groups(_with_components(prefix_rows(sets, percent), None)).drop("c"), "prefixes")
     kind = sets.schema["id"].dataType.simpleString()
-    links = sets.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
-    found = None
-    tables = [rows]
-
-    def add(more: DataFrame) -> None:
-        nonlocal links, found
-        links = cut(links.unionByName(more).distinct(), "links")
-        found = components(links)
-        tables.append(links)
-
-    left = cut(_open_groups(_with_components(rows, found)), "open")
-    for turn in range(star_rounds):
-        if left.isEmpty():
-            break
-        leaders = left.groupBy("token").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("l"))
-        star = (
-            left.join(leaders, "token").where(F.col("c") != F.col("l.c"))
-            .groupBy(F.col("id"), F.col("l.id").alias("leader")).agg(F.count("*").alias("times"))
-            .groupBy("id").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
-        )
-        add(verify(star.select(F.col("id").alias("a"), F.col("leader").alias("b")), sets, percent))
-        left = cut(_open_groups(_with_components(rows, found)), "open")
-    if not left.isEmpty():
-        pairs = cut(tree_pairs(left, sets, percent), "pairs")
-        for few in (1, 32, None):
-            if pairs.isEmpty():
-                break
-            now = pairs
-            if few is not None:
-                rank = F.xxhash64("a", "b")
-                picked = pairs.groupBy("ca", "cb").agg(F.slice(F.array_sort(F.collect_set(F.struct(rank.alias("r"), "a", "b"))), 1, few).alias("p")) if few > 1 else pairs.groupBy("ca", "cb").agg(F.array(F.min_by(F.struct(rank.alias("r"), "a", "b"), rank)).alias("p"))
-                now = cut(picked.select(F.explode("p").alias("p")).select("p.a", "p.b"), "picked")
-            add(verify(now, sets, percent))
-            if few is None:
-                break
-            known = found.select(F.col("id").alias("a"), F.col("component").alias("na"))
-            rest = pairs.join(now.select("a", "b"), ["a", "b"], "left_anti").join(known, "a", "left")
-            known = found.select(F.col("id").alias("b"), F.col("component").alias("nb"))
-            rest = rest.join(known, "b", "left").select("a", "b", F.coalesce("na", "a").alias("ca"), F.coalesce("nb", "b").alias("cb"))
-            pairs = cut(rest.where("ca <> cb"), "pairs")
-    return found if found is not None else sets.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
+    rows = cut(prefix_rows(sets, percent), "prefixes")
+    near = cut(
+        rows.join(rows.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last"), "token")
+        .groupBy("id", "lead").agg(F.count("*").alias("times")).where("id <> lead"), "near",
+    )
+    if near.isEmpty():
+        return sets.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
+    # A family: sets that chains of shared prefix shingles connect. Links never leave a family.
+    family = components(near, "id", "lead").withColumnRenamed("component", "family")
+    # One round against a leader each, the one with most shared prefix shingles.
+    star = near.groupBy(F.col("id").alias("a")).agg(F.max_by("lead", F.struct("times", "lead")).alias("b"))
+    links = cut(verify(star, sets, percent), "links")
+    found = components(links)
+    apart = family.join(found, "id", "left").select("family", "id", F.coalesce("component", "id").alias("c"))
+    links = cut(links.unionByName(block_links(apart, sets, percent)), "links")
+    return components(links)
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
