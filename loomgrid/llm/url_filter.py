@@ -71,10 +71,11 @@ def form_of(segment: Column) -> Column:
 
 def templates(paths: DataFrame) -> DataFrame:
     """(host, form, template) for rows (host, form, n) with ``form`` an array of segments."""
-    out = paths.withColumn("node", F.lit("")).withColumn("tail", F.col("form"))
+    out = paths.withColumn("node", F.lit(""))
     for level in range(1, DEPTH + 1):
-        segment = F.get(F.col("form"), F.lit(level - 1))
-        rows = out.withColumn("segment", segment)
+        if out.where(F.size("form") >= level).isEmpty():
+            break
+        rows = out.withColumn("segment", F.get(F.col("form"), F.lit(level - 1)))
         children = rows.where(F.col("segment").isNotNull()).groupBy("host", "node", "segment").agg(F.sum("n").alias("own"))
         nodes = children.groupBy("host", "node").agg(F.sum("own").alias("whole"), F.count("*").alias("kinds"))
         kept = (
@@ -83,7 +84,8 @@ def templates(paths: DataFrame) -> DataFrame:
             .select("host", "node", "segment", F.lit(True).alias("literal"))
         )
         step = F.when(F.col("segment").isNull(), "").when(F.col("literal"), F.concat(F.lit("/"), "segment")).otherwise("/*")
-        out = rows.join(kept, ["host", "node", "segment"], "left").withColumn("node", F.concat("node", step)).drop("segment", "literal")
+        rows = rows.join(kept, ["host", "node", "segment"], "left").withColumn("node", F.concat("node", step))
+        out = cut(rows.drop("segment", "literal"), "url-level")  # a level is a small table of its own
     deeper = F.when(F.size("form") > DEPTH, "/**").otherwise("")
     return out.select("host", "path_form", F.concat("node", deeper).alias("template"), "n", "labelled", "blocked")
 
@@ -98,8 +100,8 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ru
         F.count("*").alias("n"), F.count("given").alias("labelled"), F.count(F.when(F.col("given") == "block", 1)).alias("blocked")
     )
     form = F.filter(F.split("path_form", "/"), lambda s: s != "")
-    sums = cut(sums, "url-forms")
-    found = cut(templates(sums.withColumn("form", form)), "url-templates")
+    sums = cut(sums.withColumn("form", form), "url-forms")
+    found = templates(sums)
     # Branches: templates under one parent. Those that do not differ from it are one template.
     parent = F.regexp_replace("template", r"/[^/]*$", "")
     counts = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
@@ -110,13 +112,12 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ru
     alike = F.coalesce((F.col("labelled") > 0) & (F.abs(share - all_share) <= DIFFER * noise), F.lit(False))
     merged = F.when(alike, F.concat("parent", F.lit("/{*}"))).when(F.col("labelled") == 0, F.concat("parent", F.lit("/{?}"))).otherwise(F.col("template"))
     branch = branch.join(above, ["host", "parent"]).select("host", "template", merged.alias("merged"), "labelled", "blocked")
-    whole = sums.agg(F.sum("labelled").alias("tl"), F.sum("blocked").alias("tb"))
-    prior = F.coalesce(F.try_divide("tb", "tl"), F.lit(0.0))
+    branch = cut(branch, "url-branches")
+    whole = sums.agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).first()
+    prior = F.lit((whole.blocked or 0) / whole.labelled if whole.labelled else 0.0)
     purity = (F.col("blocked") + PRIOR_WEIGHT * prior) / (F.col("labelled") + PRIOR_WEIGHT)
-    # One row of totals joins to every template; both sides are aggregates.
     verdicts = (
         branch.groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-        .join(F.broadcast(whole), F.lit(True))
         .select("host", "merged", ((F.col("labelled") >= MIN_LABELS) & (purity >= THRESHOLD)).alias("rejected"))
     )
     lookup = (
@@ -125,6 +126,7 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ru
         .join(verdicts, ["host", "merged"])
         .select("host", "path_form", F.col("merged").alias("template"), "rejected")
     )
+    lookup = cut(lookup, "url-lookup")
     method = F.when(F.col("rejected"), "block").otherwise("allow")
     return base.join(lookup, ["host", "path_form"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("given", method).alias("verdict"), "template"
