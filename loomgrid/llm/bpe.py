@@ -1,7 +1,8 @@
 """Byte-level BPE through a distinct-word table.
 
-1. ``split``: documents become chunks of about ``CHUNK_BYTES`` of text. A chunk holds its distinct
-   words once and, for each place in its texts, the number of the word there.
+1. Documents become chunks of about ``CHUNK_BYTES`` of text. One scan gives each chunk's distinct
+   words, another the number of the word at each place; both cut the same rows into the same chunks,
+   which check sums prove (an input whose rows change their order has to be written to a table first).
 2. The words of all chunks are dealt out by hash, so that equal words meet; each distinct word is
    encoded once there, and its ids are decoded by a join with the id-to-piece table.
 3. The ids go back to their chunk and are put at their places.
@@ -27,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .store import cut
 
 CHUNK_BYTES = 12 << 20
 CACHE_WORDS = 200_000
@@ -184,74 +184,109 @@ def _wide(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def split(docs: DataFrame, tokenizer: str, buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Chunks: ids of the texts, their numbers of words, the word at each place, and the distinct words.
+def _numbered(docs: DataFrame, tokenizer: str, buckets: int, chunk_bytes: int):
+    """A generator for mapInArrow functions: the numbered chunks of a partition with their distinct words.
 
-    Rows: (chunk, bucket, words, docs, counts, places); bucket -1 holds the places, the other rows
-    the distinct words of a bucket. Word numbers run over the buckets in order.
+    Gives (chunk, ids, data, words of each text, word at each place, bounds of the buckets in the list
+    of distinct words, starts, ends and hashes of those). The word of rank r in bucket b has the
+    number r * buckets + b, and frequent words come first, so that their numbers are small.
     """
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(character_classes(tokenizer))
+    table = docs.sparkSession.sparkContext.broadcast(character_classes(tokenizer))
     special = [t.encode() for t in special_tokens(tokenizer)]
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
+    def chunks(batches):
         from pyspark import TaskContext
 
         classes = np.frombuffer(table.value, np.uint8)
         first = TaskContext.get().partitionId() << 32
         for number, chunk in enumerate(_chunks(batches, chunk_bytes)):
-            ids = chunk.column("doc_id")
             data, offsets = tb.text_buffer(chunk.column("text"))
-            begin, counts = split_texts(data, offsets, classes, special)
+            begin, counts = _split_slices(data, offsets, classes, special)
             end = np.append(begin[1:], len(data))
             hashes = _hash_parts(data, begin, end)
-            known, where, places = np.unique(hashes, return_index=True, return_inverse=True)
+            known, where, places, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            del hashes
             bucket = (known % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rank = np.empty_like(order)
-            rank[order] = np.arange(len(order))
-            lo, hi = begin[where[order]], end[where[order]]
+            order = np.lexsort((known, -often, bucket))
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            text = tb.join_spans(data, lo, hi - lo)
-            at = np.concatenate(([0], np.cumsum(hi - lo))).astype(np.int64)
-            words = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(lo), [None, pa.py_buffer(at), pa.py_buffer(text)]
-            ).cast(pa.binary())
-            full = np.flatnonzero(np.diff(bounds))
-            n = len(full) + 1
+            number_of = np.empty(len(order), np.uint32)
+            number_of[order] = (np.arange(len(order)) - bounds[bucket[order]]) * buckets + bucket[order]
+            lo, hi = begin[where[order]], end[where[order]]
+            yield first + number, chunk.column("doc_id"), data, counts, number_of[places], bounds, lo, hi, known[order]
+
+    return chunks
+
+
+def _check_sums(known: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One number per bucket that depends on its words and their order."""
+    total = np.concatenate(([np.uint64(0)], np.cumsum(tb.mix(known + np.arange(len(known), dtype=np.uint64)), dtype=np.uint64)))
+    return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
+
+
+def split_places(docs: DataFrame, tokenizer: str, buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(chunk, docs, counts, places, sums): texts, their numbers of words, and the word at each place."""
+    chunks = _numbered(docs, tokenizer, buckets, chunk_bytes)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for number, ids, _, counts, places, bounds, _, _, known in chunks(batches):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([first + number] * n, pa.int64()),
-                    pa.array([-1, *full.tolist()], pa.int32()),
-                    pa.concat_arrays(
-                        [
-                            pa.array([None], pa.list_(pa.binary())),
-                            pa.ListArray.from_arrays(pa.array(np.append(bounds[full], len(lo)), pa.int32()), words),
-                        ]
-                    ),
-                    pa.concat_arrays(
-                        [
-                            pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                            pa.nulls(n - 1, pa.list_(ids.type)),
-                        ]
-                    ),
-                    pa.array([_narrow(counts), *[None] * (n - 1)], pa.binary()),
-                    pa.array([_narrow(rank[places]), *[None] * (n - 1)], pa.binary()),
+                    pa.array([number], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                    pa.array([_narrow(counts)], pa.binary()),
+                    pa.array([_narrow(places)], pa.binary()),
+                    pa.array([_check_sums(known, bounds)], pa.list_(pa.int64())),
                 ],
-                names=["chunk", "bucket", "words", "docs", "counts", "places"],
+                names=["chunk", "docs", "counts", "places", "sums"],
             )
 
-    return docs.mapInArrow(
-        run, f"chunk long, bucket int, words array<binary>, docs array<{kind}>, counts binary, places binary"
-    )
+    return docs.mapInArrow(run, f"chunk long, docs array<{kind}>, counts binary, places binary, sums array<long>")
+
+
+def split_words(docs: DataFrame, tokenizer: str, buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(chunk, bucket, sum, lengths, words): the distinct words of a chunk by bucket of their hash."""
+    chunks = _numbered(docs, tokenizer, buckets, chunk_bytes)
+
+    def run(batches):
+        import zstandard
+
+        for number, _, data, _, _, bounds, lo, hi, known in chunks(batches):
+            sums = _check_sums(known, bounds)
+            full = np.flatnonzero(np.diff(bounds)).tolist()
+            parts = [slice(bounds[j], bounds[j + 1]) for j in full]
+            texts = [tb.join_spans(data, lo[p], (hi - lo)[p]) for p in parts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([number] * len(full), pa.int64()),
+                    pa.array(full, pa.int32()),
+                    pa.array(sums[full]),
+                    pa.array([_narrow((hi - lo)[p]) for p in parts], pa.binary()),
+                    pa.array([zstandard.compress(t.tobytes(), 3) for t in texts], pa.binary()),
+                ],
+                names=["chunk", "bucket", "sum", "lengths", "words"],
+            )
+
+    return docs.mapInArrow(run, "chunk long, bucket int, sum long, lengths binary, words binary")
+
+
+def _split_slices(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, special: list[bytes]):
+    """``split_texts`` over slices of whole texts, so that its code points take little memory."""
+    begins, counts, lo = [], [], 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 20), side="right")) - 1)
+        begin, count = split_texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], classes, special)
+        begins.append(begin + offsets[lo])
+        counts.append(count)
+        lo = hi
+    return np.concatenate(begins), np.concatenate(counts)
 
 
 def _hash_parts(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the words, over pieces of the buffer so that the powers stay small."""
     out, lo = np.empty(len(begin), np.uint64), 0
     while lo < len(begin):
-        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + tb.SLICE_BYTES)))
+        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + (1 << 20))))
         a, b = begin[lo], end[hi - 1]
         out[lo:hi] = tb.span_hashes(data[a:b], begin[lo:hi] - a, end[lo:hi] - a)
         lo = hi
@@ -259,13 +294,15 @@ def _hash_parts(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(chunk, bucket, sizes, ids) for rows (chunk, bucket, words) that are dealt out by bucket.
+    """(chunk, bucket, sum, sizes, ids) for rows (chunk, bucket, sum, lengths, words) dealt out by bucket.
 
     Equal words share a bucket and so a task, which encodes each distinct word once.
     """
     specials = {t.encode(): i for t, i in special_tokens(tokenizer).items()}
 
     def run(batches):
+        import zstandard
+
         tok = load(tokenizer)
         tok.encode_special_tokens = True
         cache: dict[bytes, bytes] = {}
@@ -278,7 +315,9 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                words = batch.column("words")[i].as_py()
+                ends = np.cumsum(_wide(batch.column("lengths")[i].as_py()).astype(np.int64)).tolist()
+                raw = zstandard.decompress(batch.column("words")[i].as_py())
+                words = [raw[a:b] for a, b in zip([0, *ends], ends)]
                 fresh = [w for w in words if w not in cache and w not in specials]
                 own = dict(learn(fresh))
                 own |= {w: np.array([specials[w]], "<u4").tobytes() for w in words if w in specials}
@@ -290,13 +329,14 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
                     [
                         batch.column("chunk")[i : i + 1],
                         batch.column("bucket")[i : i + 1],
+                        batch.column("sum")[i : i + 1],
                         pa.array([_narrow(np.array([len(x) // 4 for x in ids]))], pa.binary()),
                         pa.array([_narrow(np.frombuffer(b"".join(ids), "<u4"))], pa.binary()),
                     ],
-                    names=["chunk", "bucket", "sizes", "ids"],
+                    names=["chunk", "bucket", "sum", "sizes", "ids"],
                 )
 
-    return words.mapInArrow(run, "chunk long, bucket int, sizes binary, ids binary")
+    return words.mapInArrow(run, "chunk long, bucket int, sum long, sizes binary, ids binary")
 
 
 def piece_table(tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
@@ -346,25 +386,31 @@ def encode(
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    chunks = cut(split(base, tokenizer, buckets, chunk_bytes), "bpe")
-    words = chunks.where("bucket >= 0").select("chunk", "bucket", "words")
+    words = split_words(base, tokenizer, buckets, chunk_bytes)
     coded = encode_words(words.repartition(buckets, "bucket"), tokenizer)
-    places = chunks.where("bucket < 0").select("chunk", "bucket", "docs", "counts", "places")
+    places = split_places(base, tokenizer, buckets, chunk_bytes)
     pieces, at = piece_table(tokenizer)
     shared = spark.sparkContext.broadcast((pieces, at))
 
     def assemble(places: pa.Table, coded: pa.Table) -> pa.Table:
-        if not places.num_rows:
-            return None
         coded = coded.sort_by("bucket")
-        sizes = [_wide(x.as_py()) for x in coded.column("sizes")]
-        sizes = np.concatenate([np.empty(0, np.int64), *sizes]).astype(np.int64)
+        sums = places.column("sums")[0].values.to_numpy()
+        known = np.zeros(buckets, np.int64)
+        known[coded.column("bucket").to_numpy()] = coded.column("sum").to_numpy()
+        if (known != sums).any():
+            raise RuntimeError("a chunk was read again with other rows; write the input to a table first")
+        by_bucket = [_wide(x.as_py()) for x in coded.column("sizes")]
+        sizes = np.concatenate([np.empty(0, np.int64), *by_bucket]).astype(np.int64)
         ids = [_wide(x.as_py()) for x in coded.column("ids")]
         ids = np.concatenate([np.empty(0, "<u4"), *ids]).astype("<u4")
         first = np.concatenate(([0], np.cumsum(sizes)))
+        # A word's number is its rank in its bucket and the bucket; the buckets' words stand in a row here.
+        held = np.zeros(buckets + 1, np.int64)
+        held[coded.column("bucket").to_numpy() + 1] = [len(x) for x in by_bucket]
+        base = np.cumsum(held)
         place = _wide(places.column("places")[0].as_py()).astype(np.int64)
-        if len(place) and place.max() >= len(sizes):
-            raise RuntimeError("a chunk misses the ids of some of its words")
+        rank, bucket = np.divmod(place, buckets)
+        place = base[bucket] + rank
         counts = _wide(places.column("counts")[0].as_py()).astype(np.int64)
         bounds = np.concatenate(([0], np.cumsum(counts)))
         pieces, at = shared.value
@@ -388,10 +434,4 @@ def encode(
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    empty = pa.table({f.name: pa.nulls(0) for f in []})
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        made = assemble(left, right)
-        return made if made is not None else empty
-
-    return places.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(run, schema)
+    return places.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(assemble, schema)
