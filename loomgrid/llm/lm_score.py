@@ -61,7 +61,7 @@ def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
 def _streams(batches: Iterator[pa.RecordBatch], limit: int):
     """(ids, word hashes, words of each text) of about ``limit`` bytes of text."""
     ids, hashes, sizes, held = [], [], [], 0
-    for part in tb.slices(batches, "text"):
+    for part in tb.slices(batches, "text", 1 << 20):
         data, offsets = tb.text_buffer(part.column("text"))
         data = tb.LOWER[data]
         starts, ends, rows = tb.words(data, offsets, tb.NON_SPACE)
@@ -117,41 +117,58 @@ def score(
     kind = base.schema["doc_id"].dataType.simpleString()
     lists = f"ids array<{kind}>, sizes binary, vocabulary binary, stream binary"
 
-    def scan(batches):
+    def chunks(batches):
+        """Numbered chunks of a partition; the scans below number them alike, as they read the same rows."""
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 32
-        for number, (ids, hashes, sizes) in enumerate(_streams(batches, CHUNK_BYTES)):
+        for number, made in enumerate(_streams(batches, CHUNK_BYTES)):
+            yield first + number, *made
+
+    def list_words(batches):
+        for chunk, ids, hashes, sizes in chunks(batches):
             vocabulary, stream, often = np.unique(hashes, return_inverse=True, return_counts=True)
             frequent = np.argsort(-often, kind="stable")
             rank = np.empty(len(frequent), np.uint32)
             rank[frequent] = np.arange(len(frequent))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([chunk], pa.int64()),
+                    pa.array([-1], pa.int32()),
+                    pa.array([0], pa.int32()),
+                    pa.nulls(1, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                    pa.array([_narrow(sizes)], pa.binary()),
+                    pa.array([vocabulary[frequent].tobytes()], pa.binary()),
+                    pa.array([_narrow(rank[stream])], pa.binary()),
+                ],
+                names=["chunk", "bucket", "n", "counts", *_LISTS],
+            )
+
+    def list_grams(batches):
+        for chunk, _, hashes, sizes in chunks(batches):
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            out = [(number % buckets, 0, None, None)]
             for n in ORDERS:
                 grams = _grams(hashes, n)
                 grams = grams[owner[: len(grams)] == owner[n - 1 :]] if len(grams) else grams
                 known, counts = np.unique(grams, return_counts=True)
                 bounds = np.searchsorted(known, _edges(buckets))
-                for j in np.flatnonzero(np.diff(bounds)).tolist():
-                    part = slice(bounds[j], bounds[j + 1])
-                    out.append((j, n, _pack(known[part]), _narrow(counts[part])))
-            rest = len(out) - 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([first + number] * len(out), pa.int64()),
-                    *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))),
-                    pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.nulls(rest, pa.list_(ids.type))]),
-                    pa.array([_narrow(sizes), *[None] * rest], pa.binary()),
-                    pa.array([vocabulary[frequent].tobytes(), *[None] * rest], pa.binary()),
-                    pa.array([_narrow(rank[stream]), *[None] * rest], pa.binary()),
-                ],
-                names=["chunk", "bucket", "n", "grams", "counts", "ids", "sizes", "vocabulary", "stream"],
-            )
+                full = np.flatnonzero(np.diff(bounds)).tolist()
+                parts = [slice(bounds[j], bounds[j + 1]) for j in full]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([chunk] * len(full), pa.int64()),
+                        pa.array(full, pa.int32()),
+                        pa.array([n] * len(full), pa.int32()),
+                        pa.array([_pack(known[p]) for p in parts], pa.binary()),
+                        pa.array([_narrow(counts[p]) for p in parts], pa.binary()),
+                    ],
+                    names=["chunk", "bucket", "n", "grams", "counts"],
+                )
 
     def add(table: pa.Table) -> pa.Table:
         """The count table of one hash range, handed back to each chunk in the chunk's own order."""
-        parts = [table.filter(pa.compute.equal(table.column("n"), 0)).select(["chunk", "bucket", "n", "counts", *_LISTS])]
+        out = []
         for n in ORDERS:
             rows = table.filter(pa.compute.equal(table.column("n"), n))
             if not rows.num_rows:
@@ -161,10 +178,9 @@ def score(
             _, where = np.unique(np.concatenate(grams), return_inverse=True)
             totals = np.bincount(where, counts).astype(np.int64)[where]
             bounds = np.cumsum([0, *map(len, grams)])
-            back = pa.array([_narrow(np.minimum(totals[a:b], 0xFFFFFFFF)) for a, b in zip(bounds, bounds[1:])], pa.binary())
-            none = [pa.nulls(rows.num_rows, table.schema.field(c).type) for c in _LISTS]
-            parts.append(pa.table([rows.column("chunk"), rows.column("bucket"), rows.column("n"), back, *none], names=parts[0].column_names))
-        return pa.concat_tables(parts)
+            back = [_narrow(np.minimum(totals[a:b], 0xFFFFFFFF)) for a, b in zip(bounds, bounds[1:])]
+            out.append(rows.select(["chunk", "bucket", "n"]).append_column("counts", pa.array(back, pa.binary())))
+        return pa.concat_tables(out)
 
     def finish(table: pa.Table) -> pa.Table:
         head = table.filter(pa.compute.equal(table.column("n"), 0))
@@ -188,9 +204,12 @@ def score(
         ids = head.column("ids").combine_chunks()[0].values
         return pa.table({"doc_id": ids, "n_words": sizes, "n_tri": used[2], "n_bi": used[1], "n_uni": used[0], "value": value})
 
+    grams = base.mapInArrow(list_grams, "chunk long, bucket int, n int, grams binary, counts binary")
+    back = grams.groupBy("bucket").applyInArrow(add, "chunk long, bucket int, n int, counts binary")
+    words = base.mapInArrow(list_words, f"chunk long, bucket int, n int, counts binary, {lists}")
+    # The words' lists skip the first exchange; a chunk whose lists and counts differ in length fails.
     counted = (
-        base.mapInArrow(scan, f"chunk long, bucket int, n int, grams binary, counts binary, {lists}")
-        .groupBy("bucket").applyInArrow(add, f"chunk long, bucket int, n int, counts binary, {lists}")
+        words.unionByName(back, allowMissingColumns=True)
         .groupBy("chunk").applyInArrow(finish, f"doc_id {kind}, n_words long, n_tri long, n_bi long, n_uni long, value double")
     )
     counted = cut(counted, "lm")
