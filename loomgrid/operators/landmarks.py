@@ -16,6 +16,7 @@ from .rank import top_by
 
 def pivot(points: DataFrame, idx: list[int]) -> DataFrame:
     """(subject, p<idx> ...): one struct (x, y, z, valid) for each wanted landmark, by conditional aggregation."""
+    idx = sorted(set(idx))
     value = F.struct("x", "y", "z", "valid")
     return points.where(F.col("idx").isin(idx)).groupBy("subject").agg(
         *(F.first(F.when(F.col("idx") == i, value), ignorenulls=True).alias(f"p{i}") for i in idx)

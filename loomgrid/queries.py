@@ -398,7 +398,8 @@ def size_expr_resolve(spark, d):
     return rows.select("expr", G.size_expr(e, r, unitless=True).alias("size"), G.size_expr(e, r, None, True, True, False).alias("signed"))
 
 
-@query(f"""WITH d AS ({_DET}), g AS (SELECT *, round_even((x2 - x1) * 0.25::DOUBLE, 0)::INT AS dx, round_even((y2 - y1) * 0.25::DOUBLE, 0)::INT AS dy FROM d)
+@query(f"""WITH d AS ({_DET}), c AS (SELECT image_id, ord, x1, y1, least(70, x2) AS x2, least(70, y2) AS y2 FROM d),
+g AS (SELECT *, round_even((x2 - x1) * 0.25::DOUBLE, 0)::INT AS dx, round_even((y2 - y1) * 0.25::DOUBLE, 0)::INT AS dy FROM c)
 SELECT image_id, ord, greatest(0, x1 - dx) AS x1, greatest(0, y1 - dy) AS y1, least(70, x2 + dx) AS x2, least(70, y2 + dy) AS y2 FROM g""")
 def bbox_expand(spark, d):
     b = G.expand_bbox(F.col("box"), F.lit(70), F.lit(70), 0.25)
@@ -434,10 +435,10 @@ def yaw_weights(spark, d):
 
 
 @query(f"""WITH d AS ({_DET}), s AS (SELECT image_id, ord, x2 - x1 AS w, y2 - y1 AS h, (x2 - x1) * (y2 - y1) / 4900.0::DOUBLE AS a, (x1 <= 0)::INT + (y1 <= 0)::INT + (x2 >= 70)::INT + (y2 >= 70)::INT AS t FROM d)
-SELECT image_id, ord, round(0.45 * least(1, least(w, h) / 96.0::DOUBLE) + 0.35 * CASE WHEN a < 0.01 THEN a / 0.01 WHEN a > 0.45 THEN greatest(0, 1 - (a - 0.45) / 0.35) ELSE 1 END
-+ 0.2 * CASE t WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.45 WHEN 3 THEN 0.2 ELSE 0 END, 6)::DOUBLE AS score FROM s""")
+SELECT image_id, ord, round(0.45::DOUBLE * least(1, least(w, h) / 96.0::DOUBLE) + 0.35::DOUBLE * CASE WHEN a < 0.01 THEN a / 0.01 WHEN a > 0.45 THEN greatest(0, 1 - (a - 0.45) / 0.35) ELSE 1 END
++ 0.2::DOUBLE * CASE t WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.45 WHEN 3 THEN 0.2 ELSE 0 END, 8)::DOUBLE AS score FROM s""")
 def face_size(spark, d):
-    return _detections(spark, d).select("image_id", "ord", r6(S.face_size_score(F.col("box"), F.lit(70), F.lit(70))).alias("score"))
+    return _detections(spark, d).select("image_id", "ord", F.round(S.face_size_score(F.col("box"), F.lit(70), F.lit(70)), 8).alias("score"))
 
 
 # Sequences --------------------------------------------------------------------------------------------
@@ -479,7 +480,7 @@ def sample_evenly(spark, d):
 SELECT p_partkey, unnest(CASE WHEN length <= 100 THEN [0] ELSE list_sort(list_distinct(list_append(range(0, length - 99, 50), length - 100))) END) AS start FROM p""")
 def tile_starts(spark, d):
     rows = read(spark, d, "part").select("p_partkey", (64 + F.col("p_partkey") % 500).cast("int").alias("length"))
-    return rows.select("p_partkey", F.explode(Q.tile_starts(F.col("length"), 100, 0.5)).cast("long").alias("start"))
+    return rows.select("p_partkey", F.explode(Q.tile_starts(F.col("length"), 100, 0.5)).alias("start")).select("p_partkey", F.col("start").cast("long").alias("start"))
 
 
 @query("""WITH p AS (SELECT p_partkey, 50 + p_partkey % 60 AS w, 40 + p_size AS h FROM part), s AS (SELECT *, greatest(1, round_even(w * 0.5::DOUBLE, 0)::INT) AS ww, greatest(1, round_even(h * 0.5::DOUBLE, 0)::INT) AS wh FROM p)
@@ -503,13 +504,13 @@ def frame_times(spark, d):
     return read(spark, d, "events").select("event_id", Q.frame_time(F.col("event_id"), F.lit(24.0)).alias("ms"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS k, l_quantity AS v, l_discount * 5 AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount) AS i FROM lineitem),
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS k, l_quantity AS v, l_discount * 3.7::DOUBLE AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount) AS i FROM lineitem),
 f AS (SELECT DISTINCT k, 0::BIGINT AS i, 0.0::DOUBLE AS v, 0.0::DOUBLE AS a FROM l
 UNION ALL SELECT l.k, l.i, CASE WHEN l.a + f.a * (1 - l.a) = 0 THEN 0 ELSE (l.v * l.a + f.v * f.a * (1 - l.a)) / (l.a + f.a * (1 - l.a)) END, l.a + f.a * (1 - l.a) FROM f JOIN l ON l.k = f.k AND l.i = f.i + 1)
-SELECT k AS l_orderkey, round(arg_max(v, i), 4) AS value, round(arg_max(a, i), 4) AS alpha FROM f GROUP BY 1""")
+SELECT k AS l_orderkey, round(arg_max(v, i), 6) AS value, round(arg_max(a, i), 6) AS alpha FROM f GROUP BY 1""")
 def layer_fold(spark, d):
-    layers = read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("idx"), F.col("l_quantity").alias("value"), (F.col("l_discount") * 5).alias("alpha"))
-    return Q.fold_layers(layers, ["l_orderkey"]).select("l_orderkey", F.round("value", 4).alias("value"), F.round("alpha", 4).alias("alpha"))
+    layers = read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("idx"), F.col("l_quantity").alias("value"), (F.col("l_discount") * 3.7).alias("alpha"))
+    return Q.fold_layers(layers, ["l_orderkey"]).select("l_orderkey", r6("value").alias("value"), r6("alpha").alias("alpha"))
 
 
 # Pixels and masks -------------------------------------------------------------------------------------
@@ -570,8 +571,8 @@ def pca_angle(spark, d):
     return masks.pca_angle(_mask(spark, d, 3)).select("mask_id", r6("angle").alias("angle"))
 
 
-@query(f"""WITH RECURSIVE m AS (SELECT * FROM ({_MASK.format(q=2)}) WHERE mask_id = 1), e AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM m a JOIN m b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
-c AS (SELECT x, y, x AS sx, y AS sy FROM m UNION SELECT bx, by, sx, sy FROM c JOIN e ON c.x = ax AND c.y = ay)
+@query(f"""WITH RECURSIVE m AS (SELECT * FROM ({_MASK.format(q=2)}) WHERE mask_id = 1), e AS (SELECT a.x AS ax, a.y AS ay, b.x AS nx, b.y AS ny FROM m a JOIN m b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+c AS (SELECT x, y, x AS sx, y AS sy FROM m UNION SELECT nx, ny, sx, sy FROM c JOIN e ON c.x = ax AND c.y = ay)
 SELECT x, y, min(sy * 1048576 + sx) AS label FROM c GROUP BY 1, 2""")
 def connected_components(spark, d):
     return masks.components(_mask(spark, d, 2).where("mask_id = 1")).select("x", "y", "label")
