@@ -16,11 +16,6 @@ def box(x1, y1, x2, y2) -> Column:
     return F.struct(*(v.alias(n) for v, n in zip(values, CORNERS)))
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def between(x: Column, lo, hi) -> Column:
     """x limited to [lo, hi]."""
     lo, hi = (v if isinstance(v, Column) else F.lit(v) for v in (lo, hi))
@@ -93,47 +88,57 @@ def convert_bbox(values: list[Column], form: str, w: Column, h: Column) -> Colum
     return F.when((x2 > x1) & (y2 > y1), made)
 
 
+def _inside(corners: list[Column], w: Column, h: Column) -> list[Column]:
+    return [between(v, 0, w if c[0] == "x" else h) for v, c in zip(corners, CORNERS)]
+
+
+def _checked(corners: list[Column], *more: Column) -> Column:
+    """Box of the corners; null where it, or another condition, is not valid."""
+    good = (corners[2] > corners[0]) & (corners[3] > corners[1])
+    for m in more:
+        good = good & m
+    return F.when(good, box(*corners))
+
+
 def clamp_bbox(b: Column, w: Column, h: Column) -> Column:
     """Box inside the image; null where nothing is left."""
-    made = box(*(between(b[c], 0, w if c[0] == "x" else h) for c in CORNERS))
-    return let(made, lambda m: F.when((m["x2"] > m["x1"]) & (m["y2"] > m["y1"]), m))
+    return _checked(_inside([b[c] for c in CORNERS], w, h))
+
+
+def _clipped(b: Column, w: Column, h: Column) -> list[Column]:
+    return _inside([F.rint(b[c]).cast("int") for c in CORNERS], w, h)
 
 
 def clip_bbox(b: Column, w: Column, h: Column) -> Column:
     """A detection's box, rounded and clamped."""
-    return clamp_bbox(box(*(F.rint(b[c]).cast("int") for c in CORNERS)), w, h)
+    return _checked(_clipped(b, w, h))
 
 
 def expand_bbox(b: Column, w: Column, h: Column, margin: float) -> Column:
     """Clipped box grown on each side by a rounded share of its size, clipped again."""
-
-    def grow(inner: Column) -> Column:
-        dx, dy = F.rint(width(inner) * margin).cast("int"), F.rint(height(inner) * margin).cast("int")
-        return clamp_bbox(box(inner["x1"] - dx, inner["y1"] - dy, inner["x2"] + dx, inner["y2"] + dy), w, h)
-
-    return let(clip_bbox(b, w, h), grow)
+    x1, y1, x2, y2 = _clipped(b, w, h)
+    dx, dy = F.rint((x2 - x1) * margin).cast("int"), F.rint((y2 - y1) * margin).cast("int")
+    return _checked(_inside([x1 - dx, y1 - dy, x2 + dx, y2 + dy], w, h), x2 > x1, y2 > y1)
 
 
 def expand_to_ratio(b: Column, w: Column, h: Column, ratio: tuple[int, int]) -> Column:
     """Least box of about the ratio that holds ``b`` and lies in the image.
 
-    Its size is the box's, grown along one side; it is centred on the box and moved into the image.
+    Its size is the box's, grown along one side; it is centred on the box and moved into the image. An
+    image that cuts the wanted size may leave the box outside at one end; it has to stay in.
     """
     goal = ratio[0] / ratio[1]
     bw, bh = width(b), height(b)
-    wide = bw / bh >= goal
-    cw = F.when(wide, bw).otherwise(F.ceil(bh * goal).cast("int"))
-    ch = F.when(wide, F.ceil(bw / F.lit(goal)).cast("int")).otherwise(bh)
-    size = F.struct(F.least(F.greatest(cw, bw), w).cast("int").alias("w"), F.least(F.greatest(ch, bh), h).cast("int").alias("h"))
+    # Growing the side that is too short for the ratio never shrinks the other.
+    cw = F.least(F.greatest(bw, F.ceil(bh * goal).cast("int")), w)
+    ch = F.least(F.greatest(bh, F.ceil(bw / F.lit(goal)).cast("int")), h)
 
-    def place(s: Column) -> Column:
-        x = between(F.floor(0.5 * (b["x1"] + b["x2"]) - s["w"] / 2.0).cast("int"), 0, w - s["w"])
-        y = between(F.floor(0.5 * (b["y1"] + b["y2"]) - s["h"] / 2.0).cast("int"), 0, h - s["h"])
-        # An image that cuts the wanted size may leave the box outside at one end; it has to stay in.
-        corner = F.struct(between(x, b["x2"] - s["w"], b["x1"]).alias("x"), between(y, b["y2"] - s["h"], b["y1"]).alias("y"))
-        return let(corner, lambda c: box(c["x"], c["y"], c["x"] + s["w"], c["y"] + s["h"]))
+    def place(lo: Column, hi: Column, size: Column, whole: Column) -> Column:
+        centred = between(F.floor(0.5 * (lo + hi) - size / 2.0).cast("int"), 0, whole - size)
+        return between(centred, hi - size, lo)
 
-    return F.when((bw > 0) & (bh > 0), let(size, place))
+    x, y = place(b["x1"], b["x2"], cw, w), place(b["y1"], b["y2"], ch, h)
+    return F.when((bw > 0) & (bh > 0), box(x, y, x + cw, y + ch))
 
 
 def offset_box(b: Column, dx: Column, dy: Column) -> Column:
@@ -253,30 +258,24 @@ def segments_intersect(a: list[Column], b: list[Column], eps: float = 1e-6) -> C
 
 def grow_about_centre(b: Column, w: Column, h: Column, ex: float, ey: float, lift: float = 0.0) -> Column:
     """Box scaled about its centre, moved up by ``lift`` of its new height, rounded outward and clipped to at least a pixel."""
-    size = F.struct(F.greatest(width(b) * float(ex), F.lit(1.0)).alias("w"), F.greatest(height(b) * float(ey), F.lit(1.0)).alias("h"))
-
-    def place(s: Column) -> Column:
-        cx, cy = 0.5 * (b["x1"] + b["x2"]), 0.5 * (b["y1"] + b["y2"]) - lift * s["h"]
-        x1 = between(F.floor(cx - s["w"] / 2.0).cast("int"), 0, w - 1)
-        y1 = between(F.floor(cy - s["h"] / 2.0).cast("int"), 0, h - 1)
-        x2 = F.greatest(x1 + 1, F.least(w, F.ceil(cx + s["w"] / 2.0).cast("int")))
-        y2 = F.greatest(y1 + 1, F.least(h, F.ceil(cy + s["h"] / 2.0).cast("int")))
-        return box(x1, y1, x2, y2)
-
-    return let(size, place)
+    ow = F.greatest(width(b) * float(ex), F.lit(1.0))
+    oh = F.greatest(height(b) * float(ey), F.lit(1.0))
+    cx, cy = 0.5 * (b["x1"] + b["x2"]), 0.5 * (b["y1"] + b["y2"]) - lift * oh
+    x1 = between(F.floor(cx - ow / 2.0).cast("int"), 0, w - 1)
+    y1 = between(F.floor(cy - oh / 2.0).cast("int"), 0, h - 1)
+    x2 = F.greatest(x1 + 1, F.least(w, F.ceil(cx + ow / 2.0).cast("int")))
+    y2 = F.greatest(y1 + 1, F.least(h, F.ceil(cy + oh / 2.0).cast("int")))
+    return box(x1, y1, x2, y2)
 
 
 def square_head(face: Column, w: Column, h: Column, expansion: float) -> Column:
     """Square around a face box, moved up by 15 % of its long side."""
-
-    def around(inner: Column) -> Column:
-        side = F.greatest(width(inner), height(inner))
-        r = F.greatest(0.75 * side * float(expansion), F.lit(1.0))
-        cx, cy = (inner["x1"] + inner["x2"]) / 2.0, (inner["y1"] + inner["y2"]) / 2.0 - 0.15 * side
-        made = ((F.floor, cx - r), (F.floor, cy - r), (F.ceil, cx + r), (F.ceil, cy + r))
-        return clamp_bbox(box(*(f(v).cast("int") for f, v in made)), w, h)
-
-    return let(clip_bbox(face, w, h), around)
+    x1, y1, x2, y2 = _clipped(face, w, h)
+    side = F.greatest(x2 - x1, y2 - y1)
+    r = F.greatest(0.75 * side * float(expansion), F.lit(1.0))
+    cx, cy = (x1 + x2) / 2.0, (y1 + y2) / 2.0 - 0.15 * side
+    made = [f(v).cast("int") for f, v in ((F.floor, cx - r), (F.floor, cy - r), (F.ceil, cx + r), (F.ceil, cy + r))]
+    return _checked(_inside(made, w, h), x2 > x1, y2 > y1)
 
 
 def fit_size(lw: Column, lh: Column, w: Column, h: Column, mode: str) -> Column:
