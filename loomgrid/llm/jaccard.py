@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import textbatch as tb
 from .bpe import _narrow, _wide
 from .components import components
-from .store import cut
+from .store import cut, drop, release
 
 SHINGLE = 5
 PERCENT = 75
@@ -385,35 +385,46 @@ def block_links(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Dat
 def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, component) of the sets (id, n, tokens) that link with another one."""
     kind = sets.schema["id"].dataType.simpleString()
+    spark = sets.sparkSession
     rows = cut(prefix_rows(sets, percent), "prefixes")
+    release(spark)
     near = cut(
         rows.join(rows.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last"), "token")
         .groupBy("id", "lead").agg(F.count("*").alias("times")).where("id <> lead"), "near",
     )
+    drop(rows)
     if near.isEmpty():
-        return sets.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
+        return spark.createDataFrame([], f"id {kind}, component {kind}")
     # A family: sets that chains of shared prefix shingles connect. Links never leave a family.
     family = components(near, "id", "lead").withColumnRenamed("component", "family")
     # One round against a leader each, the one with most shared prefix shingles.
     star = near.groupBy(F.col("id").alias("a")).agg(F.max_by("lead", F.struct("times", "lead")).alias("b"))
     links = cut(verify(star, sets, percent), "links")
+    release(spark)
     found = components(links)
     apart = family.join(found, "id", "left").select("family", "id", F.coalesce("component", "id").alias("c"))
     links = cut(links.unionByName(block_links(apart, sets, percent)), "links")
+    release(spark)
     return components(links)
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
     sizes = cut(shared_counts(base, percent), "shingles")
+    release(spark)  # what is exchanged goes as soon as its result is a table
     wanted = sizes.where("candidate").select("doc_id").distinct()
     every = cut(candidate_sets(base.join(wanted, "doc_id", "left_semi")).where("n > 0"), "sets")
+    del wanted
+    release(spark)
     classes = cut(every.groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("id")), "classes")
     one = every.join(classes, ["key1", "key2", "n"]).where(F.col("doc_id") == F.col("id"))
     sets = cut(one.select("id", "n", "tokens").dropDuplicates(["id", "n"]), "representatives")
+    member = cut(every.select("doc_id", "key1", "key2", "n").join(classes, ["key1", "key2", "n"]).select("doc_id", "id"), "members")
+    del one
+    drop(every, classes)
     found = link_components(sets, percent)
-    member = every.select("doc_id", "key1", "key2", "n").join(classes, ["key1", "key2", "n"])
     member = member.join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
     # A document id that stands for several texts joins their components.
     member = member.groupBy("doc_id").agg(F.min("component").alias("component"))
