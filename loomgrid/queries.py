@@ -660,7 +660,7 @@ def flip_and_turn(spark, d):
 
 @query()
 def depth_raster(spark, d):
-    rows = read(spark, d, "part").where("p_partkey <= 200")
+    rows = read(spark, d, "part")
     k = F.col("p_partkey")
     tri = rows.select(
         (k % 3).alias("image_id"), k.alias("triangle"), *((k * a % 20).cast("double").alias(n) for n, a in (("x0", 3), ("y0", 5), ("x1", 7), ("y1", 11), ("x2", 13), ("y2", 17))),
@@ -705,7 +705,7 @@ def symmetry_score(spark, d):
 
 @query()
 def depth_fusion(spark, d):
-    rows = read(spark, d, "lineitem").where("l_orderkey < 500").groupBy(F.col("l_linenumber").alias("source_id"), (F.col("l_partkey") % 20).alias("idx")).agg(
+    rows = read(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("source_id"), (F.col("l_partkey") % 20).alias("idx")).agg(
         F.min("l_quantity").alias("x"), F.min("l_discount").alias("y"), F.min("l_tax").alias("z")
     ).withColumn("yaw", F.col("source_id") * 12.0 - 20.0)
     return landmarks.fuse_depth(rows).select("idx", "x", "y", r6("z").alias("z"))
