@@ -207,33 +207,35 @@ def clean(
     """
     if mode not in ("span", "document"):
         raise ValueError(f"unknown mode {mode!r}")
-    out = docs
-    for block in load_blocks(benchmark, item_col, item_text_col, window, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            for part in tb.slices(batches, text_col):
-                column = part.column(text_col)
-                data, offsets = tb.text_buffer(column)
-                starts, ends, bounds, covered, items = scan(data, offsets, shared.value)
-                if not items:
-                    yield part
-                elif mode == "document":
-                    yield part.filter(pa.array([i not in items for i in range(part.num_rows)]))
-                else:
-                    texts = column.to_pylist()
-                    for i in items:
-                        lo, hi = bounds[i], bounds[i + 1]
-                        runs = _runs(covered[lo:hi]) + lo
-                        raw, at, kept = data, offsets[i], []
-                        for a, b in zip(runs[::2], runs[1::2]):
-                            kept.append(raw[at : starts[a]])
-                            at = ends[b - 1]
-                        kept.append(raw[at : offsets[i + 1]])
-                        texts[i] = np.concatenate(kept).tobytes().decode()
-                    k = part.schema.get_field_index(text_col)
-                    arrays = [pa.array(texts, part.schema.field(k).type) if j == k else c for j, c in enumerate(part.columns)]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=part.schema)
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    blocks = load_blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tb.slices(batches, text_col):
+            column = part.column(text_col)
+            data, offsets = tb.text_buffer(column)
+            covered, hit = np.False_, set()
+            for block in shared:  # all of them on the text as it came, so that no cut hides or makes a window
+                starts, ends, bounds, own, items = scan(data, offsets, block.value)
+                covered = covered | own
+                hit.update(items)
+            if not hit:
+                yield part
+            elif mode == "document":
+                yield part.filter(pa.array([i not in hit for i in range(part.num_rows)]))
+            else:
+                texts = column.to_pylist()
+                for i in hit:
+                    lo, hi = bounds[i], bounds[i + 1]
+                    runs = _runs(covered[lo:hi]) + lo
+                    raw, at, kept = data, offsets[i], []
+                    for a, b in zip(runs[::2], runs[1::2]):
+                        kept.append(raw[at : starts[a]])
+                        at = ends[b - 1]
+                    kept.append(raw[at : offsets[i + 1]])
+                    texts[i] = np.concatenate(kept).tobytes().decode()
+                k = part.schema.get_field_index(text_col)
+                arrays = [pa.array(texts, part.schema.field(k).type) if j == k else c for j, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=part.schema)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -203,6 +203,20 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
     assert decontaminate.report(frame(spark, texts), benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_cuts_the_same_in_any_number_of_blocks(spark):
+    w = prose(random.Random(13), 60).split()
+    items = [(str(k), " ".join(w[k : k + 10])) for k in range(0, 45, 5)] + [("join", "aaa bbb")]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    docs = frame(spark, [*EDGE, " ".join(["head", *w[:50], "tail"]), " ".join(["aaa", *w[5:25], "bbb"])])
+    size = sum(len(text) for _, text in items) // 4
+    assert len(decontaminate.load_blocks(benchmark, "item_id", "text", 10, size)) > 3
+    for mode in ("span", "document"):
+        one, many = ({r.doc_id: r.text for r in decontaminate.clean(docs, benchmark, mode=mode, block_bytes=b).collect()} for b in (1 << 20, size))
+        assert one == many
+        if mode == "span":
+            assert one[6].split() == ["head", "tail"] and one[7].split() == ["aaa", "bbb"]
+
+
 def test_quality_counts_equal_brute_force(spark):
     rng = random.Random(9)
     texts = [*EDGE, "a b c a b c a b c", "# x\n\n# x\n #x\n# x", *("\n".join(rng.choice(["a b", "c", "", " ", "d e f"]) for _ in range(8)) for _ in range(10))]
