@@ -5,8 +5,8 @@ lists and tables by a blank line; list items get their marker and are indented;
 so that columns align; ``pre`` keeps its white space; ``br`` breaks the line.
 
 Defined cases: null and empty pages give empty text; a page without any tag is its own text; unknown
-tags are inline; a tag or comment that never ends runs to the end of the page; elements nested deeper
-than ``MAX_DEPTH`` stay at that depth, with all their text; repeated rows give equal rows.
+tags are inline; a tag or comment that never ends runs to the end of the page; elements may be nested to
+any depth (no step recurses); repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 150
-
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -119,35 +117,37 @@ def parse(page: str) -> Node:
     body: Node | None = None
     head: Node | None = None
     stack = [root]
+    places: dict[str, list[int]] = {}  # of each tag's open elements in the stack, without the root
 
     def push(node: Node) -> None:
         stack[-1].children.append(node)
         if node.tag not in VOID:
-            if len(stack) < MAX_DEPTH:
-                stack.append(node)
-            else:  # too deep: what follows becomes its siblings
-                deep.append(node.tag)
+            places.setdefault(node.tag, []).append(len(stack))
+            stack.append(node)
+
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            places[stack.pop().tag].pop()
+
+    def top(tags) -> int:
+        """Place of the innermost open element of these tags, 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def need_body() -> None:
         nonlocal body
         if body is None:
-            del stack[1:]
+            cut(1)
             body = Node("body", {})
             push(body)
 
     def close(tags, stop) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                close(tags, stop)
-                return
-            if stack[i].tag in stop:
-                return
-
-    deep: list[str] = []
+        border = top(stop)
+        while (i := top(tags)) > border:
+            cut(i)
+
     for kind, name, attrs in tokens(page):
         if kind == "text":
-            if head is not None and stack[-1] is not root and head in stack:
+            if head is not None and stack[-1] is not root and places.get("head"):
                 if stack[-1] is head and not name.strip():
                     continue
                 if stack[-1] is head:
@@ -170,7 +170,7 @@ def parse(page: str) -> Node:
                 continue
             if name == "body":
                 if body is None:
-                    del stack[1:]
+                    cut(1)
                     body = Node("body", attrs)
                     push(body)
                 continue
@@ -184,7 +184,7 @@ def parse(page: str) -> Node:
             if name in CLOSES_P:
                 close(("p",), ("table", "td", "th", "caption", "button", "body"))
             if name in HEADINGS and stack[-1].tag in HEADINGS:
-                stack.pop()
+                cut(len(stack) - 1)
             if name in IMPLIED_END:
                 close(*IMPLIED_END[name])
                 if name in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
@@ -195,9 +195,7 @@ def parse(page: str) -> Node:
                     push(Node("tbody", {}))
             push(Node(name, attrs))
         else:
-            if name in deep:
-                deep.remove(name)
-            elif name == "p" and not any(n.tag == "p" for n in stack):
+            if name == "p" and not places.get("p"):
                 need_body()
                 stack[-1].children.append(Node("p", {}))
             elif name == "br":
@@ -210,12 +208,8 @@ def parse(page: str) -> Node:
                 stop = ("table", "td", "th", "body") if name not in ("table", "td", "th", "tr", "tbody", "thead", "tfoot") else ("body",)
                 if name in ("td", "th", "tr", "tbody", "thead", "tfoot"):
                     stop = ("table", "body")
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in match:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in stop:
-                        break
+                if (i := top(match)) > top(stop):
+                    cut(i)
     return root
 
 
@@ -275,15 +269,26 @@ def _number(value: str, default: int) -> int:
     return int(value) if re.fullmatch(r"\s*-?[0-9]{1,9}\s*", value) else default
 
 
-def _render(node: Node, page: Page) -> None:
+def _work(task: Iterator) -> None:
+    """Runs a task to its end; the tasks that it yields are run where they are yielded, without recursion."""
+    tasks = [task]
+    while tasks:
+        inner = next(tasks[-1], None)
+        if inner is None:
+            tasks.pop()
+        else:
+            tasks.append(inner)
+
+
+def _render(node: Node, page: Page) -> Iterator:
     for child in node.children:
         if isinstance(child, str):
             page.text(child)
         elif visible(child):
-            _element(child, page)
+            yield _element(child, page)
 
 
-def _element(node: Node, page: Page) -> None:
+def _element(node: Node, page: Page) -> Iterator:
     tag = node.tag
     if tag == "br":
         if page.line:
@@ -296,7 +301,7 @@ def _element(node: Node, page: Page) -> None:
     if tag not in BLOCK:
         if tag == "q":
             page.text("“")
-        _render(node, page)
+        yield _render(node, page)
         if tag == "q":
             page.text("”")
         return
@@ -306,7 +311,9 @@ def _element(node: Node, page: Page) -> None:
     page.block(margin)
     indent = page.indent
     if tag in ("pre", "textarea"):
-        for line in _plain(node).split("\n"):
+        parts: list[str] = []
+        yield _plain(node, parts)
+        for line in parts[0].split("\n"):
             if line.strip():
                 page.put(line)
             else:
@@ -325,35 +332,39 @@ def _element(node: Node, page: Page) -> None:
                 mark = f"{number}. " if tag == "ol" else "- "
                 number += 1
                 page.indent, page.marker = indent + " " * len(mark), mark
-                _render(child, page)
+                yield _render(child, page)
                 page.end_line()
                 page.indent, page.marker = indent, ""
             else:
-                _element(child, page)
+                yield _element(child, page)
     elif tag == "table":
-        _table(node, page)
+        yield _table(node, page)
     elif tag in ("dd", "blockquote"):
         page.indent += "    " if tag == "dd" else "  "
-        _render(node, page)
+        yield _render(node, page)
     elif tag == "details" and "open" not in node.attrs:
         for child in node.children:
             if isinstance(child, Node) and child.tag == "summary" and visible(child):
-                _element(child, page)
+                yield _element(child, page)
                 break
     else:
-        _render(node, page)
+        yield _render(node, page)
     page.block(margin)
     page.indent = indent
 
 
-def _plain(node: Node) -> str:
-    out = []
+def _plain(node: Node, to: list[str]) -> Iterator:
+    """Adds the text of the element to the list."""
+    out: list[str] = []
     for child in node.children:
         if isinstance(child, str):
             out.append(child)
         elif visible(child):
-            out.append("\n" if child.tag == "br" else _plain(child))
-    return "".join(out).replace("\r\n", "\n").removeprefix("\n")
+            if child.tag == "br":
+                out.append("\n")
+            else:
+                yield _plain(child, out)
+    to.append("".join(out).replace("\r\n", "\n").removeprefix("\n"))
 
 
 def _rows(node: Node) -> Iterator[Node]:
@@ -365,7 +376,7 @@ def _rows(node: Node) -> Iterator[Node]:
                 yield from _rows(child)
 
 
-def _table(node: Node, page: Page) -> None:
+def _table(node: Node, page: Page) -> Iterator:
     """Caption and stray text first, then rows whose cells begin at the same column."""
     grid: list[dict[int, tuple[list[str], int]]] = []
     taken: dict[tuple[int, int], bool] = {}
@@ -373,7 +384,7 @@ def _table(node: Node, page: Page) -> None:
         if isinstance(child, str):
             page.text(child)
         elif visible(child) and child.tag not in ("thead", "tbody", "tfoot", "tr", "col", "colgroup"):
-            _element(child, page)
+            yield _element(child, page)
             page.end_line()
     for section in node.children:  # text that stands between rows is shown before the table
         if isinstance(section, Node) and section.tag in ("thead", "tbody", "tfoot") and visible(section):
@@ -381,7 +392,7 @@ def _table(node: Node, page: Page) -> None:
                 if isinstance(child, str):
                     page.text(child)
                 elif child.tag != "tr" and visible(child):
-                    _element(child, page)
+                    yield _element(child, page)
     page.end_line()
     for y, row in enumerate(_rows(node)):
         cells: dict[int, tuple[list[str], int]] = {}
@@ -398,9 +409,9 @@ def _table(node: Node, page: Page) -> None:
             if isinstance(child, Node) and child.tag in ("td", "th"):
                 span = min(max(_number(child.attrs.get("colspan", ""), 1), 1), 100)
                 down = min(max(_number(child.attrs.get("rowspan", ""), 1), 1), 100)
-                _render(child, inner)
+                yield _render(child, inner)
             elif isinstance(child, Node):
-                _element(child, inner)
+                yield _element(child, inner)
             else:
                 inner.text(child)
             cells[x] = (inner.done(), span)
@@ -435,7 +446,7 @@ def extract(page: str | None) -> str:
     out = Page()
     root = parse(page)
     if visible(root):
-        _render(root, out)
+        _work(_render(root, out))
     return "\n".join(out.done())
 
 

@@ -295,6 +295,14 @@ def test_html_text(spark):
     assert got[2] == "" and got[3] == "" and got[4] == "deep" and got[5] == "plain"
 
 
+def test_html_of_any_depth():
+    for tag in ("font", "div", "blockquote"):
+        page = f"<{tag}>" * 5000 + "a<script>no</script><style>no</style><p hidden>no</p><template>no</template><ul><li>b<li>c</ul>"
+        assert [line.strip() for line in html_text.extract(page).split("\n") if line] == ["a", "- b", "- c"]
+    assert html_text.extract("<pre>" + "<b>" * 5000 + " x\n  y" + "</b>" * 5000 + "\nz</pre>") == " x\n  y\nz"
+    assert html_text.extract("<table><tr><td>" * 2000 + "x" + "</table>" * 2000 + "y") == "x\n\ny"
+
+
 @pytest.mark.parametrize(
     "run",
     [suffix_dedup.removed, jaccard.join, lm_score.score, secrets.report, bpe.encode, quality.judge],
