@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +49,8 @@ IMPLIED_END = {
     "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
     "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
 }
+#: HTML's own limits of the two spans.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"""</?([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -280,6 +283,14 @@ def _work(task: Iterator) -> None:
             tasks.append(inner)
 
 
+def _span(value: str, least: int, most: int) -> int:
+    """A span of cells: 1 if it is no number, else clamped."""
+    number = re.fullmatch(r"\s*0*([0-9]+)\s*", value)
+    if not number:
+        return 1
+    return most if len(number[1]) > 9 else min(max(int(number[1]), least), most)
+
+
 def _render(node: Node, page: Page) -> Iterator:
     for child in node.children:
         if isinstance(child, str):
@@ -367,11 +378,12 @@ def _plain(node: Node, to: list[str]) -> Iterator:
     to.append("".join(out).replace("\r\n", "\n").removeprefix("\n"))
 
 
-def _rows(node: Node) -> Iterator[Node]:
+def _rows(node: Node) -> Iterator[tuple[Node, Node]]:
+    """(section, row); rows outside any section are the table's own."""
     for child in node.children:
         if isinstance(child, Node) and visible(child):
             if child.tag == "tr":
-                yield child
+                yield node, child
             elif child.tag in ("thead", "tbody", "tfoot"):
                 yield from _rows(child)
 
@@ -379,7 +391,8 @@ def _rows(node: Node) -> Iterator[Node]:
 def _table(node: Node, page: Page) -> Iterator:
     """Caption and stray text first, then rows whose cells begin at the same column."""
     grid: list[dict[int, tuple[list[str], int]]] = []
-    taken: dict[tuple[int, int], bool] = {}
+    taken: list[tuple[int, int, float]] = []  # columns [start, end) and the row before which they are free again
+    part: Node | None = None
     for child in node.children:
         if isinstance(child, str):
             page.text(child)
@@ -394,7 +407,10 @@ def _table(node: Node, page: Page) -> Iterator:
                 elif child.tag != "tr" and visible(child):
                     yield _element(child, page)
     page.end_line()
-    for y, row in enumerate(_rows(node)):
+    for y, (section, row) in enumerate(_rows(node)):
+        # A span ends with its section at the latest.
+        taken = sorted(t for t in taken if t[2] > y) if section is part else []
+        part, at, held = section, 0, []
         cells: dict[int, tuple[list[str], int]] = {}
         x = 0
         for child in row.children:
@@ -402,34 +418,39 @@ def _table(node: Node, page: Page) -> Iterator:
                 continue
             if isinstance(child, str) and not child.strip():
                 continue
-            while taken.get((y, x)):
-                x += 1
+            while at < len(taken) and taken[at][0] <= x:
+                x = max(x, taken[at][1])
+                at += 1
             inner = Page()
             span = down = 1
             if isinstance(child, Node) and child.tag in ("td", "th"):
-                span = min(max(_number(child.attrs.get("colspan", ""), 1), 1), 100)
-                down = min(max(_number(child.attrs.get("rowspan", ""), 1), 1), 100)
+                span = _span(child.attrs.get("colspan", ""), 1, MAX_COLSPAN)
+                down = _span(child.attrs.get("rowspan", ""), 0, MAX_ROWSPAN)
                 yield _render(child, inner)
             elif isinstance(child, Node):
                 yield _element(child, inner)
             else:
                 inner.text(child)
             cells[x] = (inner.done(), span)
-            for j in range(1, down):
-                for i in range(span):
-                    taken[y + j, x + i] = True
+            if down != 1:  # 0: to the end of the section
+                held.append((x, x + span, y + down if down else float("inf")))
             x += span
+        taken += held
         grid.append(cells)
     widths: dict[int, int] = {}
     for cells in grid:
         for x, (lines, span) in cells.items():
             if span == 1:
                 widths[x] = max(widths.get(x, 0), *(len(s) for s in lines), 0)
+    wide = sorted(widths)
+    before = [0]
+    for x in wide:
+        before.append(before[-1] + widths[x])
     for cells in grid:
         for k in range(max((len(lines) for lines, _ in cells.values()), default=0)):
             line = ""
             for x in sorted(cells):
-                column = sum(widths.get(i, 0) + 2 for i in range(x))
+                column = before[bisect_left(wide, x)] + 2 * x
                 piece = cells[x][0][k] if k < len(cells[x][0]) else ""
                 if piece:
                     line = line.ljust(column) if len(line) <= column or not line else line + "  "

@@ -303,6 +303,19 @@ def test_html_of_any_depth():
     assert html_text.extract("<table><tr><td>" * 2000 + "x" + "</table>" * 2000 + "y") == "x\n\ny"
 
 
+def test_html_spans():
+    def table(*sections):
+        return html_text.extract("<table>" + "".join(f"<tbody>{rows}" for rows in sections) + "</table>").split("\n")
+
+    row, free = "<tr><td>bb<td>c", "<tr><td>d<td>bb"
+    for down in (150, 0, 99999, 10**12):
+        got = table(f"<tr><td rowspan={down}>aaaa<td>bb<td>c" + row * 149, free)
+        assert got == ["aaaa  bb  c", *["      bb  c"] * 149, "d     bb"], down
+    assert table("<tr><td rowspan=120>aaaa<td>bb" + "<tr><td>bb" * 119 + free) == ["aaaa  bb", *["      bb"] * 119, "d     bb"]
+    assert table("<tr><td colspan=120>a<td>b", "<tr>" + "<td>" * 120 + "<td>b") == [" " * 240 + "b" if k else "a" + " " * 239 + "b" for k in range(2)]
+    assert table("<tr><td colspan=5000>a<td>b") == ["a" + " " * 1999 + "b"]
+
+
 @pytest.mark.parametrize(
     "run",
     [suffix_dedup.removed, jaccard.join, lm_score.score, secrets.report, bpe.encode, quality.judge],
