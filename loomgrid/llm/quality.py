@@ -39,7 +39,8 @@ CUTOFF = 7.0
 GRID = 512
 VECTOR = ("mean_length", "symbols", "dup_lines", "repeats", "capitals", "marks")
 #: Least standard deviation of each part: most texts have none of some of these, whose own spread is nil.
-FLOORS = (0.1, 0.08, 0.25, 0.25, 0.1, 0.08)
+#: A part alone moves a text by at most its range over this, which must be able to exceed CUTOFF after the base rule.
+FLOORS = (0.1, 0.08, 0.1, 0.1, 0.1, 0.08)
 _SYMBOLS = tb.table_of(lambda b: chr(b) in "#*$%&|<>")
 _UPPER = tb.table_of(lambda b: 65 <= b <= 90)
 _LETTER = tb.table_of(lambda b: 65 <= b <= 90 or 97 <= b <= 122)

@@ -242,6 +242,17 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 312))
 
 
+def test_quality_rejects_repeated_lines_and_words_that_pass_the_base_rule(spark):
+    rng = random.Random(14)
+    good = [prose(rng, rng.randint(60, 150)) for _ in range(300)]
+    lines = [prose(rng, 400) + "\n" + "ab\ncd\n" * 150 for _ in range(4)]  # 99 % of the lines, 43 % of the words
+    sentence = [prose(rng, 50).split() for _ in range(4)]
+    words = [" ".join(s[:26] + s[:26] + prose(rng, 54).split()) for s in sentence]  # 49 % of the words, no line
+    got = {r.doc_id: r for r in quality.judge(frame(spark, good + lines + words)).collect()}
+    assert all(got[i].kept for i in range(300))
+    assert not any(got[i].base_failed or got[i].kept for i in range(300, 308))
+
+
 def test_toxicity_learns_held_out_labels(spark):
     rng = random.Random(11)
     texts, labels = [], []
