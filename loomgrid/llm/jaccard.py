@@ -4,24 +4,30 @@ Texts are lower-cased (A-Z) and cut into words ``[^\\x20\\x09-\\x0D]+``; a docum
 distinct shingles of five words, or its whole sequence if it has fewer. Two documents link where
 100 * intersection >= 75 * union; the result is each document's connected component.
 
-1. One scan counts in how many documents every shingle occurs: shingles go out as sorted, packed
-   hashes by range. A document more than a quarter of whose shingles occur nowhere else has no partner,
-   whatever the others are, and is done.
-2. The others' sets are built again and equal sets become one representative.
-3. With shingles sorted rare ones first, two sets that link share one of their first
-   ``n - ceil(0.75 n) + 1``; chains of such shared shingles make families, which no link leaves. A first
-   round verifies each set against one leader.
-4. Families that still hold several components are cut into blocks. In each block (or pair of blocks)
-   signature trees, whose nodes hold OR-combined bitmaps and size ranges, are traversed against each
-   other, and pairs of nodes whose largest possible overlap is too small are pruned. Surviving pairs of
-   different components are verified on the sets, and only links that join components come out.
-
-No step gathers a group beyond a block or drops a row; sets of a family's main component are not
-compared with each other again.
+1. Chunks of documents send out their distinct shingles by hash range, once each with the number of
+   documents of the chunk that hold it, so a shingle in a third of all documents is one entry of a chunk.
+   The chunks get back which ones occur in other documents, and how often. Shingles of one document only
+   can't be shared, so a set is from there on its size and its shared shingles; a document that has
+   fewer of those than a partner must share has no partner and is done.
+2. Equal sets become one representative. With shingles sorted rare ones first, two sets that link share
+   one of their first ``n - ceil(0.75 n) + 1``; chains of such shared shingles make families, which no
+   link leaves.
+3. Families are dealt out in bins of about ``BLOCK_BYTES``. In each family a signature tree, whose nodes
+   hold OR-combined bitmaps and size ranges, is traversed against itself, and pairs of nodes whose largest
+   possible overlap is too small, or that are joined already, are pruned. Surviving pairs are verified.
+4. A family beyond ``BLOCK_BYTES`` is first thinned by one round against leaders, then cut into blocks of
+   like sizes; trees of each pair of blocks whose sizes are compatible are traversed against each other.
+   Sets of its main component are not compared with each other again.
+
+No step gathers a group beyond two blocks or drops a row. In a family of N sets of which none link, each
+set is sent to as many blocks as the family fills.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing, not even with
-each other; rows that share an id are taken as parts of one document, whose component is the least of
-theirs; a null id stays null and links through its text; an empty table gives an empty result.
+each other; rows that share an id are one document (each keeps its own row and size, and all have the
+component of whichever text links); a null id stays null and links through its text, and a component of
+null ids only has a null component_id; repeated rows are copies; ties between leaders fall to the least
+row number; an empty table gives an empty result; other columns are ignored. A long text is hashed in
+pieces; what is held at once is 8 bytes for each of its words and shingles.
 """
 
 from __future__ import annotations
@@ -30,42 +36,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import packing as pk
 from . import textbatch as tb
-from .bpe import _narrow, _wide
 from .components import components
 from .store import cut, drop, release
 
 SHINGLE = 5
 PERCENT = 75
 CHUNK_BYTES = 12 << 20
-#: Rows of a group that are compared in one block.
-BLOCK = 1024
-#: Words of 64 bits in a signature.
-SIGNATURE = 32
+#: A chunk has fewer rows than this, so that chunk and place make a row number.
+CHUNK_ROWS = 1 << 20
+#: Bytes of shared shingles that one bin or block holds, about.
+BLOCK_BYTES = 8 << 20
 LEAF, FAN = 16, 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the distinct shingles of each text in rising order, one text after the other."""
-    data = tb.LOWER[data]
     n = len(offsets) - 1
-    starts, ends, rows = tb.words(data, offsets, tb.NON_SPACE)
-    hashes = tb.span_hashes(data, starts, ends)
-    bounds = tb.row_bounds(rows, n)
-    counts = np.diff(bounds)
-    grams, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    counts, hashes = tb.word_hashes(data, offsets, tb.NON_SPACE, lower=True)
+    if n == 1:
+        k = min(size, int(counts[0]))
+        tokens = np.unique(tb.window_hashes(hashes, k)) if k else np.empty(0, np.uint64)
+        return tokens, np.array([0, len(tokens)])
+    bounds = np.concatenate(([0], np.cumsum(counts)))
+    rows = np.repeat(np.arange(n), counts)
     found = tb.window_hashes(hashes, size)
     whole = rows[: len(found)] == rows[size - 1 :] if len(found) else np.empty(0, bool)
-    grams.append(found[whole])
-    owner.append(rows[: len(found)][whole])
+    grams, owner = [found[whole]], [rows[: len(found)][whole]]
     for k in range(1, size):
         short = np.flatnonzero(counts == k)
-        found = tb.window_hashes(hashes, k)
-        grams.append(found[bounds[short]])
+        grams.append(tb.window_hashes(hashes, k)[bounds[short]])
         owner.append(short)
     tokens, owner = np.concatenate(grams), np.concatenate(owner)
     order = np.lexsort((tokens, owner))
@@ -81,196 +86,175 @@ def need(n: int | np.ndarray, percent: int = PERCENT):
     return -(-n * percent // 100)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Rising numbers below 2**48 as packed differences."""
-    import zstandard
-
-    gaps = np.diff(x.astype(np.uint64), prepend=np.uint64(0))
-    return zstandard.compress(np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes(), 1)
+def _chunk_sets(batches: Iterator[pa.RecordBatch], limit: int):
+    """(ids, hashes, sizes) of about ``limit`` bytes of text."""
+    ids, tokens, sizes, held, rows = [], [], [], 0, 0
+    for batch in batches:
+        for part in tb.slices(iter([batch]), "text", 2 << 20):
+            data, offsets = tb.text_buffer(part.column("text"))
+            t, bounds = shingle_sets(data, offsets)
+            ids.append(part.column("doc_id"))
+            tokens.append(t)
+            sizes.append(np.diff(bounds))
+            held, rows = held + len(data), rows + part.num_rows
+            if held >= limit or 2 * rows >= CHUNK_ROWS:
+                yield pa.chunked_array(ids).combine_chunks(), np.concatenate(tokens), np.concatenate(sizes)
+                ids, tokens, sizes, held, rows = [], [], [], 0, 0
+    if ids:
+        yield pa.chunked_array(ids).combine_chunks(), np.concatenate(tokens), np.concatenate(sizes)
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    import zstandard
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array(bounds, pa.int64()), pa.array(values)).cast(pa.list_(pa.from_numpy_dtype(values.dtype)))
 
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(6, -1)
-    wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, :6] = planes.T
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
+def _binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """One binary of 8-byte numbers for each [bounds[i], bounds[i + 1])."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(bounds * 8, np.int64)), pa.py_buffer(np.ascontiguousarray(values, "<u8"))]
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, buffers).cast(pa.binary())
 
-def _chunk_sets(batches: Iterator[pa.RecordBatch], limit: int):
-    """(ids, hashes, bounds) of about ``limit`` bytes of text."""
-    ids, tokens, sizes, held = [], [], [], 0
-    for part in tb.slices(batches, "text", 2 << 20):
-        data, offsets = tb.text_buffer(part.column("text"))
-        t, bounds = shingle_sets(data, offsets)
-        ids.append(part.column("doc_id"))
-        tokens.append(t)
-        sizes.append(np.diff(bounds))
-        held += len(data)
-        if held >= limit:
-            yield pa.chunked_array(ids).combine_chunks(), np.concatenate(tokens), np.concatenate(sizes)
-            ids, tokens, sizes, held = [], [], [], 0
-    if ids:
-        yield pa.chunked_array(ids).combine_chunks(), np.concatenate(tokens), np.concatenate(sizes)
 
+def shared_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(rid, doc_id, n, key1, key2, tokens, prefix), one row for each document.
 
-def shared_counts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, candidate): the size of each set, and whether enough of it occurs elsewhere."""
+    ``rid`` numbers the rows, ``n`` is the size of the set. Only documents that may have a partner have
+    keys (equal for equal sets), the shingles that they share with others, and a prefix of these,
+    rare ones first, of which two sets that link have one in common.
+    """
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk long, bucket int, ids array<{kind}>, sizes binary, tokens binary, owners binary"
+    names = ["chunk", "bucket", "ids", "sizes", "owners", "size", "times", "tokens"]
+    schema = f"chunk long, bucket int, ids array<{kind}>, sizes binary, owners binary, size long, times binary, tokens binary"
 
     def scan(batches):
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 32
+        first = TaskContext.get().partitionId() << 20
         for number, (ids, tokens, sizes) in enumerate(_chunk_sets(batches, CHUNK_BYTES)):
             owner = np.repeat(np.arange(len(sizes)), sizes)
             order = np.argsort(tokens)
-            tokens, owner = tokens[order] >> np.uint64(16), owner[order]
-            bucket = (tokens * np.uint64(buckets) >> np.uint64(48)).astype(np.int64) if buckets < 1 << 16 else (tokens % np.uint64(buckets)).astype(np.int64)
-            if buckets >= 1 << 16:
-                order = np.argsort(bucket, kind="stable")
-                tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-            bounds = np.searchsorted(bucket, np.arange(buckets + 1))
+            tokens, owner = tokens[order], owner[order]
+            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(tokens)), bool), tokens[1:] != tokens[:-1])))
+            times = np.diff(np.append(new, len(tokens)))
+            tokens = tokens[new]
+            bounds = pk.bounds_of(tokens, buckets)
             full = np.flatnonzero(np.diff(bounds)).tolist()
             n = len(full)
+            parts = [slice(bounds[j], bounds[j + 1]) for j in full]
+            empty = [None] * n
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([first + number] * (n + 1), pa.int64()),
-                    pa.array([number % buckets, *full], pa.int32()),
+                    pa.array([(first + number) % buckets, *full], pa.int32()),
                     pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.nulls(n, pa.list_(ids.type))]),
-                    pa.array([_narrow(sizes), *[None] * n], pa.binary()),
-                    pa.array([None, *(_pack(tokens[bounds[j] : bounds[j + 1]]) for j in full)], pa.binary()),
-                    pa.array([None, *(_narrow(owner[bounds[j] : bounds[j + 1]]) for j in full)], pa.binary()),
+                    pa.array([pk.pack(sizes), *empty], pa.binary()),
+                    pa.array([pk.pack(owner), *empty], pa.binary()),
+                    pa.array([0, *(bounds[j + 1] - bounds[j] for j in full)], pa.int64()),
+                    pa.array([None, *(pk.pack(times[p]) for p in parts)], pa.binary()),
+                    pa.array([None, *(pk.pack_rising(tokens[p]) for p in parts)], pa.binary()),
                 ],
-                names=["chunk", "bucket", "ids", "sizes", "tokens", "owners"],
+                names=names,
             )
 
     def count(table: pa.Table) -> pa.Table:
-        """For each chunk of a bucket: by document, the number of shingles that occur nowhere else."""
-        lists = table.filter(pa.compute.is_null(table.column("tokens"))).select(["chunk", "ids", "sizes"])
-        rows = table.filter(pa.compute.is_valid(table.column("tokens")))
-        tokens = [_unpack(x.as_py()) for x in rows.column("tokens")]
-        lone = []
-        if tokens:
+        """Back to each chunk: which of its shingles of a range occur in several documents, and in how many."""
+        lists = table.filter(pc.is_null(table.column("tokens")))
+        rows = table.filter(pc.is_valid(table.column("tokens")))
+        out = [lists.append_column("often", pa.nulls(lists.num_rows, pa.binary())).append_column("shared", pa.nulls(lists.num_rows, pa.binary()))]
+        if rows.num_rows:
+            tokens = [pk.unpack_rising(x.as_py()) for x in rows.column("tokens")]
+            times = np.concatenate([pk.unpack(x.as_py()) for x in rows.column("times")])
             everything = np.concatenate(tokens)
-            order = np.argsort(everything, kind="stable")
-            sorted_ = everything[order]
-            same = np.zeros(len(sorted_) + 1, bool)
-            same[1:-1] = sorted_[1:] == sorted_[:-1]
-            alone = np.empty(len(sorted_), bool)
-            alone[order] = ~(same[:-1] | same[1:])
-            at = 0
-            for t, o in zip(tokens, rows.column("owners")):
-                lone.append(_narrow(np.bincount(_wide(o.as_py())[alone[at : at + len(t)]].astype(np.int64))))
-                at += len(t)
-        none = pa.nulls(rows.num_rows, lists.column("ids").type), pa.nulls(rows.num_rows, pa.binary())
-        return pa.concat_tables(
-            [
-                lists.append_column("lone", pa.nulls(lists.num_rows, pa.binary())),
-                pa.table({"chunk": rows.column("chunk"), "ids": none[0], "sizes": none[1], "lone": pa.array(lone, pa.binary())}),
-            ]
+            order = np.argsort(everything)
+            new = np.concatenate(([True], np.diff(everything[order]) != 0))
+            total = np.add.reduceat(times[order], np.flatnonzero(new))
+            often = np.empty(len(order), np.uint64)
+            often[order] = total[np.cumsum(new) - 1]
+            ends = np.cumsum([len(t) for t in tokens])
+            more = [often[e - len(t) : e] > 1 for t, e in zip(tokens, ends)]
+            back = {
+                "often": [pk.pack(often[e - len(t) : e][m]) for t, e, m in zip(tokens, ends, more)],
+                "shared": [np.packbits(m).tobytes() for m in more],
+                "tokens": [pk.pack_rising(t[m]) for t, m in zip(tokens, more)],
+            }
+            rows = rows.drop_columns(["tokens"])
+            for name in ("often", "shared", "tokens"):
+                rows = rows.append_column(name, pa.array(back[name], pa.binary()))
+            out.append(rows)
+        return pa.concat_tables([t.select([*names, "often", "shared"]) for t in out])
+
+    def finish(table: pa.Table) -> pa.Table:
+        head = table.filter(pc.is_valid(table.column("sizes")))
+        rows = table.filter(pc.is_null(table.column("sizes"))).sort_by("bucket")
+        sizes = pk.unpack(head.column("sizes")[0].as_py()).astype(np.int64)
+        owners = pk.unpack(head.column("owners")[0].as_py()).astype(np.int64)
+        n, none = len(sizes), [np.empty(0, np.uint64)]
+        take = lambda c, f: np.concatenate(none + [f(x.as_py()) for x in rows.column(c)])
+        times = take("times", pk.unpack).astype(np.int64)
+        tokens, often = take("tokens", pk.unpack_rising), take("often", pk.unpack)
+        bits = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[:m] for x, m in zip(rows.column("shared"), rows.column("size").to_pylist())]
+        shared = np.concatenate([np.empty(0, np.uint8), *bits]).astype(bool)
+        owners, times = owners[np.repeat(shared, times)], times[shared]
+        tokens, often = np.repeat(tokens, times), np.repeat(often, times)
+        held = np.bincount(owners, minlength=n)
+        may = (sizes > 0) & (held >= need(sizes, percent))
+        keep = may[owners]
+        owners, tokens, often = owners[keep], tokens[keep], often[keep]
+        order = np.lexsort((tokens, owners))
+        own, tokens, often = owners[order], tokens[order], often[order]
+        bounds = np.searchsorted(own, np.arange(n + 1))
+        rare = np.lexsort((tokens, often, own))
+        place = np.arange(len(own)) - bounds[own]
+        prefix = rare[place < (held - need(sizes, percent) + 1)[own]]
+        rid = (head.column("chunk")[0].as_py() << 20) + np.arange(n)
+        keys = []
+        for k in (1, 2):
+            sums = np.concatenate(([np.uint64(0)], np.cumsum(tb.mix(tokens + np.uint64(k)), dtype=np.uint64)))
+            key = (sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)
+            # A set with shingles of its own equals no other.
+            keys.append(pa.array(np.where(held < sizes, rid, key), pa.int64(), mask=~may))
+        return pa.table(
+            {
+                "rid": pa.array(rid, pa.int64()),
+                "doc_id": head.column("ids").combine_chunks()[0].values,
+                "n": pa.array(sizes, pa.int64()),
+                "key1": keys[0],
+                "key2": keys[1],
+                "tokens": _binaries(tokens, bounds),
+                "prefix": _lists(tokens[prefix].view(np.int64), np.searchsorted(own[prefix], np.arange(n + 1))),
+            }
         )
 
-    def add_up(table: pa.Table) -> pa.Table:
-        head = table.filter(pa.compute.is_valid(table.column("sizes")))
-        sizes = _wide(head.column("sizes")[0].as_py()).astype(np.int64)
-        lone = np.zeros(len(sizes), np.int64)
-        for x in table.column("lone"):
-            if x.is_valid:
-                part = _wide(x.as_py())
-                lone[: len(part)] += part
-        candidate = (sizes > 0) & (sizes - lone >= need(sizes, percent))
-        return pa.table({"doc_id": head.column("ids").combine_chunks()[0].values, "n": pa.array(sizes), "candidate": pa.array(candidate)})
-
-    counted = docs.mapInArrow(scan, schema).groupBy("bucket").applyInArrow(count, f"chunk long, ids array<{kind}>, sizes binary, lone binary")
-    return counted.groupBy("chunk").applyInArrow(add_up, f"doc_id {kind}, n long, candidate boolean")
-
-
-def candidate_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key, tokens): the sets of the given documents; equal sets have equal keys."""
+    counted = docs.mapInArrow(scan, schema).groupBy("bucket").applyInArrow(count, schema + ", often binary, shared binary")
+    return counted.groupBy("chunk").applyInArrow(
+        finish, f"rid long, doc_id {kind}, n long, key1 long, key2 long, tokens binary, prefix array<long>"
+    )
 
-    def run(batches):
-        for part in tb.slices(batches, "text", 2 << 20):
-            tokens, bounds = shingle_sets(*tb.text_buffer(part.column("text")))
-            sums = [np.concatenate(([np.uint64(0)], np.cumsum(tb.mix(tokens + np.uint64(k)), dtype=np.uint64))) for k in (1, 2)]
-            keys = [(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array(np.diff(bounds), pa.int64()),
-                    pa.array(keys[0]),
-                    pa.array(keys[1]),
-                    pa.array([tokens[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary()),
-                ],
-                names=["doc_id", "n", "key1", "key2", "tokens"],
-            )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, key1 long, key2 long, tokens binary")
+def signatures(tokens: list[np.ndarray]) -> np.ndarray:
+    """One bitmap for each set, four bits or more for each shingle of the largest."""
+    sizes = np.array([len(t) for t in tokens])
+    width = 64 << max(3, int(4 * sizes.max() // 64).bit_length())
+    bits = np.zeros((len(tokens), width), bool)
+    bits[np.repeat(np.arange(len(tokens)), sizes), (np.concatenate(tokens) >> np.uint64(7)) % np.uint64(width)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
-def prefix_rows(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(token, id): shingles that two sets share, of which two sets that link share one at least.
+class SignatureTree:
+    """Bitmaps OR-combined upward with size ranges.
 
-    All sets are sorted the same way, rare shingles first (by how many of the sets hold them, then by
-    hash); two sets that link share one of the first ``n - ceil(0.75 n) + 1``. Shingles of one set only
-    come first and need no row, so their number per set shortens the rest of its prefix.
+    ``sizes`` are those of the whole sets, ``shared`` of what the bitmaps stand for; ``slack`` is by how
+    much the latter outgrows its bitmap.
     """
 
-    def spread(batches):
-        for batch in batches:
-            for part in tb.slices(iter([batch]), "tokens", 1 << 20):
-                sizes = part.column("n").to_numpy()
-                tokens = np.frombuffer(b"".join(part.column("tokens").to_pylist()), "<u8").view(np.int64)
-                at = np.repeat(np.arange(len(sizes)), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), part.column("id").take(pa.array(at))], names=["token", "id"])
-
-    kind = sets.schema["id"].dataType.simpleString()
-    rows = sets.select("n", "tokens", "id").mapInArrow(spread, f"token long, id {kind}")
-    often = rows.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    shared = cut(rows.join(often, "token").groupBy("id").agg(F.collect_list(F.struct("often", "token")).alias("t")), "shared")
-    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("t"))
-    first = F.greatest(first.cast("int"), F.lit(0))
-    return shared.join(sets.select("id", "n"), "id").select("id", F.explode(F.slice(F.array_sort("t"), F.lit(1), first)).alias("p")).select("p.token", "id")
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"))
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left"), batch.column("right")):
-                keep.append(_links(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    kind = sets.schema["id"].dataType.simpleString()
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def signature(tokens: np.ndarray, words: int = SIGNATURE) -> np.ndarray:
-    bits = np.zeros(words * 64, bool)
-    bits[(tokens >> np.uint64(7)) % np.uint64(words * 64)] = True
-    return np.packbits(bits, bitorder="little").view("<u8")
-
-
-class SignatureTree:
-    """Bitmaps OR-combined upward with size ranges; ``slack`` is by how much a set outgrows its bitmap."""
-
-    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray):
+    def __init__(self, sizes: np.ndarray, shared: np.ndarray, bitmaps: np.ndarray):
         self.order = np.lexsort((*bitmaps.T[:4], sizes))
         self.sizes, self.bits = sizes[self.order], bitmaps[self.order]
-        self.slack = self.sizes - np.bitwise_count(self.bits).sum(axis=1).astype(np.int64)
-        # levels[0] are the leaves: (first row, OR bitmap, least size, largest size, largest slack)
+        self.slack = shared[self.order] - np.bitwise_count(self.bits).sum(axis=1).astype(np.int64)
+        # levels[0] are the leaves: (least size, largest size, largest slack, OR bitmap)
         self.levels = [self._level(self.sizes, self.sizes, self.slack, self.bits, LEAF)]
         while len(self.levels[-1][0]) > 1:
-            lo, hi, slack, bits = self.levels[-1]
-            self.levels.append(self._level(lo, hi, slack, bits, FAN))
+            self.levels.append(self._level(*self.levels[-1], FAN))
 
     @staticmethod
     def _level(lo, hi, slack, bits, fan):
@@ -282,6 +266,8 @@ class SignatureTree:
         stack = [(len(self.levels) - 1, 0, len(other.levels) - 1, 0)]
         while stack:
             p, i, q, j = stack.pop()
+            if self is other and p == q and j < i:
+                continue  # seen from the other side
             a, b = self.levels[p], other.levels[q]
             common = int(np.bitwise_count(a[3][i] & b[3][j]).sum())
             most = min(a[1][i], b[1][j], common + min(a[2][i], b[2][j]))
@@ -307,129 +293,173 @@ class SignatureTree:
             yield self.order[x][a], other.order[y][b]
 
 
-class Forest:
-    """Union-find over the rows of a block."""
+def _links(s: np.ndarray, t: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether sets of ``n`` and ``m`` shingles link whose shared ones are ``s`` and ``t``, in rising order."""
+    if len(s) > len(t):
+        s, t = t, s
+    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+    both = int((t[at] == s).sum())
+    return (100 + percent) * both >= percent * (n + m)
+
+
+def tree_links(n: np.ndarray, tokens: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int = PERCENT):
+    """Links (i, j) that join what ``label`` leaves apart, between two lists of rows; ``label`` follows."""
+    label = np.unique(label, return_inverse=True)[1]
+    shared = np.array([len(t) for t in tokens], np.int64)
+    bits = signatures(tokens)
+    one = SignatureTree(n[left], shared[left], bits[left])
+    two = one if left is right else SignatureTree(n[right], shared[right], bits[right])
+    found = []
+    for p, q in one.partners(two, percent):
+        p, q = left[p], right[q]
+        apart = label[p] != label[q]
+        for u, v in zip(p[apart].tolist(), q[apart].tolist()):
+            if label[u] != label[v] and _links(tokens[u], tokens[v], int(n[u]), int(n[v]), percent):
+                a, b = label[u], label[v]
+                label[label == max(a, b)] = min(a, b)
+                found.append((u, v))
+    return found, label
 
-    def __init__(self, labels):
-        first: dict = {}
-        self.parent = [first.setdefault(c, i) for i, c in enumerate(labels)]
 
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
+def _sets_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    tokens = [np.frombuffer(t.as_buffer(), "<u8") for c in table.column("tokens").chunks for t in c]
+    return table.column("id").to_numpy(), table.column("n").to_numpy(), tokens
 
-    def unite(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.parent[max(i, j)] = min(i, j)
 
+def family_links(rows: DataFrame, bins: int, percent: int = PERCENT) -> DataFrame:
+    """(a, b): every set of rows (family, id, n, tokens) that links, with the least set of its component."""
 
-def _links(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
-    if len(s) > len(t):
-        s, t = t, s
-    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-    both = int((t[at] == s).sum())
-    return 100 * both >= percent * (len(s) + len(t) - both)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("family", "ascending"), ("id", "ascending")]).combine_chunks()
+        ids, n, tokens = _sets_of(table)
+        family = table.column("family").to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], family[1:] != family[:-1])))
+        a, b = [], []
+        for lo, hi in zip(first, [*first[1:], len(ids)]):
+            every = np.arange(hi - lo)
+            _, label = tree_links(n[lo:hi], tokens[lo:hi], every, every, every, percent)
+            a.append(ids[lo:hi])
+            b.append(ids[lo + np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        # A least set stands for itself where others link with it.
+        keep = (a != b) | np.isin(a, b[a != b])
+        return pa.table({"a": a[keep], "b": b[keep]})
+
+    dealt = rows.withColumn("bin", F.pmod(F.xxhash64("family"), F.lit(bins)))
+    return dealt.groupBy("bin").applyInArrow(run, "a long, b long")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
+    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("left"), F.col("n").alias("p"))
+    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("right"), F.col("n").alias("q"))
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y, n, m in zip(*(batch.column(c) for c in ("left", "right", "p", "q"))):
+                keep.append(_links(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), n.as_py(), m.as_py(), percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
-def block_links(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that join what is left apart in each family: rows (family, id, c).
+def block_links(rows: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) that join what is left apart in large families: rows (family, id, c, n, tokens).
 
-    Sets already in the family's main component share blocks of their own, which are never compared
-    with each other; every other pair of blocks (of at most about ``BLOCK`` sets each) is one group, in
-    which two signature trees are traversed and surviving pairs of different components are verified.
+    A cell holds the sets of a family of like size, those of its main component apart from the others;
+    it is dealt into blocks. Sets that link differ in size by a cell at most.
     """
-    main = rows.groupBy("family", "c").agg(F.count("*").alias("n"))
-    sizes = main.groupBy("family").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n"))
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    sizes = sizes.where("inside < n").select("family", "main", blocks(F.col("inside")).alias("k0"), blocks(F.col("n") - F.col("inside")).alias("k1"))
-    # Few sets in all: they are one block.
-    sizes = sizes.withColumn("one", (F.col("k0") == 1) & (F.col("k1") == 1))
-    dealt = rows.join(sizes, "family")
-    deal = lambda k: F.pmod(F.xxhash64("id"), k).cast("int")
-    inner = F.col("c") == F.col("main")
-    own = F.when(F.col("one"), 0).when(inner, deal(F.col("k0"))).otherwise(F.col("k0") + deal(F.col("k1")))
-    dealt = dealt.withColumn("own", own)
-    last = F.col("k0") + F.col("k1") - 1
-    others = F.when(F.col("one"), F.array(F.lit(0))).when(inner, F.sequence(F.col("k0"), last)).otherwise(F.sequence(F.lit(0), last))
-    dealt = dealt.select("family", "id", "c", "own", F.explode(others).alias("other"))
-    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c")
-    dealt = dealt.join(sets.select("id", "tokens"), "id")
-    kind = sets.schema["id"].dataType.simpleString()
+    main = rows.groupBy("family", "c").agg(F.count("*").alias("many"))
+    main = main.groupBy("family").agg(F.max_by("c", F.struct("many", "c")).alias("main"), F.count("*").alias("parts"))
+    rows = rows.join(main.where("parts > 1").drop("parts"), "family")
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    rows = rows.withColumn("cell", 2 * step + (F.col("c") == F.col("main")).cast("int")).drop("main")
+    cells = rows.groupBy("family", "cell").agg(F.ceil(F.sum(F.octet_length("tokens") + 64) / block_bytes).cast("int").alias("k"))
+    cells = cut(cells, "cells")
+    other = cells.select("family", F.col("cell").alias("cell2"), F.col("k").alias("k2"))
+    near = F.abs(F.floor(F.col("cell") / 2) - F.floor(F.col("cell2") / 2)) <= 1
+    pairs = cells.join(other, "family").where(near & ~((F.col("cell") % 2 == 1) & (F.col("cell2") % 2 == 1)))
+    name = lambda cell, place: F.col(cell).cast("long") * (1 << 32) + place
+    dealt = rows.join(pairs, ["family", "cell"]).withColumn("own", name("cell", F.pmod(F.xxhash64("id"), F.col("k"))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k2") - 1))).withColumn("other", name("cell2", F.col("other")))
+    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c", "n", "tokens")
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id").combine_chunks()
+        ids, n, tokens = _sets_of(table)
         own = table.column("own").to_numpy()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        ids = table.column("id").to_pylist()
-        tokens = [np.frombuffer(t, "<u8") for t in table.column("tokens").to_pylist()]
-        n = np.array([len(t) for t in tokens], np.int64)
-        bits = np.stack([signature(t) for t in tokens])
-        forest = Forest(table.column("c").to_pylist())
         x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
+        found = []
         if len(x) and len(y):
-            left = SignatureTree(n[x], bits[x])
-            right = left if i == j else SignatureTree(n[y], bits[y])
-            for p, q in left.partners(right, percent):
-                for u, v in zip(x[p].tolist(), y[q].tolist()):
-                    if u != v and forest.root(u) != forest.root(v) and _links(tokens[u], tokens[v], percent):
-                        forest.unite(u, v)
-                        a.append(ids[u])
-                        b.append(ids[v])
-        return pa.table({"a": pa.array(a, table.schema.field("id").type), "b": pa.array(b, table.schema.field("id").type)})
-
-    return dealt.groupBy("family", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
-
-
-def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(id, component) of the sets (id, n, tokens) that link with another one."""
-    kind = sets.schema["id"].dataType.simpleString()
-    spark = sets.sparkSession
-    rows = cut(prefix_rows(sets, percent), "prefixes")
-    release(spark)
-    near = cut(
-        rows.join(rows.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last"), "token")
-        .groupBy("id", "lead").agg(F.count("*").alias("times")).where("id <> lead"), "near",
-    )
-    drop(rows)
-    if near.isEmpty():
-        return spark.createDataFrame([], f"id {kind}, component {kind}")
+            found, _ = tree_links(n, tokens, table.column("c").to_numpy(), x, x if i == j else y, percent)
+        return pa.table({"a": pa.array([ids[u] for u, _ in found], pa.int64()), "b": pa.array([ids[v] for _, v in found], pa.int64())})
+
+    return dealt.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def link_components(sets: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, component) of the sets (id, n, tokens, prefix) that link with another one."""
+    rows = sets.select("id", F.explode("prefix").alias("token"))
+    leads = rows.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("token", "lead")
+    near = cut(rows.join(leads, "token").where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("times")), "near")
     # A family: sets that chains of shared prefix shingles connect. Links never leave a family.
-    family = components(near, "id", "lead").withColumnRenamed("component", "family")
-    # One round against a leader each, the one with most shared prefix shingles.
-    star = near.groupBy(F.col("id").alias("a")).agg(F.max_by("lead", F.struct("times", "lead")).alias("b"))
-    links = cut(verify(star, sets, percent), "links")
-    release(spark)
-    found = components(links)
-    apart = family.join(found, "id", "left").select("family", "id", F.coalesce("component", "id").alias("c"))
-    links = cut(links.unionByName(block_links(apart, sets, percent)), "links")
-    release(spark)
+    family = components(near, "id", "lead")
+    held = cut(sets.select("id", "n", "tokens").join(family.withColumnRenamed("component", "family"), "id"), "families")
+    weight = F.sum(F.octet_length("tokens") + 64).alias("weight")
+    weights = held.groupBy("family").agg(weight)
+    total, widest = weights.agg(F.sum("weight"), F.max("weight")).first()
+    if not total:
+        drop(near, family, held)
+        return sets.sparkSession.createDataFrame([], "id long, component long")
+    bins = max(1, -(-total // block_bytes))
+    if widest <= block_bytes:
+        links = family_links(held, bins, percent)
+    else:
+        large = cut(weights.where(F.col("weight") > block_bytes).select("family"), "large")
+        small = held.join(large, "family", "left_anti")
+        big = held.join(large, "family")
+        # One round against a leader each, the one with most shared prefix shingles.
+        star = near.groupBy(F.col("id").alias("a")).agg(F.max_by("lead", F.struct("times", -F.col("lead"))).alias("b"))
+        first = cut(verify(star.join(big.select(F.col("id").alias("a")), "a"), big, percent), "stars")
+        found = components(first)
+        apart = big.join(found, "id", "left").select("family", "id", "n", "tokens", F.coalesce("component", "id").alias("c"))
+        links = family_links(small, bins, percent).unionByName(first).unionByName(block_links(apart, percent, block_bytes))
+    links = cut(links, "links")
+    drop(near, family, held)
+    if widest <= block_bytes:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return components(links)
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    sizes = cut(shared_counts(base, percent), "shingles")
+    every = cut(shared_sets(base, percent), "shingles")
     release(spark)  # what is exchanged goes as soon as its result is a table
-    wanted = sizes.where("candidate").select("doc_id").distinct()
-    every = cut(candidate_sets(base.join(wanted, "doc_id", "left_semi")).where("n > 0"), "sets")
-    del wanted
-    release(spark)
-    classes = cut(every.groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("id")), "classes")
-    one = every.join(classes, ["key1", "key2", "n"]).where(F.col("doc_id") == F.col("id"))
-    sets = cut(one.select("id", "n", "tokens").dropDuplicates(["id", "n"]), "representatives")
-    member = cut(every.select("doc_id", "key1", "key2", "n").join(classes, ["key1", "key2", "n"]).select("doc_id", "id"), "members")
-    del one
-    drop(every, classes)
-    found = link_components(sets, percent)
-    member = member.join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
-    # A document id that stands for several texts joins their components.
-    member = member.groupBy("doc_id").agg(F.min("component").alias("component"))
-    return sizes.join(member, "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    may = every.where("key1 is not null")
+    classes = cut(may.groupBy("key1", "key2", "n").agg(F.min("rid").alias("id")), "classes")
+    member = cut(may.select("rid", "doc_id", "key1", "key2", "n").join(classes, ["key1", "key2", "n"]).select("rid", "doc_id", "id"), "members")
+    sets = may.select(F.col("rid").alias("id"), "n", "tokens", "prefix").join(classes.select("id"), "id", "left_semi")
+    sets = cut(sets, "representatives")
+    drop(classes)
+    found = link_components(sets, percent, block_bytes)
+    drop(sets)
+    member = member.join(found, "id", "left").select("rid", "doc_id", F.coalesce("component", "id").alias("class"))
+    # Rows that share an id are one document.
+    again = every.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("many"), F.min("rid").alias("lead")).where("many > 1")
+    again = cut(every.select("rid", "doc_id").join(again, "doc_id").select("rid", "lead"), "repeated")
+    if again.limit(1).count():
+        links = member.select(F.col("rid").alias("a"), F.col("class").alias("b")).union(again.select("rid", "lead"))
+        joined = components(links)
+        member = every.select("rid", "doc_id").join(joined, F.col("rid") == F.col("id")).select("rid", "doc_id", F.col("component").alias("class"))
+    member = cut(member, "classes")
+    least = member.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("many")).where("many > 1")
+    named = member.join(least, "class").select("rid", "component_id")
+    return every.select("rid", "doc_id", "n").join(named, "rid", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a default of our own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; a local default only in local mode, where all is one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "/tmp/loomgrid-checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -31,15 +34,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` once nothing lazy reads them, and free shuffle files."""
     for table in tables:
         path = getattr(table, "_loomgrid_path", None)
         if path:
-            jvm = table.sparkSession._jvm
-            conf = table.sparkSession._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            delete(table.sparkSession, path)
     if tables:
         release(tables[0].sparkSession)
 

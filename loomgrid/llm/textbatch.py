@@ -15,8 +15,14 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once; a longer text is one slice by itself.
 SLICE_BYTES = 4 << 20
 
+#: Bytes of a buffer whose words are found and hashed at once; a longer word is one piece by itself.
+PIECE_BYTES = 1 << 20
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 64
+
 _MULT = np.uint64(0x9E3779B97F4A7C55)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,26 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
-
-
-_BYTES = _byte_values()
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2**64, at least ``n`` of each."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        inverse = np.uint64(pow(int(_MULT), -1, 1 << 64))
-        for name, base in (("up", _MULT), ("down", inverse)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -90,31 +76,79 @@ ALNUM = table_of(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
 def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of each maximal run of member bytes inside one text."""
+    if not len(data):
+        return (np.empty(0, np.int64),) * 3
     inside = member[data]
-    before = np.empty_like(inside)
-    before[:1] = False
-    before[1:] = inside[:-1]
-    edges = offsets[(offsets > 0) & (offsets < len(data))]
-    before[edges] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty_like(inside)
-    after[-1:] = False
-    after[:-1] = inside[1:]
-    after[edges - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] for each span, from one prefix sum of byte values."""
+    flips = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    rising = inside[flips]
+    edges = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
+    glued = edges[inside[edges - 1] & inside[edges]]
+    starts = np.concatenate((np.zeros(int(inside[0]), np.int64), flips[rising], glued))
+    ends = np.concatenate((flips[~rising], np.full(int(inside[-1]), len(data)), glued))
+    if len(glued):
+        starts.sort()
+        ends.sort()
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+
+
+def pieces(data: np.ndarray, member: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``limit`` bytes of the buffer that cut no run of member bytes."""
+    lo = 0
+    while lo < len(data):
+        hi = lo + limit
+        while hi < len(data):
+            gap = np.flatnonzero(~member[data[hi : hi + limit]])
+            if len(gap):
+                hi += int(gap[0])
+                break
+            hi += limit
+        hi = min(hi, len(data))
+        yield lo, hi
+        lo = hi
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, lower: bool = False, seeds: tuple[int, ...] = (0,)):
+    """(words of each text, a hash of every word for each seed), in bounded working memory however long a text is."""
+    bounds, hashes, held = np.zeros(len(offsets), np.int64), [[] for _ in seeds], 0
+    for lo, hi in pieces(data, member):
+        part = LOWER[data[lo:hi]] if lower else data[lo:hi]
+        first, last = np.searchsorted(offsets, [lo, hi])
+        own = np.concatenate(([0], offsets[first:last] - lo, [hi - lo]))
+        starts, ends, _ = words(part, own, member)
+        bounds[first:last] = held + np.searchsorted(starts, offsets[first:last] - lo)
+        held += len(starts)
+        for out, seed in zip(hashes, seeds):
+            out.append(span_hashes(part, starts, ends, seed))
+    bounds[np.searchsorted(offsets, len(data)) :] = held
+    return np.diff(bounds), *(np.concatenate([np.empty(0, np.uint64), *out]) for out in hashes)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of data[start:end] for each span: eight bytes at a time, each step mixed with all before it."""
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) * _STEP + np.uint64(seed + 1))
     if not len(starts):
-        return np.empty(0, np.uint64)
-    up, down = _powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTES[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * down[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * _STEP)
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    left, at = np.flatnonzero(sizes <= LONG_WORD), 0
+    left = slice(None) if len(left) == len(sizes) else left
+    while True:
+        rest = sizes[left] - at
+        if at:
+            more = np.flatnonzero(rest > 0)
+            left = more if isinstance(left, slice) else left[more]
+            rest = rest[more]
+        if not len(rest):
+            break
+        out[left] = mix((out[left] + np.uint64(at)) * _MULT ^ (lanes[starts[left] + at] & _MASKS[np.minimum(rest, 8)]))
+        at += 8
+    if (sizes > LONG_WORD).any():
+        import xxhash
+
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            out[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed + 1))
+    return out
 
 
 def row_bounds(rows: np.ndarray, n: int) -> np.ndarray:

@@ -17,7 +17,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_
 
 def frame(spark, texts, ids=None):
     ids = ids or range(len(texts))
-    rows = [(i, t, "en" if i % 2 else None, "s", len(t or ""), -1, "clash") for i, t in zip(ids, texts)]
+    rows = [(i, t, "en" if (i or 0) % 2 else None, "s", len(t or ""), -1, "clash") for i, t in zip(ids, texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -88,12 +88,17 @@ def near_copies(rng):
     return [*texts, texts[-1], texts[-1]]
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_jaccard_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
-    texts = near_copies(random.Random(3))
+def thue_morse(n):
+    """A word over two letters and its complement: polynomial hashes modulo 2**64 can't tell them apart."""
+    bits = [k.bit_count() % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("block", [8 << 20, 3000])
+def test_jaccard_equals_brute_force(spark, block):
+    texts = [*near_copies(random.Random(3)), *thue_morse(2048)]
     sizes, label = _components(texts)
-    got = {r.doc_id: r for r in jaccard.join(frame(spark, texts)).collect()}
+    got = {r.doc_id: r for r in jaccard.join(frame(spark, texts), block_bytes=block).collect()}
     assert [got[i].n_shingles for i in range(len(texts))] == sizes
     assert [got[i].component_id for i in range(len(texts))] == label
     kept = jaccard.keep_one(frame(spark, texts))
@@ -104,12 +109,42 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, block):
 def test_signature_tree_loses_no_link():
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 2**63, 400, dtype=np.int64).view(np.uint64)
-    sets = [np.unique(rng.choice(pool[(i % 5) * 60 : (i % 5) * 60 + 90], 80)) for i in range(90)]
-    tree = jaccard.SignatureTree(np.array([len(s) for s in sets]), np.stack([jaccard.signature(s) for s in sets]))
+    sets = [np.unique(rng.choice(pool[(i % 5) * 60 : (i % 5) * 60 + 90], 82, replace=False)) for i in range(90)]
+    n = np.array([len(s) for s in sets])
+    bits = jaccard.signatures(sets)
+    tree = jaccard.SignatureTree(n, n, bits)
+    half = [jaccard.SignatureTree(n[k::2], n[k::2], bits[k::2]) for k in (0, 1)]
     found = {(int(a), int(b)) for x, y in tree.partners(tree) for a, b in zip(x, y)}
-    for a, b in itertools.permutations(range(len(sets)), 2):
-        if jaccard._links(sets[a], sets[b], 75):
-            assert (a, b) in found
+    across = {(2 * int(a), 2 * int(b) + 1) for x, y in half[0].partners(half[1]) for a, b in zip(x, y)}
+    linked = 0
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if jaccard._links(sets[a], sets[b], len(sets[a]), len(sets[b]), 75):
+            linked += 1
+            assert (a, b) in found or (b, a) in found
+            assert a % 2 == b % 2 or ((a, b) if b % 2 else (b, a)) in across
+    assert linked
+
+
+def test_jaccard_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(21)
+    x, y = prose(rng, 40), prose(rng, 40)
+    # 7 holds both texts, so all rows are one component; nulls link through their text.
+    docs = frame(spark, [x, y, y, x, x + " tail", prose(rng, 30)], [5, 9, 7, 7, None, None])
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.join(docs).collect())
+    assert got == sorted([(5, 36, 5), (9, 36, 5), (7, 36, 5), (7, 36, 5), (0, 37, 5), (0, 26, None)])
+    assert sorted((r.doc_id or 0) for r in jaccard.keep_one(docs).collect()) == [0, 0, 5]
+
+
+def test_jaccard_family_of_unlinked_sets(spark):
+    """Documents put together from common passages: one family, none of them linked but for two."""
+    rng = random.Random(22)
+    passages = [prose(rng, 12) for _ in range(60)]
+    texts = [" ".join(rng.sample(passages, 6)) for _ in range(400)]
+    texts.append(texts[0] + " end")
+    sizes, label = _components(texts)
+    for block in (8 << 20, 60_000):
+        got = {r.doc_id: r for r in jaccard.join(frame(spark, texts), block_bytes=block).collect()}
+        assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == list(zip(sizes, label))
 
 
 def test_lm_scores_equal_brute_force(spark):
