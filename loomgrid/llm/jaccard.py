@@ -4,11 +4,11 @@ Texts are lower-cased (A-Z) and cut into words ``[^\\x20\\x09-\\x0D]+``; a docum
 distinct shingles of five words, or its whole sequence if it has fewer. Two documents link where
 100 * intersection >= 75 * union; the result is each document's connected component.
 
-1. Chunks of documents send out their distinct shingles by hash range, once each with the number of
-   documents of the chunk that hold it, so a shingle in a third of all documents is one entry of a chunk.
-   The chunks get back which ones occur in other documents, and how often. Shingles of one document only
-   can't be shared, so a set is from there on its size and its shared shingles; a document that has
-   fewer of those than a partner must share has no partner and is done.
+1. Chunks of documents (a table of its own) send out the leading bits of their distinct shingles' hashes
+   by range, once each with the number of documents of the chunk that hold it, so a shingle in a third of
+   all documents is one entry of a chunk. The chunks get back in how many others it occurs. Shingles of one
+   document only can't be shared, so a set is from there on its size and its shared shingles; a document
+   that has fewer of those than a partner must share has no partner and is done.
 2. Equal sets become one representative. With shingles sorted rare ones first, two sets that link share
    one of their first ``n - ceil(0.75 n) + 1``; chains of such shared shingles make families, which no
    link leaves.
@@ -36,23 +36,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packing as pk
 from . import textbatch as tb
+from .chunks import chunk_table, open_text, slices
 from .components import components
-from .store import cut, drop, release
+from .store import cut, drop
 
 SHINGLE = 5
 PERCENT = 75
-CHUNK_BYTES = 12 << 20
-#: A chunk has fewer rows than this, so that chunk and place make a row number.
-CHUNK_ROWS = 1 << 20
+CHUNK_BYTES = 6 << 20
 #: Bytes of shared shingles that one bin or block holds, about.
 BLOCK_BYTES = 8 << 20
 LEAF, FAN = 16, 8
+#: (id, family) rows that are broadcast at most, 16 bytes each; more are joined by a shuffle of the sets.
+BROADCAST_ROWS = 4 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -86,22 +86,14 @@ def need(n: int | np.ndarray, percent: int = PERCENT):
     return -(-n * percent // 100)
 
 
-def _chunk_sets(batches: Iterator[pa.RecordBatch], limit: int):
-    """(ids, hashes, sizes) of about ``limit`` bytes of text."""
-    ids, tokens, sizes, held, rows = [], [], [], 0, 0
-    for batch in batches:
-        for part in tb.slices(iter([batch]), "text", 2 << 20):
-            data, offsets = tb.text_buffer(part.column("text"))
-            t, bounds = shingle_sets(data, offsets)
-            ids.append(part.column("doc_id"))
-            tokens.append(t)
-            sizes.append(np.diff(bounds))
-            held, rows = held + len(data), rows + part.num_rows
-            if held >= limit or 2 * rows >= CHUNK_ROWS:
-                yield pa.chunked_array(ids).combine_chunks(), np.concatenate(tokens), np.concatenate(sizes)
-                ids, tokens, sizes, held, rows = [], [], [], 0, 0
-    if ids:
-        yield pa.chunked_array(ids).combine_chunks(), np.concatenate(tokens), np.concatenate(sizes)
+def chunk_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes) of the sets of a chunk."""
+    tokens, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for lo, hi in slices(data, offsets, 2 << 20):
+        t, bounds = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        tokens.append(t)
+        sizes.append(np.diff(bounds))
+    return np.concatenate(tokens), np.concatenate(sizes)
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -115,98 +107,77 @@ def _binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def shared_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(rid, doc_id, n, key1, key2, tokens, prefix), one row for each document.
+    """(rid, doc_id, n, key1, key2, held, tokens, prefix), one row for each document, as a table.
 
     ``rid`` numbers the rows, ``n`` is the size of the set. Only documents that may have a partner have
-    keys (equal for equal sets), the shingles that they share with others, and a prefix of these,
+    keys (equal for equal sets), the ``held`` shingles that they share with others, and a prefix of these,
     rare ones first, of which two sets that link have one in common.
     """
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["chunk", "bucket", "ids", "sizes", "owners", "size", "times", "tokens"]
-    schema = f"chunk long, bucket int, ids array<{kind}>, sizes binary, owners binary, size long, times binary, tokens binary"
+    chunks = chunk_table(docs, CHUNK_BYTES, "shingle-chunks")
+    # Shingles are counted by so many leading bits of their hashes that few of one document meet others by chance.
+    whole = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    drop_bits = np.uint64(max(0, 64 - int(whole).bit_length() - 10))
 
     def scan(batches):
-        from pyspark import TaskContext
-
-        first = TaskContext.get().partitionId() << 20
-        for number, (ids, tokens, sizes) in enumerate(_chunk_sets(batches, CHUNK_BYTES)):
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.argsort(tokens)
-            tokens, owner = tokens[order], owner[order]
-            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(tokens)), bool), tokens[1:] != tokens[:-1])))
-            times = np.diff(np.append(new, len(tokens)))
-            tokens = tokens[new]
-            bounds = pk.bounds_of(tokens, buckets)
-            full = np.flatnonzero(np.diff(bounds)).tolist()
-            n = len(full)
-            parts = [slice(bounds[j], bounds[j + 1]) for j in full]
-            empty = [None] * n
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([first + number] * (n + 1), pa.int64()),
-                    pa.array([(first + number) % buckets, *full], pa.int32()),
-                    pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.nulls(n, pa.list_(ids.type))]),
-                    pa.array([pk.pack(sizes), *empty], pa.binary()),
-                    pa.array([pk.pack(owner), *empty], pa.binary()),
-                    pa.array([0, *(bounds[j + 1] - bounds[j] for j in full)], pa.int64()),
-                    pa.array([None, *(pk.pack(times[p]) for p in parts)], pa.binary()),
-                    pa.array([None, *(pk.pack_rising(tokens[p]) for p in parts)], pa.binary()),
-                ],
-                names=names,
-            )
+        for batch in batches:
+            for chunk, sizes, text in zip(*(batch.column(c) for c in ("chunk", "sizes", "text"))):
+                tokens, _ = chunk_sets(*open_text(text, sizes))
+                known, times = np.unique(tokens >> drop_bits, return_counts=True)
+                bounds = pk.bounds_of(known << drop_bits, buckets)
+                full = np.flatnonzero(np.diff(bounds)).tolist()
+                parts = [slice(bounds[j], bounds[j + 1]) for j in full]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([chunk.as_py()] * len(full), pa.int64()),
+                        pa.array(full, pa.int32()),
+                        pa.array([pk.pack(times[p]) for p in parts], pa.binary()),
+                        pa.array([pk.pack_rising(known[p] - known[p.start]) for p in parts], pa.binary()),
+                        pa.array(known[bounds[full]].view(np.int64)),
+                    ],
+                    names=["chunk", "bucket", "times", "known", "base"],
+                )
 
     def count(table: pa.Table) -> pa.Table:
         """Back to each chunk: which of its shingles of a range occur in several documents, and in how many."""
-        lists = table.filter(pc.is_null(table.column("tokens")))
-        rows = table.filter(pc.is_valid(table.column("tokens")))
-        out = [lists.append_column("often", pa.nulls(lists.num_rows, pa.binary())).append_column("shared", pa.nulls(lists.num_rows, pa.binary()))]
-        if rows.num_rows:
-            tokens = [pk.unpack_rising(x.as_py()) for x in rows.column("tokens")]
-            times = np.concatenate([pk.unpack(x.as_py()) for x in rows.column("times")])
-            everything = np.concatenate(tokens)
-            order = np.argsort(everything)
-            new = np.concatenate(([True], np.diff(everything[order]) != 0))
-            total = np.add.reduceat(times[order], np.flatnonzero(new))
-            often = np.empty(len(order), np.uint64)
-            often[order] = total[np.cumsum(new) - 1]
-            ends = np.cumsum([len(t) for t in tokens])
-            more = [often[e - len(t) : e] > 1 for t, e in zip(tokens, ends)]
-            back = {
-                "often": [pk.pack(often[e - len(t) : e][m]) for t, e, m in zip(tokens, ends, more)],
-                "shared": [np.packbits(m).tobytes() for m in more],
-                "tokens": [pk.pack_rising(t[m]) for t, m in zip(tokens, more)],
+        base = table.column("base").to_numpy().view(np.uint64)
+        known = [pk.unpack_rising(x.as_py()) + b for x, b in zip(table.column("known"), base)]
+        times = np.concatenate([pk.unpack(x.as_py()) for x in table.column("times")])
+        everything = np.concatenate(known)
+        order = np.argsort(everything)
+        new = np.concatenate(([True], np.diff(everything[order]) != 0))
+        total = np.add.reduceat(times[order], np.flatnonzero(new))
+        often = np.empty(len(order), np.uint64)
+        often[order] = total[np.cumsum(new) - 1]
+        ends = np.cumsum([len(t) for t in known])
+        parts = [often[e - len(t) : e] for t, e in zip(known, ends)]
+        return pa.table(
+            {
+                "chunk": table.column("chunk"),
+                "bucket": table.column("bucket"),
+                "often": pa.array([pk.pack(p - 1) for p in parts], pa.binary()),
             }
-            rows = rows.drop_columns(["tokens"])
-            for name in ("often", "shared", "tokens"):
-                rows = rows.append_column(name, pa.array(back[name], pa.binary()))
-            out.append(rows)
-        return pa.concat_tables([t.select([*names, "often", "shared"]) for t in out])
-
-    def finish(table: pa.Table) -> pa.Table:
-        head = table.filter(pc.is_valid(table.column("sizes")))
-        rows = table.filter(pc.is_null(table.column("sizes"))).sort_by("bucket")
-        sizes = pk.unpack(head.column("sizes")[0].as_py()).astype(np.int64)
-        owners = pk.unpack(head.column("owners")[0].as_py()).astype(np.int64)
-        n, none = len(sizes), [np.empty(0, np.uint64)]
-        take = lambda c, f: np.concatenate(none + [f(x.as_py()) for x in rows.column(c)])
-        times = take("times", pk.unpack).astype(np.int64)
-        tokens, often = take("tokens", pk.unpack_rising), take("often", pk.unpack)
-        bits = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[:m] for x, m in zip(rows.column("shared"), rows.column("size").to_pylist())]
-        shared = np.concatenate([np.empty(0, np.uint8), *bits]).astype(bool)
-        owners, times = owners[np.repeat(shared, times)], times[shared]
-        tokens, often = np.repeat(tokens, times), np.repeat(often, times)
+        )
+
+    def finish(chunk: pa.Table, back: pa.Table) -> pa.Table:
+        tokens, sizes = chunk_sets(*open_text(chunk.column("text")[0], chunk.column("sizes")[0]))
+        n = len(sizes)
+        others = np.concatenate([np.empty(0, np.uint64), *(pk.unpack(x.as_py()) for x in back.sort_by("bucket").column("often"))])
+        owners = np.repeat(np.arange(n), sizes)
+        often = others[np.unique(tokens >> drop_bits, return_inverse=True)[1]]
+        shared = often > 0
+        owners, tokens, often = owners[shared], tokens[shared], often[shared]
         held = np.bincount(owners, minlength=n)
         may = (sizes > 0) & (held >= need(sizes, percent))
         keep = may[owners]
-        owners, tokens, often = owners[keep], tokens[keep], often[keep]
-        order = np.lexsort((tokens, owners))
-        own, tokens, often = owners[order], tokens[order], often[order]
+        own, tokens, often = owners[keep], tokens[keep], often[keep]
         bounds = np.searchsorted(own, np.arange(n + 1))
         rare = np.lexsort((tokens, often, own))
         place = np.arange(len(own)) - bounds[own]
         prefix = rare[place < (held - need(sizes, percent) + 1)[own]]
-        rid = (head.column("chunk")[0].as_py() << 20) + np.arange(n)
+        rid = (chunk.column("chunk")[0].as_py() << 20) + np.arange(n)
         keys = []
         for k in (1, 2):
             sums = np.concatenate(([np.uint64(0)], np.cumsum(tb.mix(tokens + np.uint64(k)), dtype=np.uint64)))
@@ -216,19 +187,26 @@ def shared_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return pa.table(
             {
                 "rid": pa.array(rid, pa.int64()),
-                "doc_id": head.column("ids").combine_chunks()[0].values,
+                "doc_id": chunk.column("ids").combine_chunks()[0].values,
                 "n": pa.array(sizes, pa.int64()),
                 "key1": keys[0],
                 "key2": keys[1],
+                "held": pa.array(held, pa.int64()),
                 "tokens": _binaries(tokens, bounds),
                 "prefix": _lists(tokens[prefix].view(np.int64), np.searchsorted(own[prefix], np.arange(n + 1))),
             }
         )
 
-    counted = docs.mapInArrow(scan, schema).groupBy("bucket").applyInArrow(count, schema + ", often binary, shared binary")
-    return counted.groupBy("chunk").applyInArrow(
-        finish, f"rid long, doc_id {kind}, n long, key1 long, key2 long, tokens binary, prefix array<long>"
-    )
+    counted = (
+        chunks.select("chunk", "sizes", "text")
+        .mapInArrow(scan, "chunk long, bucket int, times binary, known binary, base long")
+        .groupBy("bucket").applyInArrow(count, "chunk long, bucket int, often binary")
+    )
+    schema = f"rid long, doc_id {kind}, n long, key1 long, key2 long, held long, tokens binary, prefix array<long>"
+    found = cut(chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(finish, schema), "shingles")
+    del counted
+    drop(chunks)
+    return found
 
 
 def signatures(tokens: list[np.ndarray]) -> np.ndarray:
@@ -399,54 +377,50 @@ def block_links(rows: DataFrame, percent: int = PERCENT, block_bytes: int = BLOC
     return dealt.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def link_components(sets: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, component) of the sets (id, n, tokens, prefix) that link with another one."""
+def link_components(sets: DataFrame, tokens: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, component) of the sets (id, n, held, prefix) that link with another one; ``tokens`` has (id, n, tokens)."""
     rows = sets.select("id", F.explode("prefix").alias("token"))
     leads = rows.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("token", "lead")
     near = cut(rows.join(leads, "token").where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("times")), "near")
     # A family: sets that chains of shared prefix shingles connect. Links never leave a family.
     family = components(near, "id", "lead")
-    held = cut(sets.select("id", "n", "tokens").join(family.withColumnRenamed("component", "family"), "id"), "families")
-    weight = F.sum(F.octet_length("tokens") + 64).alias("weight")
-    weights = held.groupBy("family").agg(weight)
-    total, widest = weights.agg(F.sum("weight"), F.max("weight")).first()
+    named = family.withColumnRenamed("component", "family")
+    sized = named.join(sets.select("id", "held"), "id").groupBy("family").agg(F.sum(8 * F.col("held") + 64).alias("weight"), F.count("*").alias("many"))
+    sized = cut(sized, "family-sizes")
+    total, widest, many = sized.agg(F.sum("weight"), F.max("weight"), F.sum("many")).first()
     if not total:
-        drop(near, family, held)
+        drop(near, family, sized)
         return sets.sparkSession.createDataFrame([], "id long, component long")
     bins = max(1, -(-total // block_bytes))
+    held = tokens.join(F.broadcast(named) if many <= BROADCAST_ROWS else named, "id")
     if widest <= block_bytes:
-        links = family_links(held, bins, percent)
-    else:
-        large = cut(weights.where(F.col("weight") > block_bytes).select("family"), "large")
-        small = held.join(large, "family", "left_anti")
-        big = held.join(large, "family")
-        # One round against a leader each, the one with most shared prefix shingles.
-        star = near.groupBy(F.col("id").alias("a")).agg(F.max_by("lead", F.struct("times", -F.col("lead"))).alias("b"))
-        first = cut(verify(star.join(big.select(F.col("id").alias("a")), "a"), big, percent), "stars")
-        found = components(first)
-        apart = big.join(found, "id", "left").select("family", "id", "n", "tokens", F.coalesce("component", "id").alias("c"))
-        links = family_links(small, bins, percent).unionByName(first).unionByName(block_links(apart, percent, block_bytes))
-    links = cut(links, "links")
-    drop(near, family, held)
-    if widest <= block_bytes:
+        links = cut(family_links(held, bins, percent), "links")
+        drop(near, family, sized)
         return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    held = cut(held, "families")
+    large = sized.where(F.col("weight") > block_bytes).select("family")
+    small, big = held.join(large, "family", "left_anti"), held.join(large, "family")
+    # One round against a leader each, the one with most shared prefix shingles.
+    star = near.groupBy(F.col("id").alias("a")).agg(F.max_by("lead", F.struct("times", -F.col("lead"))).alias("b"))
+    first = cut(verify(star.join(big.select(F.col("id").alias("a")), "a"), big, percent), "stars")
+    found = components(first)
+    apart = big.join(found, "id", "left").select("family", "id", "n", "tokens", F.coalesce("component", "id").alias("c"))
+    links = family_links(small, bins, percent).unionByName(first).unionByName(block_links(apart, percent, block_bytes))
+    links = cut(links, "links")
+    drop(near, family, sized, held, first, found)
     return components(links)
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    spark = docs.sparkSession
-    every = cut(shared_sets(base, percent), "shingles")
-    release(spark)  # what is exchanged goes as soon as its result is a table
+    every = shared_sets(base, percent)
     may = every.where("key1 is not null")
-    classes = cut(may.groupBy("key1", "key2", "n").agg(F.min("rid").alias("id")), "classes")
-    member = cut(may.select("rid", "doc_id", "key1", "key2", "n").join(classes, ["key1", "key2", "n"]).select("rid", "doc_id", "id"), "members")
-    sets = may.select(F.col("rid").alias("id"), "n", "tokens", "prefix").join(classes.select("id"), "id", "left_semi")
-    sets = cut(sets, "representatives")
-    drop(classes)
-    found = link_components(sets, percent, block_bytes)
-    drop(sets)
+    # Of equal sets the first stands for all, and the others' shingles are not exchanged.
+    sets = may.groupBy("key1", "key2", "n").agg(F.min("rid").alias("id"), F.min_by(F.struct("held", "prefix"), "rid").alias("s"))
+    sets = cut(sets.select("key1", "key2", "n", "id", "s.*"), "classes")
+    member = may.select("rid", "doc_id", "key1", "key2", "n").join(sets.drop("held", "prefix"), ["key1", "key2", "n"]).select("rid", "doc_id", "id")
+    found = link_components(sets, may.select(F.col("rid").alias("id"), "n", "tokens"), percent, block_bytes)
     member = member.join(found, "id", "left").select("rid", "doc_id", F.coalesce("component", "id").alias("class"))
     # Rows that share an id are one document.
     again = every.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("many"), F.min("rid").alias("lead")).where("many > 1")
@@ -455,9 +429,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
         links = member.select(F.col("rid").alias("a"), F.col("class").alias("b")).union(again.select("rid", "lead"))
         joined = components(links)
         member = every.select("rid", "doc_id").join(joined, F.col("rid") == F.col("id")).select("rid", "doc_id", F.col("component").alias("class"))
-    member = cut(member, "classes")
     least = member.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("many")).where("many > 1")
-    named = member.join(least, "class").select("rid", "component_id")
+    named = cut(member.join(least, "class").select("rid", "component_id"), "named")
+    drop(sets, found, again)
     return every.select("rid", "doc_id", "n").join(named, "rid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
