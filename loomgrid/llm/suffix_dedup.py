@@ -6,24 +6,29 @@ suffix, only those at synchronising points are sorted: of the 32-byte strings in
 at equal places, so every repeat shows among suffixes that begin at anchors, with what stands before
 the anchor read backwards after it.
 
-1. Texts become chunks (a table of its own). Each chunk sends out hashes of a part that any repeat at
-   an anchor must share; anchors whose parts occur once in all chunks need no sorting (this finds out
-   which suffixes have distinguishing prefixes, as in prefix doubling).
-2. Each chunk sorts the suffixes at its remaining anchors; equal ones become one entry. The sorted runs
+1. Texts become chunks (a table of its own). The windows of an anchor are of two sides, near and far, each
+   with a part of 116 bytes or more that all its windows hold. Each chunk sends out the parts' hashes with
+   their numbers; a side whose part occurs once in all chunks needs no sorting (this finds out which
+   suffixes have distinguishing prefixes, as in prefix doubling).
+2. A part that occurs ``HOT`` times or more may still stand in no repeated window, or in few. For these, the
+   hashes of whole windows are counted in the same way, and only windows that repeat go on; so a short
+   passage in a third of all documents, each time among other words, is gone before anything is sorted.
+3. Each chunk sorts the suffixes at its remaining anchors; equal ones become one entry. The sorted runs
    are cut by hash range and exchanged front-coded: per entry the length of the prefix that it shares
-   with the one before, and the rest. A digest of an anchor's bytes leads each key, so ranges are even.
-3. Each range merges its runs with a loser tree that compares from known common prefixes only. The
+   with the one before, and the rest. The hash of the part leads each key, so ranges are even.
+4. Each range merges its runs with a loser tree that compares from known common prefixes only. The
    prefix lengths of neighbours bound, for every entry, the windows that can occur elsewhere; those are
-   settled on their bytes.
-4. Byte ranges go back to their chunks, which drop them from the texts.
+   settled on their bytes, so no result rests on a hash.
+5. Byte ranges go back to their chunks, which drop them from the texts.
 
 Entries of one run that are equal are merged before anything is sent, so a passage in a third of all
-documents is one entry per run. Rows are never dropped, and the work of a range is bounded by the
-distinct contexts of its anchors.
+documents is one entry per run. Rows are never dropped. What is settled together shares a part: fewer than
+``HOT`` places, or distinct contexts of windows that do repeat.
 
 Defined cases: null and empty texts keep nothing and lose nothing; texts shorter than ``LENGTH`` stay;
-repeated rows are repeats like any others and lose all their common bytes; an empty table gives an
-empty result; other columns are ignored.
+repeated rows are repeats like any others and lose all their common bytes; rows that share an id stay
+rows of their own; null ids stay null; an empty table gives an empty result; other columns are ignored.
+A long text is hashed in overlapping pieces; it is held whole, with its own repeated contexts.
 """
 
 from __future__ import annotations
@@ -33,42 +38,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import packing as pk
 from . import textbatch as tb
-from .bpe import _narrow, _wide
-from .lm_score import _edges, _pack, _unpack
-from .store import cut
+from .chunks import chunk_table, open_text, slices
+from .store import cut, drop
 
 LENGTH = 200
 KMER = 32
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 SLICE_BYTES = 1 << 20
-#: Windows that begin at most this far before their anchor are told apart from the others.
+#: Windows that begin at most this far before their anchor are its near side, the others its far side.
 NEAR = (LENGTH - KMER) // 2
 #: Ends a part of a key; it never occurs in UTF-8.
 END = b"\xff"
 LEAD = 8
+#: Places of a part from which on whole windows are counted.
+HOT = 64
+
+_MULT = np.uint64(0x9E3779B97F4A7C55)
+_BYTES = tb.mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2**64, at least ``n`` of each."""
+    if len(_POWERS.get("up", ())) < n:
+        inverse = np.uint64(pow(int(_MULT), -1, 1 << 64))
+        for name, base in (("up", _MULT), ("down", inverse)):
+            p = np.full(max(n, SLICE_BYTES + 2 * LENGTH), base, dtype=np.uint64)
+            p[0] = 1
+            _POWERS[name] = np.multiply.accumulate(p)
+    return _POWERS["up"], _POWERS["down"]
 
 
 def _span_values(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = tb._powers(len(data) + 1)
+    """Prefix sums of a rolling hash; it only picks anchors and sieves, whatever meets by chance is settled on bytes."""
+    up, down = _powers(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(tb._BYTES[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
+    np.cumsum(_BYTES[data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
     return sums, down
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows (anchor, first window, last window, hash of its bytes, near part's hash, far part's hash).
-
-    The windows are those that have this anchor; a part's hash is 0 where no window has that part.
-    """
+    """Rows (anchor, first window, last window, hash of the part that they all hold), one for each side of an anchor."""
     n = len(data)
     if n < LENGTH:
-        return np.empty((0, 6), np.uint64)
+        return np.empty((0, 4), np.uint64)
     sums, down = _span_values(data)
 
     def spans(starts, ends):
@@ -76,8 +95,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     width = LENGTH - KMER + 1
     at = np.arange(n - KMER + 1)
-    kmers = spans(at, at + KMER)
-    least = (kmers >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+    least = (spans(at, at + KMER) >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
     step = 1
     while step * 2 <= width:
         least = np.minimum(least[:-step], least[step:])
@@ -91,40 +109,33 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     np.add.at(cut_off, ends, -1)
     window = np.flatnonzero(np.cumsum(cut_off[: len(least)]) == 0)
     if not len(window):
-        return np.empty((0, 6), np.uint64)
+        return np.empty((0, 4), np.uint64)
     anchor = (least[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    far = anchor - window > NEAR
     new = np.ones(len(window), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1) | (far[1:] != far[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(window)) - 1
-    a, lo, hi = anchor[first], window[first], window[last]
-    near, far = a - hi <= NEAR, a - lo > NEAR
-    right = np.where(near, a + LENGTH - NEAR, a)
-    left = np.where(far, a - NEAR - 1, a)
-    near_hash = np.where(near, spans(a, right) | np.uint64(1), np.uint64(0))
-    far_hash = np.where(far, tb.mix(spans(left, a + KMER) + np.uint64(7)) | np.uint64(1), np.uint64(0))
-    return np.stack((a.astype(np.uint64), lo.astype(np.uint64), hi.astype(np.uint64), kmers[a], near_hash, far_hash), axis=1)
+    a, lo, hi, far = anchor[first], window[first], window[last], far[first]
+    part = spans(np.where(far, a - NEAR - 1, a), np.where(far, a + KMER, a + LENGTH - NEAR))
+    part = tb.mix(part + far.astype(np.uint64))
+    return np.stack((a.astype(np.uint64), lo.astype(np.uint64), hi.astype(np.uint64), part), axis=1)
 
 
 def chunk_anchors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """``anchors`` over slices of whole texts; places are those in ``data``."""
-    out, lo = [np.empty((0, 6), np.uint64)], 0
-    while lo < len(offsets) - 1:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, side="right")) - 1)
-        found = anchors(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        found[:, :3] += np.uint64(offsets[lo])
-        out.append(found)
-        lo = hi
+    """``anchors`` over slices of whole texts, and over overlapping pieces of long ones; places are those in ``data``."""
+    out = [np.empty((0, 4), np.uint64)]
+    for lo, hi in slices(data, offsets, SLICE_BYTES):
+        a, b = int(offsets[lo]), int(offsets[hi])
+        own = offsets[lo : hi + 1] - a
+        for at in range(a, max(b - LENGTH + 1, a + 1), SLICE_BYTES) if hi == lo + 1 else (a,):
+            end = min(b, at + SLICE_BYTES + LENGTH - 1) if hi == lo + 1 else b
+            found = anchors(data[at:end], np.array([0, end - at]) if hi == lo + 1 else own)
+            found[:, :3] += np.uint64(at)
+            out.append(found)
     return np.concatenate(out)
 
 
-def _parts(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct part hashes of a chunk, shifted to the exchanged width, and whether each occurs twice."""
-    both = np.concatenate((found[:, 4], found[:, 5]))
-    known, times = np.unique(both[both > 0] >> np.uint64(8), return_counts=True)
-    return known, times > 1
-
-
 def common(a: bytes, b: bytes, at: int) -> int:
     """Length of the common prefix of two strings that agree before ``at``."""
     n = min(len(a), len(b))
@@ -257,119 +268,114 @@ def settle(group: list[tuple[bytes, int, int]], times: list[int]) -> list[list[t
     return out
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, ids, sizes, text): whole texts, one after the other, compressed."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _packets(values: np.ndarray, times: np.ndarray, buckets: int):
+    """Rising 64-bit hashes with their numbers by range: (range, numbers, hashes)."""
+    bounds = pk.bounds_of(values, buckets)
+    for j in np.flatnonzero(np.diff(bounds)).tolist():
+        part = slice(bounds[j], bounds[j + 1])
+        yield j, pk.pack(times[part]), pk.pack_rising(values[part] >> np.uint64(8))
 
-    def run(batches):
-        import zstandard
-        from pyspark import TaskContext
-
-        first = TaskContext.get().partitionId() << 32
-        number, ids, sizes, texts, held = 0, [], [], [], 0
-
-        def flush():
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([first + number], pa.int64()),
-                    pa.array([pa.chunked_array(ids).to_pylist()], pa.list_(ids[0].type)),
-                    pa.array([_narrow(np.concatenate(sizes))], pa.binary()),
-                    pa.array([zstandard.compress(b"".join(texts), 3)], pa.binary()),
-                ],
-                names=["chunk", "ids", "sizes", "text"],
-            )
-
-        for part in tb.slices(batches, "text", CHUNK_BYTES // 4):
-            data, offsets = tb.text_buffer(part.column("text"))
-            ids.append(part.column("doc_id"))
-            sizes.append(np.diff(offsets))
-            texts.append(data.tobytes())
-            held += len(data)
-            if held >= CHUNK_BYTES:
-                yield flush()
-                number, ids, sizes, texts, held = number + 1, [], [], [], 0
-        if ids:
-            yield flush()
-
-    return cut(docs.mapInArrow(run, f"chunk long, ids array<{kind}>, sizes binary, text binary"), "suffix-chunks")
-
-
-def _open(text, sizes) -> tuple[np.ndarray, np.ndarray]:
-    import zstandard
 
-    data = np.frombuffer(zstandard.decompress(text), np.uint8)
-    return data, np.concatenate(([0], np.cumsum(_wide(sizes).astype(np.int64))))
+def _count(level):
+    """For a range of hashes: what ``level`` makes of the total number of each, back to the chunks in their order."""
 
+    def run(table: pa.Table) -> pa.Table:
+        values = [pk.unpack_rising(x.as_py()) for x in table.column("hashes")]
+        times = np.concatenate([pk.unpack(x.as_py()) for x in table.column("times")])
+        everything = np.concatenate(values)
+        order = np.argsort(everything)
+        new = np.concatenate(([True], np.diff(everything[order]) != 0))
+        total = np.add.reduceat(times[order], np.flatnonzero(new))
+        found = np.empty(len(order), np.uint8)
+        found[order] = level(total)[np.cumsum(new) - 1]
+        ends = np.cumsum([len(v) for v in values])
+        back = [pk.pack(found[e - len(v) : e]) for v, e in zip(values, ends)]
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "level": pa.array(back, pa.binary())})
 
-def _shared_parts(chunks: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, bucket, repeated): which of a chunk's part hashes of a range occur twice in all."""
+    return run
 
-    def scan(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data, offsets = _open(batch.column("text")[i].as_py(), batch.column("sizes")[i].as_py())
-                known, twice = _parts(chunk_anchors(data, offsets))
-                bounds = np.searchsorted(known, _edges(buckets))
-                full = np.flatnonzero(np.diff(bounds)).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column("chunk")[i].as_py()] * len(full), pa.int64()),
-                        pa.array(full, pa.int32()),
-                        pa.array([_pack(known[bounds[j] : bounds[j + 1]]) for j in full], pa.binary()),
-                        pa.array([np.packbits(twice[bounds[j] : bounds[j + 1]]).tobytes() for j in full], pa.binary()),
-                    ],
-                    names=["chunk", "bucket", "parts", "twice"],
-                )
-
-    def count(table: pa.Table) -> pa.Table:
-        parts = [_unpack(x.as_py()) for x in table.column("parts")]
-        twice = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[: len(p)] for x, p in zip(table.column("twice"), parts)]
-        _, where = np.unique(np.concatenate(parts), return_inverse=True)
-        repeated = (np.bincount(where, 1 + np.concatenate(twice)) > 1)[where]
-        bounds = np.cumsum([0, *map(len, parts)])
-        back = [np.packbits(repeated[a:b]).tobytes() for a, b in zip(bounds, bounds[1:])]
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "repeated": pa.array(back, pa.binary())})
-
-    rows = chunks.select("chunk", "sizes", "text").mapInArrow(scan, "chunk long, bucket int, parts binary, twice binary")
-    return rows.groupBy("bucket").applyInArrow(count, "chunk long, bucket int, repeated binary")
-
-
-def _run_rows(data: np.ndarray, offsets: np.ndarray, repeated: dict[int, bytes], buckets: int):
-    """Front-coded runs of a chunk by hash range: (bucket, shared, lengths, rests, times, places)."""
+
+def _levels(table: pa.Table) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.uint64), *(pk.unpack(x.as_py()) for x in table.sort_by("bucket").column("level"))])
+
+
+def _distinct(hashes: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes as they are told apart after the exchange, with their numbers."""
+    known, where = np.unique(hashes >> np.uint64(8) << np.uint64(8), return_inverse=True)
+    return known, np.bincount(where, times, len(known)).astype(np.int64)
+
+
+def _entry(lead: int, right: bytes, left: bytes) -> bytes:
+    """The key of a suffix: its part, what follows the anchor, and what stands before it read backwards."""
+    return lead.to_bytes(8, "big") + right + END + left + END
+
+
+def _entries(raw: bytes, rows: np.ndarray) -> dict[bytes, list[int]]:
+    """Keys of anchor rows, with the places of their anchors."""
+    out: dict[bytes, list[int]] = {}
+    for a, lo, hi, lead in rows.tolist():
+        out.setdefault(_entry(lead, raw[a : hi + LENGTH], raw[lo:a][::-1]), []).append(a)
+    return out
+
+
+def _coded(entries: dict[bytes, list[int]], keys: list[bytes]):
+    """Columns of a front-coded run: shared, lengths, rests, times, places."""
     import zstandard
 
-    found = chunk_anchors(data, offsets)
-    known, _ = _parts(found)
-    bounds = np.searchsorted(known, _edges(buckets))
-    flags = np.zeros(len(known) + 1, bool)
-    for j, raw in repeated.items():
-        flags[bounds[j] : bounds[j + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8))[: bounds[j + 1] - bounds[j]]
-
-    def is_repeated(part):
-        return (part > 0) & flags[np.searchsorted(known, part >> np.uint64(8))]
-
-    near, far = is_repeated(found[:, 4]), is_repeated(found[:, 5])
-    keep = near | far
-    a, lo, hi, lead = (found[keep, i] for i in range(4))
-    a, lo, hi = (x.astype(np.int64) for x in (a, lo, hi))
-    near, far = near[keep], far[keep]
-    nearest = np.where(near, a - hi, np.maximum(a - hi, NEAR + 1))
-    farthest = np.where(far, a - lo, np.minimum(a - lo, NEAR))
-    raw = data.tobytes()
-    entries: dict[bytes, list[int]] = {}
-    for at, x, y, h in zip(a.tolist(), nearest.tolist(), farthest.tolist(), lead.tolist()):
-        key = h.to_bytes(8, "big") + raw[at : at - x + LENGTH] + END + raw[at - y : at][::-1] + END
-        entries.setdefault(key, []).append(at)
+    shared, lengths, rests = front_code(keys)
+    times = np.array([len(entries[k]) for k in keys], np.uint64)
+    places = np.array([p for k in keys for p in entries[k]], np.uint64)
+    return pk.pack(shared), pk.pack(lengths), zstandard.compress(rests, 3), pk.pack(times), pk.pack(places)
+
+
+def _run_rows(entries: dict[bytes, list[int]], buckets: int):
+    """Front-coded runs by hash range: (bucket, shared, lengths, rests, times, places)."""
     keys = sorted(entries)
-    edges = [(1 << 64) * j // buckets for j in range(buckets)]
     leads = np.array([int.from_bytes(k[:LEAD], "big") for k in keys], np.uint64)
-    bounds = np.append(np.searchsorted(leads, np.array(edges, np.uint64)), len(keys))
+    bounds = pk.bounds_of(leads, buckets)
     for j in np.flatnonzero(np.diff(bounds)).tolist():
-        part = keys[bounds[j] : bounds[j + 1]]
-        shared, lengths, rests = front_code(part)
-        times = np.array([len(entries[k]) for k in part], np.uint32)
-        places = np.array([p for k in part for p in entries[k]], np.uint32)
-        yield j, _narrow(shared), _narrow(lengths), zstandard.compress(rests, 3), _narrow(times), _narrow(places)
+        yield j, *_coded(entries, keys[bounds[j] : bounds[j + 1]])
+
+
+def _decoded(run: pa.Table) -> Iterator[tuple[bytes, list[int]]]:
+    """Keys and places of a front-coded run."""
+    import zstandard
+
+    shared, lengths, times, places = (pk.unpack(run.column(c)[0].as_py()).astype(np.int64) for c in ("shared", "lengths", "times", "places"))
+    reader = Run(shared, lengths, zstandard.decompress(run.column("rests")[0].as_py()))
+    ends = np.cumsum(times)
+    for lo, hi in zip(ends - times, ends):
+        yield reader.key, places[lo:hi].tolist()
+        reader.advance()
+
+
+def _window_hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows in the contexts of ``keys``, the first ones first, and their number by key."""
+    contexts = []
+    for key in keys:
+        end = key.index(END, LEAD)
+        contexts.append(key[end + 1 : -1][::-1] + key[LEAD:end])
+    hashes, sizes = [np.empty(0, np.uint64)], np.array([len(c) - LENGTH + 1 for c in contexts], np.int64)
+    for lo in range(0, len(contexts), 2048):
+        part = contexts[lo : lo + 2048]
+        data = np.frombuffer(b"".join(part), np.uint8)
+        sums, down = _span_values(data)
+        begin = np.cumsum([0, *map(len, part[:-1])])
+        at = np.repeat(begin, sizes[lo : lo + 2048]) + np.arange(sizes[lo : lo + 2048].sum())
+        at -= np.repeat(np.cumsum(sizes[lo : lo + 2048]) - sizes[lo : lo + 2048], sizes[lo : lo + 2048])
+        hashes.append(tb.mix((sums[at + LENGTH] - sums[at]) * down[at]))
+    return np.concatenate(hashes), sizes
+
+
+_RUN = ["shared", "lengths", "rests", "times", "places"]
+_ROW = ["kind", "chunk", "bucket", *_RUN, "hashes"]
+_ROW_TYPES = [pa.string(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
+_ROW_SCHEMA = "kind string, chunk long, bucket int, shared binary, lengths binary, rests binary, times binary, places binary, hashes binary"
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * len(_ROW)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, _ROW_TYPES)], names=_ROW)
 
 
 def merge(runs: list[Run], times: list[np.ndarray]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
@@ -399,37 +405,75 @@ def merge(runs: list[Run], times: list[np.ndarray]) -> Iterator[tuple[int, int,
     yield from close()
 
 
-def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also kept (bytes)."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = _chunks(base)
-    parts = _shared_parts(chunks, buckets)
-
-    def sort(chunk: pa.Table, flags: pa.Table) -> pa.Table:
-        rows = []
-        if chunk.num_rows and flags.num_rows:
-            data, offsets = _open(chunk.column("text")[0].as_py(), chunk.column("sizes")[0].as_py())
-            repeated = dict(zip(flags.column("bucket").to_pylist(), flags.column("repeated").to_pylist()))
-            rows = list(_run_rows(data, offsets, repeated, buckets))
-        columns = list(zip(*rows)) or [[]] * 6
-        head = pa.array([chunk.column("chunk")[0].as_py()] * len(rows) if rows else [], pa.int64())
-        kinds = (pa.int32(), *[pa.binary()] * 5)
-        return pa.table([head, *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["chunk", "bucket", "shared", "lengths", "rests", "times", "places"])
+    chunks = chunk_table(base, CHUNK_BYTES, "suffix-chunks")
+    packets = "chunk long, bucket int, times binary, hashes binary"
+
+    def scan(batches):
+        for batch in batches:
+            for chunk, sizes, text in zip(*(batch.column(c) for c in ("chunk", "sizes", "text"))):
+                made = list(_packets(*_distinct(chunk_anchors(*open_text(text, sizes))[:, 3]), buckets))
+                columns = list(zip(*made)) or [()] * 3
+                kinds = (pa.int32(), pa.binary(), pa.binary())
+                arrays = [pa.array([chunk.as_py()] * len(made), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "bucket", "times", "hashes"])
+
+    def sort(chunk: pa.Table, back: pa.Table) -> pa.Table:
+        """Runs of the sides whose parts repeat; of frequent parts, the contexts and the hashes of their windows."""
+        if not chunk.num_rows:
+            return _table([])
+        number = chunk.column("chunk")[0].as_py()
+        data, offsets = open_text(chunk.column("text")[0], chunk.column("sizes")[0])
+        found = chunk_anchors(data, offsets)
+        known, _ = _distinct(found[:, 3])
+        level = _levels(back)[np.searchsorted(known, found[:, 3] >> np.uint64(8) << np.uint64(8))] if len(found) else np.empty(0)
+        raw = data.tobytes()
+        rows = [("run", number, *r, None) for r in _run_rows(_entries(raw, found[level == 1]), buckets)]
+        entries = _entries(raw, found[level == 2])
+        if entries:
+            keys = sorted(entries)
+            rows.append(("hot", number, 0, *_coded(entries, keys), None))
+            hashes, sizes = _window_hashes(keys)
+            times = np.repeat([len(entries[k]) for k in keys], sizes)
+            rows += [("window", number, j, None, None, None, t, None, h) for j, t, h in _packets(*_distinct(hashes, times), buckets)]
+        return _table(rows)
+
+    def sort_hot(hot: pa.Table, back: pa.Table) -> pa.Table:
+        """Runs of the windows of frequent parts that do repeat."""
+        if not hot.num_rows:
+            return _table([])
+        entries = {k: p for k, p in _decoded(hot)}
+        keys = list(entries)
+        hashes, sizes = _window_hashes(keys)
+        known, _ = _distinct(hashes)
+        repeated = _levels(back)[np.searchsorted(known, hashes >> np.uint64(8) << np.uint64(8))] > 0
+        ends = np.cumsum(sizes)
+        out: dict[bytes, list[int]] = {}
+        for key, lo, hi in zip(keys, ends - sizes, ends):
+            end = key.index(END, LEAD)
+            right, left, lead = key[LEAD:end], key[end + 1 : -1], int.from_bytes(key[:LEAD], "big")
+            flips = np.flatnonzero(np.diff(np.concatenate(([0], repeated[lo:hi].astype(np.int8), [0])))).tolist()
+            for x, y in zip(flips[::2], flips[1::2]):  # windows that begin len(left) - x to len(left) - y + 1 before the anchor
+                out.setdefault(_entry(lead, right[: LENGTH - (len(left) - y + 1)], left[: len(left) - x]), []).extend(entries[key])
+        number = hot.column("chunk")[0].as_py()
+        return _table([("run", number, *r, None) for r in _run_rows(out, buckets)])
 
     def merge_range(table: pa.Table) -> pa.Table:
         import zstandard
 
-        take = lambda c: [_wide(x.as_py()) for x in table.column(c)]
+        take = lambda c: [pk.unpack(x.as_py()).astype(np.int64) for x in table.column(c)]
         times = take("times")
         rests = [zstandard.decompress(x.as_py()) for x in table.column("rests")]
         runs = [Run(s, n, r) for s, n, r in zip(take("shared"), take("lengths"), rests)]
         places = take("places")
-        firsts = [np.concatenate(([0], np.cumsum(t.astype(np.int64)))) for t in times]
+        firsts = [np.concatenate(([0], np.cumsum(t))) for t in times]
         found: list[tuple[list, list]] = [([], []) for _ in runs]
         for r, e, windows in merge(runs, times):
-            at = places[r][firsts[r][e] : firsts[r][e + 1]].astype(np.int64)
+            at = places[r][firsts[r][e] : firsts[r][e + 1]]
             for near, far in windows:
                 found[r][0].append(at - far)
                 found[r][1].append(at - near + LENGTH)
@@ -437,23 +481,30 @@ def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return pa.table(
             {
                 "chunk": pa.array([o[0] for o in out], pa.int64()),
-                "starts": pa.array([_narrow(o[1]) for o in out], pa.binary()),
-                "ends": pa.array([_narrow(o[2]) for o in out], pa.binary()),
+                "starts": pa.array([pk.pack(o[1]) for o in out], pa.binary()),
+                "ends": pa.array([pk.pack(o[2]) for o in out], pa.binary()),
             }
         )
 
-    runs = (
-        chunks.select("chunk", "sizes", "text").groupBy("chunk").cogroup(parts.groupBy("chunk"))
-        .applyInArrow(sort, "chunk long, bucket int, shared binary, lengths binary, rests binary, times binary, places binary")
-    )
-    ranges = runs.groupBy("bucket").applyInArrow(merge_range, "chunk long, starts binary, ends binary")
+    level = "chunk long, bucket int, level binary"
+    parts = chunks.select("chunk", "sizes", "text").mapInArrow(scan, packets)
+    parts = parts.groupBy("bucket").applyInArrow(_count(lambda n: (n > 1).astype(np.uint8) + (n >= hot)), level)
+    rows = chunks.select("chunk", "sizes", "text").groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(sort, _ROW_SCHEMA)
+    rows = cut(rows, "suffix-runs")
+    windows = rows.where("kind = 'window'").select("chunk", "bucket", "times", "hashes")
+    windows = windows.groupBy("bucket").applyInArrow(_count(lambda n: n > 1), level)
+    more = rows.where("kind = 'hot'").groupBy("chunk").cogroup(windows.groupBy("chunk")).applyInArrow(sort_hot, _ROW_SCHEMA)
+    runs = rows.where("kind = 'run'").unionByName(more).select("chunk", "bucket", *_RUN)
+    ranges = cut(runs.groupBy("bucket").applyInArrow(merge_range, "chunk long, starts binary, ends binary"), "suffix-ranges")
+    del parts, windows, more, runs
+    drop(rows)  # with the exchanges before it
 
     def finish(chunk: pa.Table, ranges: pa.Table) -> pa.Table:
-        data, offsets = _open(chunk.column("text")[0].as_py(), chunk.column("sizes")[0].as_py())
+        data, offsets = open_text(chunk.column("text")[0], chunk.column("sizes")[0])
         cover = np.zeros(len(data) + 1, np.int32)
         for s, e in zip(ranges.column("starts"), ranges.column("ends")):
-            np.add.at(cover, _wide(s.as_py()).astype(np.int64), 1)
-            np.add.at(cover, _wide(e.as_py()).astype(np.int64), -1)
+            np.add.at(cover, pk.unpack(s.as_py()).astype(np.int64), 1)
+            np.add.at(cover, pk.unpack(e.as_py()).astype(np.int64), -1)
         gone = np.cumsum(cover[:-1]) > 0
         rows, kept = [], []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):

@@ -32,16 +32,10 @@ def prose(rng, n):
 EDGE = [None, "", " \n\t", "one", "x" * 5000, "é ü 漢字 😀   \x00"]
 
 
-def test_suffix_dedup_equals_brute_force(spark):
-    rng = random.Random(1)
-    passages = [prose(rng, rng.randint(20, 70)) for _ in range(5)]
-    texts = [*EDGE, "a" * 700, "ab" * 300, "a" * 199, "a" * 200]
-    for _ in range(25):
-        texts.append(" ".join(rng.choice(passages)[rng.choice([0, 0, 7]) :] if rng.random() < 0.7 else prose(rng, 5) for _ in range(3)))
-    texts += [texts[-1]] * 2
+def _without_repeats(texts, got):
+    """Compare with brute force over all 200-byte strings."""
     raw = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[p : p + 200] for b in raw for p in range(len(b) - 199))
-    got = {r.doc_id: r for r in suffix_dedup.removed(frame(spark, texts).repartition(3)).collect()}
     assert len(got) == len(texts)
     for i, b in enumerate(raw):
         gone = np.zeros(len(b), bool)
@@ -54,6 +48,43 @@ def test_suffix_dedup_equals_brute_force(spark):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want, i
 
 
+@pytest.mark.parametrize("hot", [64, 3, 2])
+def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot):
+    rng = random.Random(1)
+    passages = [prose(rng, rng.randint(20, 70)) for _ in range(5)]
+    texts = [*EDGE, "a" * 700, "ab" * 300, "a" * 199, "a" * 200]
+    for _ in range(25):
+        texts.append(" ".join(rng.choice(passages)[rng.choice([0, 0, 7]) :] if rng.random() < 0.7 else prose(rng, 5) for _ in range(3)))
+    texts += [texts[-1]] * 2
+    _without_repeats(texts, {r.doc_id: r for r in suffix_dedup.removed(frame(spark, texts).repartition(3), hot=hot).collect()})
+
+
+def test_suffix_dedup_of_a_hot_passage(spark):
+    """A passage of 180 bytes in every document repeats no string of 200 bytes; one of 230 does, and its edges differ."""
+    rng = random.Random(31)
+    short, long = prose(rng, 80)[:180], prose(rng, 90)[:230]
+    texts = [f"{prose(rng, 12)} {short} {prose(rng, 12)}" for _ in range(300)]
+    texts += [f"{prose(rng, 12)} {long} {prose(rng, 12)}" for _ in range(150)]
+    _without_repeats(texts, {r.doc_id: r for r in suffix_dedup.removed(frame(spark, texts)).collect()})
+    # Nothing of the short passage is left to sort, however many documents hold it.
+    entries = [len(suffix_dedup._entries(b, suffix_dedup.anchors(np.frombuffer(b, np.uint8), np.array([0, len(b)])))) for b in [t.encode() for t in texts[:2]]]
+    assert min(entries) > 0
+    only = suffix_dedup.removed(frame(spark, texts[:300])).agg(F.sum("n_removed")).first()[0]
+    assert only == 0
+
+
+def test_suffix_dedup_of_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(32)
+    data = np.frombuffer(prose(rng, 4000).encode(), np.uint8)
+    offsets = np.array([0, 0, 300, len(data) - 50, len(data)])
+    whole = suffix_dedup.anchors(data, offsets)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 1000)
+    cut = suffix_dedup.chunk_anchors(data, offsets)
+    windows = lambda rows: {(int(w), int(a)) for a, lo, hi, _ in rows for w in range(int(lo), int(hi) + 1)}
+    parts = lambda rows: {(int(a), int(a) - int(lo) > suffix_dedup.NEAR, int(p)) for a, lo, _, p in rows}
+    assert windows(whole) == windows(cut) and parts(whole) == parts(cut)
+
+
 def test_loser_tree_merges_sorted_runs():
     rng = random.Random(2)
     runs = [sorted("".join(rng.choice("ab") for _ in range(rng.randint(1, 12))).encode() for _ in range(rng.randint(1, 40))) for _ in range(7)]
