@@ -1,18 +1,19 @@
 """Byte-level BPE through a distinct-word table.
 
-1. Documents become chunks of about ``CHUNK_BYTES`` of text. One scan gives each chunk's distinct
-   words, another the number of the word at each place; both cut the same rows into the same chunks,
-   which check sums prove (an input whose rows change their order has to be written to a table first).
-2. The words of all chunks are dealt out by hash, so that equal words meet; each distinct word is
-   encoded once there, and its ids are decoded by a join with the id-to-piece table.
-3. The ids go back to their chunk and are put at their places.
+1. One scan cuts chunks of documents into words: each chunk sends out its distinct words by hash, and a
+   head with the number of the word at each place.
+2. Equal words of all chunks meet in one group, which is a part of the distinct-word table: each distinct
+   word is encoded there, once.
+3. The ids go back to their chunks and are joined to the places; they are decoded by a join with the
+   id-to-piece table (of the size of the vocabulary).
 
 Words are split exactly where the tokenizers library splits them: the character classes of its
 pre-tokenizer are read off the library itself when the operator starts.
 
 Defined cases: null and empty texts have no ids; the text of a special token is that token, as in
-the library; repeated rows give equal rows; a word longer than ``KEEP_WORD`` is encoded but not kept
-in the word cache. Memory is bounded by a chunk (or the longest text) and by the cache's limits.
+the library; repeated rows give equal rows, null ids stay null; an empty table gives an empty result;
+other columns are ignored. Long texts are cut into words piece by piece; what is held of a chunk (or of the
+longest text) is about 30 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -20,18 +21,19 @@ from __future__ import annotations
 import functools
 import hashlib
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import packing as pk
 from . import textbatch as tb
+from . import vocabulary as vc
 
-CHUNK_BYTES = 12 << 20
-CACHE_WORDS = 200_000
-KEEP_WORD = 256
+CHUNK_BYTES = 8 << 20
+#: Bytes of text that are cut into words at once.
+PIECE_BYTES = 1 << 20
 
 _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
 
@@ -156,187 +158,64 @@ def split_texts(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, spec
     return begin, np.diff(np.searchsorted(begin, offsets))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``limit`` bytes of text, gathered over the batches of the partition."""
-    held, size = [], 0
-    for part in tb.slices(batches, "text", limit):
-        held.append(part)
-        size += part.get_total_buffer_size() if part.num_rows < 2 else part.column("text").nbytes
-        if size >= limit:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def _narrow(x: np.ndarray) -> bytes:
-    """Numbers of words, small ones first: planes of low and high bytes, compressed."""
-    import zstandard
-
-    planes = x.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(planes.tobytes(), 3)
-
-
-def _wide(raw: bytes) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def _cuts(data: np.ndarray, offsets: np.ndarray, limit: int):
+    """Ranges of about ``limit`` bytes that begin with a text, or inside one where a word begins whatever comes before.
 
+    Such a place is a single space between two letters or digits of ASCII.
+    """
+    plain = tb.table_of(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)
+    lo = 0
+    while lo < len(data):
+        hi = lo + limit
+        k = int(np.searchsorted(offsets, hi, side="right")) - 1
+        if hi < len(data) and offsets[k] > lo:
+            hi = int(offsets[k])  # up to the last text that begins here
+        while hi < len(data) and hi not in (offsets[k], offsets[k + 1]):
+            part = data[hi - 1 : min(hi + limit, int(offsets[k + 1])) + 1]
+            found = np.flatnonzero((part[1:-1] == 0x20) & plain[part[:-2]] & plain[part[2:]])
+            if len(found):
+                hi += int(found[0])
+                break
+            hi = min(hi + limit, int(offsets[k + 1]))
+        hi = min(hi, len(data))
+        yield lo, hi
+        lo = hi
 
-def _numbered(docs: DataFrame, tokenizer: str, buckets: int, chunk_bytes: int):
-    """A generator for mapInArrow functions: the numbered chunks of a partition with their distinct words.
 
-    Gives (chunk, ids, data, words of each text, word at each place, bounds of the buckets in the list
-    of distinct words, starts, ends and hashes of those). The word of rank r in bucket b has the
-    number r * buckets + b, and frequent words come first, so that their numbers are small.
-    """
-    table = docs.sparkSession.sparkContext.broadcast(character_classes(tokenizer))
+def splitter(spark, tokenizer: str, piece_bytes: int = PIECE_BYTES):
+    """``split`` for ``vocabulary.word_lists``."""
+    table = spark.sparkContext.broadcast(character_classes(tokenizer))
     special = [t.encode() for t in special_tokens(tokenizer)]
+    if any(b" " in t for t in special):
+        piece_bytes = 1 << 62  # a cut could fall into such a token
 
-    def chunks(batches):
-        from pyspark import TaskContext
-
+    def split(data, offsets):
         classes = np.frombuffer(table.value, np.uint8)
-        first = TaskContext.get().partitionId() << 32
-        for number, chunk in enumerate(_chunks(batches, chunk_bytes)):
-            data, offsets = tb.text_buffer(chunk.column("text"))
-            begin, counts = _split_slices(data, offsets, classes, special)
-            end = np.append(begin[1:], len(data))
-            hashes = _hash_parts(data, begin, end)
-            known, where, places, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-            del hashes
-            bucket = (known % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((known, -often, bucket))
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            number_of = np.empty(len(order), np.uint32)
-            number_of[order] = (np.arange(len(order)) - bounds[bucket[order]]) * buckets + bucket[order]
-            lo, hi = begin[where[order]], end[where[order]]
-            yield first + number, chunk.column("doc_id"), data, counts, number_of[places], bounds, lo, hi, known[order]
-
-    return chunks
-
-
-def _check_sums(known: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One number per bucket that depends on its words and their order."""
-    total = np.concatenate(([np.uint64(0)], np.cumsum(tb.mix(known + np.arange(len(known), dtype=np.uint64)), dtype=np.uint64)))
-    return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
-
-
-def split_places(docs: DataFrame, tokenizer: str, buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, docs, counts, places, sums): texts, their numbers of words, and the word at each place."""
-    chunks = _numbered(docs, tokenizer, buckets, chunk_bytes)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        for number, ids, _, counts, places, bounds, _, _, known in chunks(batches):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                    pa.array([_narrow(counts)], pa.binary()),
-                    pa.array([_narrow(places)], pa.binary()),
-                    pa.array([_check_sums(known, bounds)], pa.list_(pa.int64())),
-                ],
-                names=["chunk", "docs", "counts", "places", "sums"],
-            )
-
-    return docs.mapInArrow(run, f"chunk long, docs array<{kind}>, counts binary, places binary, sums array<long>")
-
-
-def split_words(docs: DataFrame, tokenizer: str, buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, bucket, sum, lengths, words): the distinct words of a chunk by bucket of their hash."""
-    chunks = _numbered(docs, tokenizer, buckets, chunk_bytes)
-
-    def run(batches):
-        import zstandard
-
-        for number, _, data, _, _, bounds, lo, hi, known in chunks(batches):
-            sums = _check_sums(known, bounds)
-            full = np.flatnonzero(np.diff(bounds)).tolist()
-            parts = [slice(bounds[j], bounds[j + 1]) for j in full]
-            texts = [tb.join_spans(data, lo[p], (hi - lo)[p]) for p in parts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number] * len(full), pa.int64()),
-                    pa.array(full, pa.int32()),
-                    pa.array(sums[full]),
-                    pa.array([_narrow((hi - lo)[p]) for p in parts], pa.binary()),
-                    pa.array([zstandard.compress(t.tobytes(), 3) for t in texts], pa.binary()),
-                ],
-                names=["chunk", "bucket", "sum", "lengths", "words"],
-            )
-
-    return docs.mapInArrow(run, "chunk long, bucket int, sum long, lengths binary, words binary")
-
-
-def _split_slices(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, special: list[bytes]):
-    """``split_texts`` over slices of whole texts, so that its code points take little memory."""
-    begins, counts, lo = [], [], 0
-    while lo < len(offsets) - 1:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (1 << 20), side="right")) - 1)
-        begin, count = split_texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], classes, special)
-        begins.append(begin + offsets[lo])
-        counts.append(count)
-        lo = hi
-    return np.concatenate(begins), np.concatenate(counts)
 
+        def pieces():
+            for lo, hi in _cuts(data, offsets, piece_bytes):
+                own = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, side="right")] - lo
+                begin, _ = split_texts(data[lo:hi], np.unique(np.concatenate(([0], own, [hi - lo]))), classes, special)
+                begin = begin + lo
+                yield lo, hi, begin, np.append(begin[1:], hi)
 
-def _hash_parts(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the words, over pieces of the buffer so that the powers stay small."""
-    out, lo = np.empty(len(begin), np.uint64), 0
-    while lo < len(begin):
-        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + (1 << 20))))
-        a, b = begin[lo], end[hi - 1]
-        out[lo:hi] = tb.span_hashes(data[a:b], begin[lo:hi] - a, end[lo:hi] - a)
-        lo = hi
-    return out
+        return data, pieces()
 
+    return split
 
-def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(chunk, bucket, sum, sizes, ids) for rows (chunk, bucket, sum, lengths, words) dealt out by bucket.
 
-    Equal words share a bucket and so a task, which encodes each distinct word once.
-    """
-    specials = {t.encode(): i for t, i in special_tokens(tokenizer).items()}
-
-    def run(batches):
-        import zstandard
-
-        tok = load(tokenizer)
-        tok.encode_special_tokens = True
-        cache: dict[bytes, bytes] = {}
-
-        def learn(new):
-            for lo in range(0, len(new), 4096):
-                part = new[lo : lo + 4096]
-                for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                    yield w, np.array(e.ids, "<u4").tobytes()
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ends = np.cumsum(_wide(batch.column("lengths")[i].as_py()).astype(np.int64)).tolist()
-                raw = zstandard.decompress(batch.column("words")[i].as_py())
-                words = [raw[a:b] for a, b in zip([0, *ends], ends)]
-                fresh = [w for w in words if w not in cache and w not in specials]
-                own = dict(learn(fresh))
-                own |= {w: np.array([specials[w]], "<u4").tobytes() for w in words if w in specials}
-                ids = [own[w] if w in own else cache[w] for w in words]
-                if len(cache) + len(own) > CACHE_WORDS:
-                    cache.clear()
-                cache |= {w: x for w, x in own.items() if len(w) <= KEEP_WORD}
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("chunk")[i : i + 1],
-                        batch.column("bucket")[i : i + 1],
-                        batch.column("sum")[i : i + 1],
-                        pa.array([_narrow(np.array([len(x) // 4 for x in ids]))], pa.binary()),
-                        pa.array([_narrow(np.frombuffer(b"".join(ids), "<u4"))], pa.binary()),
-                    ],
-                    names=["chunk", "bucket", "sum", "sizes", "ids"],
-                )
-
-    return words.mapInArrow(run, "chunk long, bucket int, sum long, sizes binary, ids binary")
+def encode_words(tokenizer: str, words: list[bytes], specials: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words one after the other, numbers of ids)."""
+    tok = load(tokenizer)
+    tok.encode_special_tokens = True
+    ids, sizes = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+    for lo in range(0, len(words), 4096):
+        part = words[lo : lo + 4096]
+        made = [e.ids for e in tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+        made = [[specials[w]] if w in specials else i for w, i in zip(part, made)]
+        ids.append(np.fromiter((i for own in made for i in own), "<u4"))
+        sizes.append(np.array([len(i) for i in made], np.int64))
+    return np.concatenate(ids), np.concatenate(sizes)
 
 
 def piece_table(tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
@@ -386,35 +265,36 @@ def encode(
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    words = split_words(base, tokenizer, buckets, chunk_bytes)
-    coded = encode_words(words.repartition(buckets, "bucket"), tokenizer)
-    places = split_places(base, tokenizer, buckets, chunk_bytes)
+    specials = {t.encode(): i for t, i in special_tokens(tokenizer).items()}
+
+    def code(table: pa.Table) -> pa.Table:
+        """One part of the distinct-word table: each word is encoded once, for all chunks that have it."""
+        heads, lists = vc.parted(table)
+        number: dict[bytes, int] = {}
+        places = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in vc.list_words(lists)]
+        ids, sizes = encode_words(tokenizer, list(number), specials)
+        first = np.cumsum(sizes) - sizes
+        lists = lists.select(["chunk", "bucket", "sum"])
+        lists = lists.append_column("lengths", pa.array([pk.pack(sizes[p]) for p in places], pa.binary()))
+        lists = lists.append_column("ids", pa.array([pk.pack(tb.join_spans(ids, first[p], sizes[p])) for p in places], pa.binary()))
+        return vc.with_heads(heads, lists)
+
+    coded = (
+        vc.word_lists(base, splitter(spark, tokenizer), buckets, chunk_bytes)
+        .groupBy("bucket").applyInArrow(code, vc.head_schema(base) + ", sum long, lengths binary, ids binary")
+    )
     pieces, at = piece_table(tokenizer)
     shared = spark.sparkContext.broadcast((pieces, at))
 
-    def assemble(places: pa.Table, coded: pa.Table) -> pa.Table:
-        coded = coded.sort_by("bucket")
-        sums = places.column("sums")[0].values.to_numpy()
-        known = np.zeros(buckets, np.int64)
-        known[coded.column("bucket").to_numpy()] = coded.column("sum").to_numpy()
-        if (known != sums).any():
-            raise RuntimeError("a chunk was read again with other rows; write the input to a table first")
-        by_bucket = [_wide(x.as_py()) for x in coded.column("sizes")]
-        sizes = np.concatenate([np.empty(0, np.int64), *by_bucket]).astype(np.int64)
-        ids = [_wide(x.as_py()) for x in coded.column("ids")]
-        ids = np.concatenate([np.empty(0, "<u4"), *ids]).astype("<u4")
+    def assemble(table: pa.Table) -> pa.Table:
+        head, lists, slot = vc.unite(table)
+        sizes = np.concatenate([np.empty(0, np.int64), *(pk.unpack(x.as_py()).astype(np.int64) for x in lists.column("lengths"))])
+        ids = np.concatenate([np.empty(0, "<u4"), *(pk.unpack(x.as_py()).astype("<u4") for x in lists.column("ids"))])
         first = np.concatenate(([0], np.cumsum(sizes)))
-        # A word's number is its rank in its bucket and the bucket; the buckets' words stand in a row here.
-        held = np.zeros(buckets + 1, np.int64)
-        held[coded.column("bucket").to_numpy() + 1] = [len(x) for x in by_bucket]
-        base = np.cumsum(held)
-        place = _wide(places.column("places")[0].as_py()).astype(np.int64)
-        rank, bucket = np.divmod(place, buckets)
-        place = base[bucket] + rank
-        counts = _wide(places.column("counts")[0].as_py()).astype(np.int64)
-        bounds = np.concatenate(([0], np.cumsum(counts)))
+        place = slot[pk.unpack(head.column("stream")[0].as_py())].astype(np.int32)
+        bounds = np.concatenate(([0], np.cumsum(pk.unpack(head.column("sizes")[0].as_py()).astype(np.int64))))
         pieces, at = shared.value
-        doc_ids = places.column("docs")[0].values
+        doc_ids = head.column("docs").combine_chunks()[0].values
         rows, kept, texts = [], [], []
         for a, b in zip(bounds, bounds[1:]):
             own = tb.join_spans(ids, first[place[a:b]], sizes[place[a:b]])
@@ -434,4 +314,4 @@ def encode(
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    return places.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(assemble, schema)
+    return coded.groupBy("chunk").applyInArrow(assemble, schema)

@@ -151,6 +151,22 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return out
 
 
+def same_spans(data: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Whether each two spans hold the same bytes."""
+    same = sizes == other_sizes
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    left, at = np.flatnonzero(same & (starts != others) & (sizes <= LONG_WORD)), 0
+    while len(left):
+        gap = (lanes[starts[left] + at] ^ lanes[others[left] + at]) & _MASKS[np.minimum(sizes[left] - at, 8)]
+        same[left[gap != 0]] = False
+        at += 8
+        left = left[(gap == 0) & (sizes[left] > at)]
+    for i in np.flatnonzero(same & (starts != others) & (sizes > LONG_WORD)).tolist():
+        same[i] = data[starts[i] : starts[i] + sizes[i]].tobytes() == data[others[i] : others[i] + sizes[i]].tobytes()
+    return same
+
+
 def row_bounds(rows: np.ndarray, n: int) -> np.ndarray:
     """Offsets into a row-sorted array: entries of row i are [bounds[i], bounds[i + 1])."""
     return np.searchsorted(rows, np.arange(n + 1))

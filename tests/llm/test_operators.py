@@ -178,9 +178,11 @@ def test_jaccard_family_of_unlinked_sets(spark):
         assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == list(zip(sizes, label))
 
 
-def test_lm_scores_equal_brute_force(spark):
+@pytest.mark.parametrize("wide", [False, True])
+def test_lm_scores_equal_brute_force(spark, wide):
     rng = random.Random(5)
-    texts = [*EDGE, *(" ".join(rng.choice("a b c d".split()) for _ in range(rng.randint(1, 30))) for _ in range(12))]
+    one, other = thue_morse(2048)
+    texts = [*EDGE, one + " x", other + " x", *(" ".join(rng.choice("a b c d".split()) for _ in range(rng.randint(1, 30))) for _ in range(12))]
     words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in texts]
     count = collections.Counter(tuple(w[i : i + n]) for w in words for n in (1, 2, 3) for i in range(len(w) - n + 1))
     total = sum(map(len, words))
@@ -193,7 +195,7 @@ def test_lm_scores_equal_brute_force(spark):
             return np.log(count[bi] / count[bi[:1]]) + np.log(0.4) * (i >= 2)
         return np.log(count[(w[i],)] / total) + min(i, 2) * np.log(0.4)
 
-    got = {r.doc_id: r for r in lm_score.score(frame(spark, texts)).collect()}
+    got = {r.doc_id: r for r in lm_score.score(frame(spark, texts), wide=wide).collect()}
     for i, w in enumerate(words):
         assert got[i].n_words == len(w)
         assert got[i].log_score == pytest.approx(sum(log_score(w, k) for k in range(len(w))), abs=2e-4)
@@ -223,11 +225,13 @@ def test_window_entropy_by_increments_equals_direct():
         assert secrets.max_window_entropy(s) == pytest.approx(direct)
 
 
-def test_bpe_equals_the_library(spark):
+def test_bpe_equals_the_library(spark, monkeypatch):
+    monkeypatch.setattr(bpe.splitter, "__defaults__", (200,))
     rng = random.Random(7)
     alphabet = "ab1 '\n\tstrevlmd!é²😀　"
     texts = [*EDGE, "don't we'll 'sup ''s", "<|endoftext|>x <|endoftext|> <|end", "a  b   c\n\n d \n", " ", "'", "x" * 3000]
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 50))) for _ in range(200)]
+    texts += [*thue_morse(2048), prose(rng, 3000)]  # words of one polynomial hash; a text of many pieces
     tok = bpe.load(bpe.default_tokenizer())
     tok.encode_special_tokens = False
     want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
@@ -285,7 +289,7 @@ def test_decontamination_cuts_the_same_in_any_number_of_blocks(spark):
 
 def test_quality_counts_equal_brute_force(spark):
     rng = random.Random(9)
-    texts = [*EDGE, "a b c a b c a b c", "# x\n\n# x\n #x\n# x", *("\n".join(rng.choice(["a b", "c", "", " ", "d e f"]) for _ in range(8)) for _ in range(10))]
+    texts = [*EDGE, "\n".join(thue_morse(2048)), " ".join([*thue_morse(2048), "x"] * 2), "a b c a b c a b c", "# x\n\n# x\n #x\n# x", *("\n".join(rng.choice(["a b", "c", "", " ", "d e f"]) for _ in range(8)) for _ in range(10))]
     got = {r.doc_id: r for r in quality.judge(frame(spark, texts)).collect()}
     for i, text in enumerate(texts):
         t = text or ""
