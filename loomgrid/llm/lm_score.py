@@ -37,7 +37,7 @@ from .store import cut, drop
 ALPHA = 0.4
 MIN_COUNT = 2
 ORDERS = (1, 2, 3)
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def _split(data, offsets):
@@ -227,7 +227,7 @@ def score(
         head, lists, slot = vc.unite(table)
         made = {name: _column(lists, name)[slot] for name in ("totals", "numbers")}
         columns = {name: head.column(name) for name in ("chunk", "docs", "sizes", "stream")}
-        columns |= {name: pa.array([pk.pack(x)], pa.binary()) for name, x in made.items()}
+        columns |= {name: pa.array([pk.pack(x, 3)], pa.binary()) for name, x in made.items()}
         return pa.table(columns | {"top": pa.array([int(made["numbers"].max(initial=0))], pa.int64())})
 
     words = (

@@ -5,13 +5,13 @@ from __future__ import annotations
 import numpy as np
 
 
-def pack(x: np.ndarray) -> bytes:
+def pack(x: np.ndarray, level: int = 1) -> bytes:
     """Numbers from 0 to 2**64 - 1: planes of low and high bytes, compressed."""
     import zstandard
 
     x = np.ascontiguousarray(x).astype("<u8")
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([width]) + zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), level)
 
 
 def unpack(raw: bytes) -> np.ndarray:
