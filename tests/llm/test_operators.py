@@ -364,6 +364,96 @@ def test_url_filter_rules(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def _tree_verdicts(urls):
+    """The template tree in plain Python: (host, rule's verdict, template, rejected) of each url."""
+    U = url_filter
+
+    def form(seg):
+        stem, tail = re.fullmatch(r"(?s)(.*?)(\.[A-Za-z][A-Za-z0-9]{0,4})?", seg).groups()
+        if re.fullmatch(r"[0-9]+", stem):
+            stem = "{n}"
+        elif re.fullmatch(r"[0-9]{4}-[0-9]{2}(-[0-9]{2})?", stem):
+            stem = "{date}"
+        elif re.fullmatch(r"[0-9a-fA-F-]{8,}", stem) and re.search("[0-9]", stem):
+            stem = "{hex}"
+        elif len(stem) >= 20 and re.search("[0-9]", stem):
+            stem = "{id}"
+        else:
+            stem = re.sub("[0-9]+", "{n}", stem)
+        return stem + (tail or "")
+
+    rows = []
+    for url in urls:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        best = None
+        for verdict, rule in U.RULES:
+            h, _, p = rule.partition("/")
+            if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[1])):
+                best = (verdict, rule)
+        rows.append((host, [form(x) for x in path.split("/") if x], best and best[0]))
+    count = lambda picked: (sum(v is not None for _, _, v in picked), sum(v == "block" for _, _, v in picked))
+    domain = lambda host: ".".join(host.split(".")[-2:])
+
+    def differs(l, b, al, ab):
+        return bool(l and al) and abs(b / l - ab / al) > U.DIFFER * ((ab + 1) * (al - ab + 1) / (al + 2) ** 2 / l) ** 0.5
+
+    node, chain = [""] * len(rows), [[count(rows), count([x for x in rows if domain(x[0]) == domain(r[0])]), count([x for x in rows if x[0] == r[0]])] for r in rows]
+    for level in range(U.DEPTH):
+        under = collections.defaultdict(list)
+        for i, (host, segs, _) in enumerate(rows):
+            if len(segs) > level:
+                under[host, node[i]].append(i)
+        for (_, at), members in under.items():
+            kinds = collections.defaultdict(list)
+            for i in members:
+                kinds[rows[i][1][level]].append(i)
+            al, ab = count([rows[i] for i in members])
+            steps = collections.defaultdict(list)
+            for seg, own in kinds.items():
+                l, b = count([rows[i] for i in own])
+                literal = len(kinds) <= U.MAX_CHILDREN or len(own) >= U.MIN_SHARE * len(members) or (l >= U.MIN_LABELS and differs(l, b, al, ab))
+                steps["/" + seg if literal else "/*"] += own
+            labels = collections.defaultdict(list)
+            for step, own in steps.items():
+                labels["/{~}" if al and not differs(*count([rows[i] for i in own]), al, ab) else step] += own
+            for label, own in labels.items():
+                link = count([rows[i] for i in own])
+                for i in own:
+                    node[i], chain[i] = at + label, [*chain[i], link]
+    out = []
+    for i, (_, segs, verdict) in enumerate(rows):
+        p = chain[i][0][1] / chain[i][0][0] if chain[i][0][0] else 0.0
+        for l, b in chain[i][1:]:
+            p = (b + U.PRIOR_WEIGHT * p) / (l + U.PRIOR_WEIGHT)
+        rejected = chain[i][2][0] >= U.MIN_LABELS and p >= U.THRESHOLD
+        deep = "".join("/" + x for x in segs[U.DEPTH :])
+        out.append((verdict or ("block" if rejected else "allow"), node[i] + deep))
+    return out
+
+
+def test_url_templates_equal_a_plain_tree(spark):
+    rng = random.Random(41)
+    urls = [None, "no scheme", "http://", "http://alone.example.com", "http://deep.example.com/" + "/".join(f"s{k % 3}" for k in range(30))]
+    for k in range(900):
+        host = rng.choice(["a.example.com", "b.example.com", "c.example.net", "d.example.org", "quiet.example.edu"])
+        lang = rng.choice(["de", "de", "en", "fr", "es"])
+        tail = rng.choice([f"{k}", f"{k}.html", f"2024-01-{k % 28 + 1:02}/x", f"user{'abcdefghijklmnopqrstuvwxyz'[k % 26]}{'xyz'[k % 3]}/posts/{k}", "a/b/c/d/e/f/g/h/i", "a\nb"])
+        urls.append(f"http://{host}/{lang}/{tail}?q={k}")
+    urls += [f"http://mixed.example.com/{'de' if k % 2 else 'ok'}/{k}" for k in range(40)] + ["http://big.example.com/de/1"] * 60 + ["http://big.example.com/en/2"] * 3
+    urls += [f"http://wide.example.com/{a}{b}/p" for a in "abcdefgh" for b in "abcdefgh"] + ["http://wide.example.com/de/p"] * 5
+    urls += ["http://big.example.com/en/" + "long" * 50_000]
+    pages = spark.createDataFrame([(k, u, "clash", "clash") for k, u in enumerate(urls)], "page_id long, url string, template string, path string")
+    got = {r.page_id: (r.verdict, r.template) for r in url_filter.judge(pages.repartition(4)).collect()}
+    want = _tree_verdicts(urls)
+    for k, u in enumerate(urls):
+        assert got[k] == want[k], (u or "")[:80]
+    # Where nothing but blocked labels is known of a site, its other sections go too; where it is mixed or unknown, they stay.
+    unruled = [(u, got[k][0]) for k, u in enumerate(urls) if u and "/de/" not in u and "example.net" not in u]
+    assert any(v == "block" for u, v in unruled if "a.example.com/en/" in u)
+    assert all(v == "allow" for u, v in unruled if "example.org" in u or "example.edu" in u)
+
+
 def test_html_text(spark):
     page = (
         "<title>t</title><p>a<p>b <b>x</b><ul><li>one<li>two<ol><li>n<li>m</ol></ul>t<table><tr><th>aa<th>b<tr><td>1<td>22</table>"
