@@ -1,19 +1,24 @@
 """Quality rules: counts per document, then robust multivariate outliers per language and source.
 
 The counts come from one vectorised scan of the whole texts. Transformed rates of the documents that
-pass the base rule form a vector; minimum-covariance-determinant estimates of their centre and scatter
-are found for each (language, source), each language and all documents, and a document is rejected
-where its Mahalanobis distance under the narrowest group of at least ``MIN_ROWS`` rows is too large.
+pass the base rule form a vector. Minimum-covariance-determinant (MCD) estimates of its centre and scatter
+are found for every (language, source), every language and all documents; a document is rejected where its
+Mahalanobis distance under the estimate of its own (language, source) is beyond ``CUTOFF``.
 
-The estimates are concentration steps written as aggregations: distances fall into fixed classes, the
+The estimates are concentration steps written as aggregations: distances fall into narrow fixed classes, the
 sums and products of each (group, class) are added up exactly in integers, and the closest classes that
-hold the kept share give the next centre and scatter. Every step covers all rows, no group is ever
-gathered, and the result does not depend on the order of rows. Two starts are run (full and diagonal
-scatter) and the one with the smaller determinant is kept.
+hold the kept share of the rows give the next centre and scatter. Every step covers all rows, no group is
+ever gathered, and the result does not depend on the order of rows. Four starts are run (full scatter,
+diagonal scatter, medians with median deviations, and these with the correlations of spatial signs), two
+steps on half of the rows and then on ``SHARE`` of them until no group changes, and the one with the
+smallest determinant is kept. Estimates of few rows are shrunk: a (language, source) of n rows has weight n / (n + ``PRIOR_ROWS``)
+against its language, and a language against all documents, so every group has one and none is skipped.
 
 Defined cases: null or empty text has no words and fails the base rule; null languages and sources form
-groups of their own; repeated rows count as often as they occur and get equal verdicts; with fewer than
-``MIN_ROWS`` documents in all, nothing but the base rule rejects.
+groups of their own; repeated rows count as often as they occur and get equal verdicts; a distance that
+ties with the cutoff is kept; distances that tie at the edge of the kept share are all kept; an empty table
+gives an empty result; other columns are ignored. A long text is scanned in pieces; what is held of it is
+about 25 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -27,72 +32,99 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .store import cut
+from .store import cut, drop
 
 MIN_WORDS = 50
-MIN_ROWS = 200
-#: Shares of the rows that the concentration steps keep.
-SHARES = (0.9, 0.75, 0.75, 0.75)
-#: A document is rejected beyond this Mahalanobis distance.
-CUTOFF = 7.0
+#: Share of the rows that the concentration steps keep, and those of the first steps.
+SHARE = 0.75
+FIRST_SHARES = (0.5, 0.5)
+#: Steps at most; an estimate that has not settled by then is taken as it is.
+STEPS = 20
+#: Rows by which an estimate is drawn towards the next wider one.
+PRIOR_ROWS = 100
+#: Share of normal documents beyond the cutoff.
+TAIL = 1e-8
+
+
+def cutoff(tail: float = TAIL, parts: int = 6) -> float:
+    """The distance that so small a share of normal vectors exceeds: the root of a chi-square quantile (even ``parts``)."""
+    lo, hi = 0.0, 1000.0
+    for _ in range(80):
+        x = (lo + hi) / 2
+        beyond = math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(parts // 2))
+        lo, hi = (x, hi) if beyond > tail else (lo, x)
+    return math.sqrt(hi)
+
+
 #: Vectors are integers in units of 1 / GRID, so that sums are exact.
 GRID = 512
 VECTOR = ("mean_length", "symbols", "dup_lines", "repeats", "capitals", "marks")
 #: Least standard deviation of each part: most texts have none of some of these, whose own spread is nil.
 #: A part alone moves a text by at most its range over this, which must be able to exceed CUTOFF after the base rule.
 FLOORS = (0.1, 0.08, 0.1, 0.1, 0.1, 0.08)
+CUTOFF = cutoff(parts=len(VECTOR))
+#: Products of signs are added up in units of 1 / SIGN_GRID.
+SIGN_GRID = 1 << 20
+#: Classes of squared distances for each doubling.
+CLASSES = 32
 _SYMBOLS = tb.table_of(lambda b: chr(b) in "#*$%&|<>")
 _UPPER = tb.table_of(lambda b: 65 <= b <= 90)
 _LETTER = tb.table_of(lambda b: 65 <= b <= 90 or 97 <= b <= 122)
 _MARK = tb.table_of(lambda b: 33 <= b <= 126 and not chr(b).isalnum() and chr(b) not in ".,")
+#: The first byte of every character that may stand in a word.
+_WORD_CHAR = tb.NON_SPACE & tb.table_of(lambda b: b & 0xC0 != 0x80)
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
 
 
 def count_slice(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The columns of ``_COUNTS`` for the texts of a buffer."""
     n = len(offsets) - 1
-    starts, ends, rows = tb.words(data, offsets, tb.NON_SPACE)
-    bounds = tb.row_bounds(rows, n)
-
-    def per_row(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
+    n_words, hashes = tb.word_hashes(data, offsets, tb.NON_SPACE)
+    rows = np.repeat(np.arange(n, dtype=np.int32), n_words)
+
+    def per_row(member: np.ndarray) -> np.ndarray:
+        """Bytes of each text that a table of 256 entries picks."""
+        if n == 1:
+            return np.array([sum(int(np.count_nonzero(member[data[k : k + (1 << 20)]])) for k in range(0, len(data), 1 << 20))])
+        total = np.concatenate(([0], np.cumsum(member[data], dtype=np.int64)))
         return total[offsets[1:]] - total[offsets[:-1]]
 
-    inside = tb.NON_SPACE[data]
-    chars = per_row(inside & ((data & 0xC0) != 0x80))
+    def repeated(keys: np.ndarray) -> np.ndarray:
+        """Sorted keys that occur twice or more."""
+        keys = np.sort(keys)
+        return np.unique(keys[1:][keys[1:] == keys[:-1]])
+
+    def keyed(values: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return values if n == 1 else tb.mix(values + own.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
     repeat = np.zeros(n, np.int64)
-    if len(starts) >= 3:
-        grams = tb.window_hashes(tb.span_hashes(data, starts, ends), 3)
-        own = rows[2:] == rows[:-2]
-        keys = tb.mix(grams + rows[: len(grams)].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-        _, back, times = np.unique(keys[own], return_inverse=True, return_counts=True)
-        hit = np.flatnonzero(own)[times[back] > 1]
-        cover = np.zeros(len(starts) + 1, np.int64)
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + 3, -1)
-        covered = np.concatenate(([0], np.cumsum(np.cumsum(cover[:-1]) > 0)))
-        repeat = covered[bounds[1:]] - covered[bounds[:-1]]
+    if len(hashes) >= 3:
+        grams = tb.window_hashes(hashes, 3)
+        own = np.flatnonzero(rows[2:] == rows[:-2]) if n > 1 else slice(None)
+        keys = keyed(grams, rows[: len(grams)])[own]
+        twice = repeated(keys)
+        if len(twice):
+            hit = twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
+            hit = np.flatnonzero(hit) if n == 1 else own[hit]
+            cover = np.zeros(len(hashes), bool)
+            for k in range(3):
+                cover[hit + k] = True
+            repeat = np.bincount(rows[cover], minlength=n)
     breaks = np.flatnonzero(data == 10)
-    line_starts = np.concatenate((offsets[:-1], breaks + 1))
-    line_ends = np.concatenate((offsets[1:], breaks))
-    line_rows = np.concatenate((np.arange(n), np.searchsorted(offsets, breaks, side="right") - 1))
-    order = np.lexsort((line_starts, line_rows))
-    line_starts, line_rows = line_starts[order], line_rows[order]
+    starts = np.sort(np.concatenate((offsets[:-1], breaks + 1)))
     # A line ends at the next line break of its text or at the text's end.
-    line_ends = np.sort(line_ends)
-    filled = np.concatenate(([0], np.cumsum(inside, dtype=np.int64)))
-    real = filled[line_ends] > filled[line_starts]
-    line_starts, line_ends, line_rows = line_starts[real], line_ends[real], line_rows[real]
-    hashes = tb.span_hashes(data, line_starts, line_ends)
-    keys = tb.mix(hashes + line_rows.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    _, first = np.unique(keys, return_index=True)
+    ends = np.sort(np.concatenate((offsets[1:], breaks)))
+    starts, ends = starts[ends > starts], ends[ends > starts]
+    if len(starts):
+        real = np.logical_or.reduceat(tb.NON_SPACE[data], starts)  # what stands between two lines is a line break
+        starts, ends = starts[real], ends[real]
+    line_rows = np.searchsorted(offsets, starts, side="right") - 1
+    keys = keyed(tb.span_hashes(data, starts, ends), line_rows)
     later = np.ones(len(keys), bool)
-    later[first] = False
-    dup = np.bincount(line_rows[later], minlength=n)
-    lines = np.bincount(line_rows, minlength=n)
+    later[np.unique(keys, return_index=True)[1]] = False
     return [
-        np.diff(bounds), chars, per_row(_SYMBOLS[data]), dup, repeat, lines,
-        per_row(_UPPER[data]), per_row(_LETTER[data]), per_row(_MARK[data]),
+        n_words, per_row(_WORD_CHAR), per_row(_SYMBOLS), np.bincount(line_rows[later], minlength=n), repeat,
+        np.bincount(line_rows, minlength=n), per_row(_UPPER), per_row(_LETTER), per_row(_MARK),
     ]
 
 
@@ -125,8 +157,8 @@ def _vector() -> list:
 
 
 _PAIRS = [(i, j) for i in range(len(VECTOR)) for j in range(i, len(VECTOR))]
-_PARAMS = "level int, lang_key string, source_key string, start int, n long, centre array<double>, inverse array<double>, log_det double, scale double"
 _KEYS = ["level", "lang_key", "source_key"]
+_RAW = "level int, lang_key string, source_key string, start int, n long, kept long, centre array<double>, scatter array<double>, scale double, settled boolean"
 
 
 def _sums() -> list:
@@ -137,54 +169,112 @@ def _sums() -> list:
     ]
 
 
-def _estimate(n: int, sums, products, diagonal: bool = False):
-    """Centre, inverse scatter and log determinant from exact sums on the grid."""
+def moments(n: int, sums, products) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter from exact sums on the grid."""
     p = len(VECTOR)
-    centre = np.array([float(s) for s in sums]) / n
-    scatter = np.zeros((p, p))
+    centre, scatter = np.array([float(s) for s in sums]) / n, np.zeros((p, p))
     for (i, j), s in zip(_PAIRS, products):
         scatter[i, j] = scatter[j, i] = float(s) / n - centre[i] * centre[j]
-    if diagonal:
-        scatter = np.diag(np.diag(scatter))
-    scatter += np.diag((np.array(FLOORS) * GRID) ** 2)
-    return centre, np.linalg.inv(scatter), float(np.linalg.slogdet(scatter)[1])
+    return centre, scatter
+
 
+def _row(key, start: int, n: int, kept: int, centre, scatter, scale: float, settled: bool) -> tuple:
+    return (*key, start, n, kept, np.asarray(centre).tolist(), np.asarray(scatter).ravel().tolist(), scale, settled)
 
-def _starts(pdf):
+
+def _frame(rows):
     import pandas as pd
 
-    out = []
-    for r in pdf.itertuples(index=False):
-        sums = [getattr(r, f"s{i}") for i in range(len(VECTOR))]
-        products = [getattr(r, f"p{i}_{j}") for i, j in _PAIRS]
-        for start in (0, 1):
-            centre, inverse, det = _estimate(r.n, sums, products, diagonal=start == 1)
-            out.append((r.level, r.lang_key, r.source_key, start, r.n, centre.tolist(), inverse.ravel().tolist(), det, 1.0))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in _PARAMS.split(", ")])
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in _RAW.split(", ")])
+
 
+def _starts(parts):
+    """Classical, diagonal, median and spatial-sign estimates of each group."""
+    for pdf in parts:
+        out = []
+        for r in pdf.itertuples(index=False):
+            key = (r.level, r.lang_key, r.source_key)
+            centre, scatter = moments(r.n, [getattr(r, f"s{i}") for i in range(len(VECTOR))], [getattr(r, f"p{i}_{j}") for i, j in _PAIRS])
+            out.append(_row(key, 0, r.n, 0, centre, scatter, 1.0, False))
+            out.append(_row(key, 1, r.n, 0, centre, np.diag(np.diag(scatter)), 1.0, False))
+            width = 1.4826 * np.asarray(r.deviation, float) + np.array(FLOORS) * GRID
+            out.append(_row(key, 2, r.n, 0, r.median, np.diag(width**2), 1.0, False))
+            signs = np.zeros((len(VECTOR), len(VECTOR)))
+            for (i, j), s in zip(_PAIRS, r.signs):
+                signs[i, j] = signs[j, i] = s / SIGN_GRID / r.n * len(VECTOR)
+            out.append(_row(key, 3, r.n, 0, r.median, signs * np.outer(width, width), 1.0, False))
+        yield _frame(out)
 
-def _concentrate(share: float):
+
+def _concentrate(share: float, first: bool):
     """One step: from sums by distance class to the estimate over the closest ``share`` of the rows."""
-    p = len(VECTOR)
 
     def run(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("klass")
-        n = pdf["n"].to_numpy()
-        total = int(n.sum())
-        upto = np.cumsum(n)
-        last = int(np.searchsorted(upto, math.ceil(share * total)))
-        part = pdf.iloc[: last + 1]
-        sums = [sum(map(int, part[f"s{i}"])) for i in range(p)]
-        products = [sum(map(int, part[f"p{i}_{j}"])) for i, j in _PAIRS]
-        centre, inverse, det = _estimate(int(upto[last]), sums, products)
-        row = (*key[:3], key[3], total, centre.tolist(), inverse.ravel().tolist(), det, 1.0)
-        return pd.DataFrame([row], columns=[x.split()[0] for x in _PARAMS.split(", ")])
+        return _step(key, pdf.sort_values("klass"), share, first)
 
     return run
 
 
+def _step(key, pdf, share: float, first: bool):
+    p = len(VECTOR)
+    n = pdf["n"].to_numpy()
+    upto = np.cumsum(n)
+    total = int(upto[-1])
+    last = int(np.searchsorted(upto, math.ceil(share * total)))
+    part = pdf.iloc[: last + 1]
+    sums = [sum(map(int, part[f"s{i}"])) for i in range(p)]
+    products = [sum(map(int, part[f"p{i}_{j}"])) for i, j in _PAIRS]
+    kept = int(upto[last])
+    centre, scatter = moments(kept, sums, products)
+    # How far the median squared distance is above that of a chi-square variable.
+    middle = int(np.searchsorted(upto, math.ceil(total / 2)))
+    squared = 2.0 ** ((pdf["klass"].iloc[middle] + 0.5) / CLASSES) - 1
+    scale = max(1.0, squared / (p * (1 - 2 / (9 * p)) ** 3))
+    before = np.asarray(pdf["before"].iloc[0])
+    settled = not first and int(pdf["kept"].iloc[0]) == kept and bool(np.array_equal(before, centre))
+    return _frame([_row(key[:3], key[3], total, kept, centre, scatter, scale, settled)])
+
+
+def shrink(centre, scatter, scale: float, n: int, above: tuple | None, prior_rows: float = PRIOR_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+    """An estimate drawn towards the next wider one by its number of rows."""
+    if above is None:
+        return centre, scatter, scale
+    w, (c, s, k) = n / (n + prior_rows), above
+    return w * centre + (1 - w) * c, w * scatter + (1 - w) * s, w * scale + (1 - w) * k
+
+
+_USED = "level int, lang_key string, source_key string, start int, kept long, before array<double>, centre array<double>, inverse array<double>, log_det double, scale double"
+
+
+def _shrunk(parts, prior_rows: float):
+    """Rows with the raw estimates of a group and of the wider ones: what distances are measured by."""
+    import pandas as pd
+
+    p, names = len(VECTOR), [x.split()[0] for x in _USED.split(", ")]
+    for pdf in parts:
+        out = []
+        for r in pdf.itertuples(index=False):
+            used = None
+            for k in range(2, r.level - 1, -1):
+                centre, scatter = np.array(getattr(r, f"centre{k}")), np.array(getattr(r, f"scatter{k}")).reshape(p, p)
+                used = shrink(centre, scatter, getattr(r, f"scale{k}"), getattr(r, f"n{k}"), used, prior_rows)
+            scatter = used[1] + np.diag((np.array(FLOORS) * GRID) ** 2)
+            inverse, det = np.linalg.inv(scatter), float(np.linalg.slogdet(scatter)[1])
+            own = np.array(getattr(r, f"centre{r.level}")).tolist()
+            out.append((r.level, r.lang_key, r.source_key, r.start, r.kept, own, used[0].tolist(), inverse.ravel().tolist(), det, used[2]))
+        yield pd.DataFrame(out, columns=names)
+
+
+def _used(raw: DataFrame, prior_rows: float) -> DataFrame:
+    """The estimates in use, from raw ones of all levels."""
+    fields = ("centre", "scatter", "scale", "n")
+    wider = lambda k, on: raw.where(F.col("level") == k).select(*on, "start", *(F.col(f).alias(f"{f}{k}") for f in fields))
+    rows = raw.join(wider(2, []), "start").join(wider(1, ["lang_key"]), ["lang_key", "start"], "left")
+    own = [F.when(F.col("level") == 0, F.col(f)).alias(f"{f}0") for f in fields]
+    names = [f"{f}{k}" for k in (1, 2) for f in fields]
+    return rows.select(*_KEYS, "start", "kept", *own, *names).mapInPandas(lambda parts: _shrunk(parts, prior_rows), _USED)
+
+
 def _squared_distance():
     """Squared Mahalanobis distance of the row's vector under the joined estimate."""
     p = len(VECTOR)
@@ -193,8 +283,8 @@ def _squared_distance():
     return F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
 
 
-def estimates(vectors: DataFrame) -> DataFrame:
-    """Estimates by level: 0 is a (language, source), 1 a language, 2 all rows."""
+def estimates(vectors: DataFrame, prior_rows: float = PRIOR_ROWS) -> DataFrame:
+    """(level, lang_key, source_key, centre, inverse, scale): level 0 is a (language, source), 1 a language, 2 all rows."""
     none = F.lit("")
     level = F.explode(
         F.array(
@@ -204,42 +294,40 @@ def estimates(vectors: DataFrame) -> DataFrame:
         )
     ).alias("g")
     rows = vectors.select(level, *VECTOR).select("g.*", *VECTOR)
-    params = (
-        rows.groupBy(*_KEYS).agg(*_sums()).where(F.col("n") >= MIN_ROWS)
-        .mapInPandas(lambda parts: (_starts(x) for x in parts), _PARAMS)
-    )
-    klass = F.floor(F.log2(1 + _squared_distance()) * 16).cast("int").alias("klass")
-    for share in SHARES:
-        # Each step's estimates are a small table of their own: its size decides how it is joined.
-        params = cut(params, "quality-step").select(*_KEYS, "start", "centre", "inverse")
-        params = (
-            rows.join(params, _KEYS).select(*_KEYS, "start", klass, *VECTOR)
-            .groupBy(*_KEYS, "start", "klass").agg(*_sums())
-            .groupBy(*_KEYS, "start").applyInPandas(_concentrate(share), _PARAMS)
+    # Medians of grid values are exact and bounded: a group holds each distinct value once.
+    medians = rows.groupBy(*_KEYS).agg(*_sums(), F.array(*(F.percentile(v, 0.5) for v in VECTOR)).alias("median"))
+    medians = cut(medians, "quality-medians")
+    gaps = rows.join(medians.select(*_KEYS, "median"), _KEYS)
+    gaps = gaps.groupBy(*_KEYS).agg(F.array(*(F.percentile(F.abs(F.col(v) - F.col("median")[i]), 0.5) for i, v in enumerate(VECTOR))).alias("deviation"))
+    robust = cut(medians.join(gaps, _KEYS), "quality-deviations")
+    rows_ = rows.join(robust.select(*_KEYS, "median", "deviation"), _KEYS)
+    z = [(F.col(v) - F.col("median")[i]) / (1.4826 * F.col("deviation")[i] + FLOORS[i] * GRID) for i, v in enumerate(VECTOR)]
+    square = sum((x * x for x in z[1:]), z[0] * z[0])
+    signs = [F.sum(F.round(F.coalesce(F.try_divide(z[i] * z[j], square), F.lit(0.0)) * SIGN_GRID).cast("long")) for i, j in _PAIRS]
+    robust = robust.join(rows_.groupBy(*_KEYS).agg(F.array(*signs).alias("signs")), _KEYS)
+    raw = cut(robust.mapInPandas(_starts, _RAW), "quality-step")
+    drop(medians)
+    klass = F.floor(F.log2(1 + _squared_distance()) * CLASSES).cast("int").alias("klass")
+    for k in range(STEPS):
+        share = FIRST_SHARES[k] if k < len(FIRST_SHARES) else SHARE
+        used = _used(raw, prior_rows).select(*_KEYS, "start", "kept", "before", "centre", "inverse")
+        step = (
+            rows.join(used, _KEYS).groupBy(*_KEYS, "start", klass).agg(*_sums(), F.first("kept").alias("kept"), F.first("before").alias("before"))
+            .groupBy(*_KEYS, "start").applyInPandas(_concentrate(share, k <= len(FIRST_SHARES)), _RAW)
         )
-    params = cut(params, "quality-step").drop("scale")
-    scales = (
-        rows.join(params, _KEYS).groupBy(*_KEYS, "start", klass).agg(F.count("*").alias("n"))
-        .groupBy(*_KEYS, "start").applyInPandas(_scale, ", ".join([*(f"{k} string" for k in _KEYS[1:]), "level int, start int, scale double"]))
-    )
-    return params.join(scales, [*_KEYS, "start"])
-
-
-def _scale(key, pdf):
-    """The factor, 1 or more, by which the median squared distance is above that of a chi-square variable."""
-    import pandas as pd
-
-    p = len(VECTOR)
-    pdf = pdf.sort_values("klass")
-    upto = np.cumsum(pdf["n"].to_numpy())
-    middle = int(np.searchsorted(upto, math.ceil(upto[-1] / 2)))
-    squared = 2.0 ** ((pdf["klass"].iloc[middle] + 0.5) / 16) - 1
-    scale = max(1.0, squared / (p * (1 - 2 / (9 * p)) ** 3))
-    return pd.DataFrame([(key[1], key[2], key[0], key[3], scale)], columns=["lang_key", "source_key", "level", "start", "scale"])
+        step = cut(step, "quality-step")
+        drop(raw)
+        raw = step
+        if raw.where(~F.col("settled")).isEmpty():
+            break
+    best = F.min_by(F.struct("centre", "inverse", "scale"), F.struct("log_det", "start")).alias("e")
+    out = cut(_used(raw, prior_rows).groupBy(*_KEYS).agg(best), "quality-best")
+    drop(raw)
+    return out
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Per document: id, the base counts, base_failed, kept and the distance (null if not estimated)."""
+    """Per document: id, the base counts, base_failed, kept and the distance (null where the base rule fails)."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     base = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
@@ -248,22 +336,10 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = counts(base, ["doc_id", "lang_key", "source_key"]).select("*", failed.alias("base_failed"), *_vector())
     rows = cut(rows, "quality")
-    params = cut(estimates(rows.where(~F.col("base_failed"))), "quality-mcd")
-    best = F.min_by(F.struct("n", "centre", "inverse", "scale"), F.struct("log_det", "start")).alias("e")
-    params = params.groupBy(*_KEYS).agg(best).select(*_KEYS, "e.*")
-    params = cut(params.select(*_KEYS, F.struct("centre", "inverse", "scale").alias("e")), "quality-best")
-    out = rows
-    for i, on in enumerate((["lang_key", "source_key"], ["lang_key"])):
-        out = out.join(params.where(F.col("level") == i).select(*on, F.col("e").alias(f"e{i}")), on, "left")
-    whole = params.where(F.col("level") == 2).select("e.*").first()  # one estimate, over all rows
-    kind = "struct<centre:array<double>,inverse:array<double>,scale:double>"
-    rest = F.lit(None).cast(kind)
-    if whole is not None:
-        lists = [F.array(*(F.lit(x) for x in part)) for part in (whole.centre, whole.inverse)]
-        rest = F.struct(lists[0].alias("centre"), lists[1].alias("inverse"), F.lit(whole.scale).alias("scale"))
-    out = out.withColumn("e", F.coalesce("e0", "e1", rest)).select("*", "e.centre", "e.inverse", "e.scale")
-    out = out.withColumn("distance", F.sqrt(_squared_distance() / F.col("scale")))
+    params = estimates(rows.where(~F.col("base_failed"))).where("level = 0").select("lang_key", "source_key", "e.*")
+    out = rows.join(params, ["lang_key", "source_key"], "left")
+    out = out.withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(_squared_distance() / F.col("scale"))))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"), "distance",
+        (~F.col("base_failed") & (F.col("distance") <= CUTOFF)).alias("kept"), "distance",
     )

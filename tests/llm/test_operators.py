@@ -323,6 +323,58 @@ def test_quality_rejects_repeated_lines_and_words_that_pass_the_base_rule(spark)
     assert not any(got[i].base_failed or got[i].kept for i in range(300, 308))
 
 
+def _brute_mcd(x, h, floors, rng, tries=60):
+    """The least log determinant of the floored scatter of ``h`` rows that many random starts reach."""
+    best = None
+    for _ in range(tries):
+        pick = rng.choice(len(x), 8, replace=False)
+        for _ in range(50):
+            centre, scatter = x[pick].mean(0), np.cov(x[pick].T, bias=True) + floors
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+            new = np.sort(np.argsort(d, kind="stable")[:h])
+            if np.array_equal(new, pick):
+                break
+            pick = new
+        det = np.linalg.slogdet(np.cov(x[pick].T, bias=True) + floors)[1]
+        best = det if best is None else min(best, det)
+    return best
+
+
+def test_quality_estimates_equal_brute_force_mcd(spark):
+    """Groups of 30 to 500 rows with a fifth of outliers, without shrinking: as good as the best of many random starts."""
+    rng = np.random.default_rng(51)
+    floors = np.diag((np.array(quality.FLOORS) * quality.GRID) ** 2)
+    rows, groups = [], {}
+    for g, n in enumerate((30, 60, 200, 500)):
+        a = rng.normal(size=(6, 6)) * 120
+        x = rng.normal(size=(n, 6)) @ a + 800
+        x[: n // 5] += rng.normal(size=6) * 900
+        groups[f"g{g}"] = np.rint(x).astype(int)
+        rows += [(f"g{g}", "s", *map(int, v)) for v in groups[f"g{g}"]]
+    fields = "lang_key string, source_key string, " + ", ".join(f"{v} long" for v in quality.VECTOR)
+    got = {r.lang_key: r.e for r in quality.estimates(spark.createDataFrame(rows, fields).repartition(3), prior_rows=0).where("level = 0").collect()}
+    for name, x in groups.items():
+        h = int(np.ceil(quality.SHARE * len(x)))
+        det = -np.linalg.slogdet(np.array(got[name].inverse).reshape(6, 6))[1]
+        # Whole classes of distances are kept, so a few rows more than h may be in.
+        assert det <= _brute_mcd(x, h, floors, rng) + 0.15, name
+        own = np.linalg.norm(x[len(x) // 5 :].mean(0) - got[name].centre)
+        assert own < np.linalg.norm(x[: len(x) // 5].mean(0) - got[name].centre) / 4
+
+
+def test_quality_rejects_by_the_group_of_language_and_source(spark):
+    """Sixty German texts of one source among others: what is usual elsewhere stands out among them."""
+    rng = random.Random(52)
+    calm = [prose(rng, rng.randint(60, 150)) for _ in range(300)]
+    loud = [" ".join(w.upper() if rng.random() < 0.5 else w for w in prose(rng, 100).split()) for _ in range(300)]
+    odd = [" ".join(w.upper() for w in prose(rng, 100).split()) for _ in range(3)]
+    rows = [(t, "en", "web") for t in loud] + [(t, "de", "web") for t in calm[:240]] + [(t, "de", "press") for t in calm[240:] + odd] + [(None, None, None), ("", "xx", "y")]
+    docs = spark.createDataFrame([(i, *r, 1) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, distance int")
+    got = {r.doc_id: r for r in quality.judge(docs.union(docs.where("doc_id = 600"))).collect()}
+    assert all(got[i].kept for i in range(600)) and not any(got[i].kept for i in range(600, 605))
+    assert got[603].base_failed and got[603].distance is None
+
+
 def test_toxicity_learns_held_out_labels(spark):
     rng = random.Random(11)
     texts, labels = [], []
@@ -489,8 +541,14 @@ def test_html_spans():
 
 @pytest.mark.parametrize(
     "run",
-    [suffix_dedup.removed, jaccard.join, lm_score.score, secrets.report, bpe.encode, quality.judge],
-    ids=["suffix", "jaccard", "lm", "secrets", "bpe", "quality"],
+    [
+        suffix_dedup.removed, jaccard.join, jaccard.keep_one, lm_score.score, secrets.report, secrets.redact, bpe.encode, quality.judge,
+        lambda d: decontaminate.report(d, d.select(F.col("doc_id").alias("item_id"), "text")),
+        lambda d: decontaminate.clean(d, d.select(F.col("doc_id").alias("item_id"), "text")),
+        lambda d: toxicity.score(d, d.select("doc_id", F.lit(1).alias("toxic"))),
+        lambda d: html_text.render(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"))),
+    ],
+    ids=["suffix", "jaccard", "keep_one", "lm", "secrets", "redact", "bpe", "quality", "decontaminate", "clean", "toxicity", "html"],
 )
 def test_empty_table(spark, run):
     assert run(frame(spark, ["x"]).limit(0)).count() == 0
