@@ -1,12 +1,17 @@
 """HTML extraction: a tree builder with implied tags, visibility rules, and a layout-aware rendering.
 
-All visible text comes out in document order. Blocks are parted by line breaks, paragraphs, headings,
-lists and tables by a blank line; list items get their marker and are indented; table cells are padded
-so that columns align; ``pre`` keeps its white space; ``br`` breaks the line.
+All visible text comes out, in document order but for text between the rows of a table, which stands before
+it (as HTML's foster parenting has it). Blocks are parted by line breaks, paragraphs, headings, lists and
+tables by a blank line; list items get their marker and are indented, up to ``MAX_INDENT`` columns; table
+cells are padded so that columns align; ``pre`` keeps its white space, blank lines too; ``br`` breaks the line.
+
+A cell of more than ``MAX_WIDTH`` characters does not widen its column, and a table whose padding would be
+far larger than its text has its cells parted by two spaces instead; so the output grows with the page.
 
 Defined cases: null and empty pages give empty text; a page without any tag is its own text; unknown
 tags are inline; a tag or comment that never ends runs to the end of the page; elements may be nested to
-any depth (no step recurses); repeated rows give equal rows.
+any depth (no step recurses); repeated rows give equal rows, null ids stay null, an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,6 +56,9 @@ IMPLIED_END = {
 }
 #: HTML's own limits of the two spans.
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+MAX_INDENT, MAX_WIDTH = 64, 80
+#: A table is aligned while its lines take up to so many characters for each one of text, and so many beside.
+PAD_FACTOR, PAD_FREE = 16, 4096
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"""</?([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -231,33 +239,35 @@ class Page:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line = ""
+        self.line: list[str] = []  # parts of the open line
         self.gap = 0  # blank lines due before the next text
         self.space = False
         self.indent = ""
         self.marker = ""
 
     def text(self, s: str) -> None:
-        for i, word in enumerate(_SPACE.split(s)):
-            if i:
-                self.space = bool(self.line)
-            if word:
-                self.put((" " if self.space and self.line else "") + word)
-                self.space = False
+        s = _SPACE.sub(" ", s)
+        if s.startswith(" "):
+            self.space, s = bool(self.line), s[1:]
+        if not s:
+            return
+        more = s.endswith(" ")
+        self.put((" " if self.space and self.line else "") + (s[:-1] if more else s))
+        self.space = more
 
     def put(self, s: str) -> None:
         if not self.line:
             if self.gap and self.lines:
                 self.lines += [""] * self.gap
             self.gap = 0
-            self.line = self.indent[: len(self.indent) - len(self.marker)] + self.marker if self.marker else self.indent
+            self.line.append(self.indent[: max(0, len(self.indent) - len(self.marker))] + self.marker if self.marker else self.indent)
             self.marker = ""
-        self.line += s
+        self.line.append(s)
 
     def end_line(self) -> None:
         if self.line:
-            self.lines.append(self.line.rstrip(" "))
-        self.line, self.space = "", False
+            self.lines.append("".join(self.line).rstrip(" "))
+        self.line, self.space = [], False
 
     def block(self, margin: int) -> None:
         self.end_line()
@@ -324,12 +334,12 @@ def _element(node: Node, page: Page) -> Iterator:
     if tag in ("pre", "textarea"):
         parts: list[str] = []
         yield _plain(node, parts)
-        for line in parts[0].split("\n"):
+        for line in parts[0].rstrip().split("\n") if parts[0].strip() else ():
             if line.strip():
                 page.put(line)
+                page.end_line()
             else:
-                page.gap = max(page.gap, 1) if page.lines else 0
-            page.end_line()
+                page.gap += 1
     elif tag in ("ul", "ol", "menu", "dir"):
         number = _number(node.attrs.get("start", ""), 1)
         for child in node.children:
@@ -342,7 +352,7 @@ def _element(node: Node, page: Page) -> Iterator:
                 number = _number(child.attrs.get("value", ""), number) if tag == "ol" else number
                 mark = f"{number}. " if tag == "ol" else "- "
                 number += 1
-                page.indent, page.marker = indent + " " * len(mark), mark
+                page.indent, page.marker = (indent + " " * len(mark))[:MAX_INDENT], mark
                 yield _render(child, page)
                 page.end_line()
                 page.indent, page.marker = indent, ""
@@ -351,7 +361,7 @@ def _element(node: Node, page: Page) -> Iterator:
     elif tag == "table":
         yield _table(node, page)
     elif tag in ("dd", "blockquote"):
-        page.indent += "    " if tag == "dd" else "  "
+        page.indent = (page.indent + ("    " if tag == "dd" else "  "))[:MAX_INDENT]
         yield _render(node, page)
     elif tag == "details" and "open" not in node.attrs:
         for child in node.children:
@@ -438,26 +448,39 @@ def _table(node: Node, page: Page) -> Iterator:
         taken += held
         grid.append(cells)
     widths: dict[int, int] = {}
+    size = free = 0
     for cells in grid:
         for x, (lines, span) in cells.items():
             if span == 1:
-                widths[x] = max(widths.get(x, 0), *(len(s) for s in lines), 0)
+                widths[x] = max(widths.get(x, 0), *(len(s) for s in lines if len(s) <= MAX_WIDTH), 0)
+            size += sum(map(len, lines)) + 4
     wide = sorted(widths)
     before = [0]
     for x in wide:
         before.append(before[-1] + widths[x])
+    starts = []  # of each row's cells
     for cells in grid:
-        for k in range(max((len(lines) for lines, _ in cells.values()), default=0)):
-            line = ""
-            for x in sorted(cells):
-                column = before[bisect_left(wide, x)] + 2 * x
-                piece = cells[x][0][k] if k < len(cells[x][0]) else ""
-                if piece:
-                    line = line.ljust(column) if len(line) <= column or not line else line + "  "
-                    line += piece
-            if line.strip():
-                page.put(line)
+        own = [(x, before[bisect_left(wide, x)] + 2 * x) for x in sorted(cells)]
+        starts.append(own)
+        done = 0  # a line is padded up to the last cell that has it
+        for x, column in reversed(own):
+            free += max(0, len(cells[x][0]) - done) * column
+            done = max(done, len(cells[x][0]))
+    aligned = free <= PAD_FACTOR * size + PAD_FREE
+    for cells, own in zip(grid, starts):
+        rest = [(column if aligned else 0, cells[x][0]) for x, column in own]
+        k = 0
+        while rest := [r for r in rest if len(r[1]) > k]:
+            parts, length = [], 0
+            for column, lines in rest:
+                if piece := lines[k]:
+                    pad = column - length if length <= column or not length else 2
+                    parts += [" " * pad, piece]
+                    length += pad + len(piece)
+            if any(p.strip() for p in parts):
+                page.put("".join(parts))
             page.end_line()
+            k += 1
 
 
 def extract(page: str | None) -> str:

@@ -8,8 +8,13 @@ case letters with digits, base64), and a candidate is a secret where a window re
 its class. Candidates that look like ordinary text are suppressed by an allow-list: no digit at all,
 dashed words, dates and identifiers such as UUIDs, or a listed example key.
 
-Defined cases: null and empty texts have no spans; a candidate that overlaps a base span is not added
-again; spans are ordered by start, then by kind as listed; repeated rows give equal rows.
+A candidate that overlaps base spans is a secret or none as a whole; what of it lies outside those spans is
+added piece by piece, but for a short piece before an assignment, which is the start of a name.
+
+Defined cases: null and empty texts have no spans; a candidate inside a base span is not added again; spans
+are ordered by start, then by kind as listed (ties by end); repeated rows give equal rows, null ids stay
+null, an empty table gives an empty result; other columns are ignored by ``report`` and kept by ``redact``.
+Time and memory grow with the length of a text.
 """
 
 from __future__ import annotations
@@ -84,13 +89,23 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     spans = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     spans += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    base = sorted((a, b) for a, b, _ in spans)
+    base = sorted((a, b, kind) for a, b, kind in spans)
+    at = 0  # base spans before this one end before the candidate
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if ALLOWED.fullmatch(s) or any(a < m.end() and m.start() < b for a, b in base):
+        lo, hi = m.span()
+        while at < len(base) and base[at][1] <= lo:
+            at += 1
+        if ALLOWED.fullmatch(m[0]) or max_window_entropy(m[0]) < THRESHOLDS[character_class(m[0])]:
             continue
-        if max_window_entropy(s) >= THRESHOLDS[character_class(s)]:
-            spans.append((m.start(), m.end(), "entropy"))
+        k = at
+        while k < len(base) and base[k][0] < hi:
+            a, b, kind = base[k]
+            if lo < a and (kind != "assign" or a - lo >= MIN_LENGTH):
+                spans.append((lo, a, "entropy"))
+            lo = max(lo, b)
+            k += 1
+        if lo < hi:
+            spans.append((lo, hi, "entropy"))
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
