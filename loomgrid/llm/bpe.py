@@ -31,7 +31,7 @@ from . import packing as pk
 from . import textbatch as tb
 from . import vocabulary as vc
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: Bytes of text that are cut into words at once.
 PIECE_BYTES = 1 << 20
 
@@ -287,11 +287,12 @@ def encode(
     shared = spark.sparkContext.broadcast((pieces, at))
 
     def assemble(table: pa.Table) -> pa.Table:
+        tb.tidy()
         head, lists, slot = vc.unite(table)
         sizes = np.concatenate([np.empty(0, np.int64), *(pk.unpack(x.as_py()).astype(np.int64) for x in lists.column("lengths"))])
-        ids = np.concatenate([np.empty(0, "<u4"), *(pk.unpack(x.as_py()).astype("<u4") for x in lists.column("ids"))])
+        ids = np.concatenate([np.empty(0, "<u4"), *(pk.unpack(x.as_py(), "<u4") for x in lists.column("ids"))])
         first = np.concatenate(([0], np.cumsum(sizes)))
-        place = slot[pk.unpack(head.column("stream")[0].as_py())].astype(np.int32)
+        place = slot.astype(np.int32)[pk.unpack(head.column("stream")[0].as_py(), "<u4")]
         bounds = np.concatenate(([0], np.cumsum(pk.unpack(head.column("sizes")[0].as_py()).astype(np.int64))))
         pieces, at = shared.value
         doc_ids = head.column("docs").combine_chunks()[0].values
@@ -301,13 +302,14 @@ def encode(
             text = decode(own.astype(np.int64), pieces, at)
             rows.append((len(own), hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()))
             if keep_ids:
-                kept.append(own.astype(np.int32))
+                kept.append(own.view("<i4"))
             if keep_text:
                 texts.append(text.decode())
         n, a, b = zip(*rows)
         out = {"doc_id": doc_ids, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a), "decoded_sha256": pa.array(b)}
         if keep_ids:
-            out["ids"] = pa.array(kept, pa.list_(pa.int32()))
+            ends = np.cumsum([0, *n])
+            out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(kept)))
         if keep_text:
             out["decoded"] = pa.array(texts, pa.string())
         return pa.table(out)

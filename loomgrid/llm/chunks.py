@@ -65,6 +65,7 @@ def open_text(text: pa.Scalar, sizes: pa.Scalar) -> tuple[np.ndarray, np.ndarray
     """(bytes, offsets) of a chunk."""
     import zstandard
 
+    tb.tidy()
     data = np.frombuffer(zstandard.decompress(text.as_buffer()), np.uint8)
     return data, np.concatenate(([0], np.cumsum(pk.unpack(sizes.as_py()).astype(np.int64))))
 

@@ -139,9 +139,10 @@ class Stream:
     """The words of a chunk as numbers (0 for those that occur once in all), with their counts."""
 
     def __init__(self, row):
+        tb.tidy()
         get = lambda c: pk.unpack(row.column(c)[0].as_py())
         self.sizes = get("sizes").astype(np.int64)
-        stream = get("stream")
+        stream = pk.unpack(row.column("stream")[0].as_py(), "<u4")
         self.words, self.counts = get("numbers")[stream], get("totals")[stream]
         self.owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
 

@@ -14,14 +14,17 @@ def pack(x: np.ndarray, level: int = 1) -> bytes:
     return bytes([width]) + zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), level)
 
 
-def unpack(raw: bytes) -> np.ndarray:
+def unpack(raw: bytes, dtype: str = "<u8") -> np.ndarray:
+    """The numbers again; ``dtype`` is an unsigned type that holds them."""
     import zstandard
 
-    width = raw[0]
+    width, size = raw[0], np.dtype(dtype).itemsize
+    if width > size:
+        raise ValueError(f"numbers of {width} bytes do not fit {dtype}")
     planes = np.frombuffer(zstandard.decompress(raw[1:]), np.uint8).reshape(width, -1)
-    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide = np.zeros((planes.shape[1], size), np.uint8)
     wide[:, :width] = planes.T
-    return wide.view("<u8").ravel()
+    return wide.view(dtype).ravel()
 
 
 def pack_rising(x: np.ndarray) -> bytes:

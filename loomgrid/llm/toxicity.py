@@ -6,12 +6,16 @@ read as the letters they stand for before any look-up). The lexicon, the trees a
 learned here from labelled rows; the label, the language, the source and the id are never features.
 
 Learning takes at most ``SAMPLE`` labelled rows (a documented bound; the rows with the least hash of
-their id). Half of them give the lexicon, the others the trees and, apart from those, the calibration.
+their id). Half of them give the lexicon, the others the trees and, apart from those, the calibration;
+halves are dealt by text, so that copies of a document do not teach the lexicon what the trees are fitted to.
 Scoring takes every row and its whole text.
 
 Defined cases: null and empty texts are scored as texts without words; without labelled rows, or with
 one label only, every score is the share of that label (0 without rows); repeated rows score alike;
-labels that are null are left out; a document with several label rows is toxic if one says so.
+labels that are null are left out; a document with several label rows is toxic if one says so; a score that
+ties with the threshold is predicted toxic; null ids stay null and are not held out; an empty table of
+documents gives an empty result; other columns are ignored. What is held of a text is about 100 bytes for
+each of its words.
 """
 
 from __future__ import annotations
@@ -263,12 +267,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     )
     # The sample is bounded by ``size``, whatever the input, so it may be broadcast.
     joined = docs.join(F.broadcast(some), F.col("doc_id") == F.col("label_id"))
-    return joined.select("doc_id", "text", "toxic", (F.pmod(rank, F.lit(2)) == 0).alias("half"))
+    return joined.select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("text", F.lit(29)), F.lit(2)) == 0).alias("half"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     """The model from documents (doc_id, text) and labels (label_id, toxic)."""
-    # Copies of a document would otherwise teach the lexicon what the trees are then tested on.
     rows = labelled_sample(docs, labels, sample)
 
     def mine(batches):

@@ -106,6 +106,7 @@ def word_lists(docs: DataFrame, split: Callable, buckets: int, chunk_bytes: int)
 
         first = TaskContext.get().partitionId() << 20
         for at, chunk in enumerate(gather(batches, chunk_bytes)):
+            tb.tidy()
             data, offsets = tb.text_buffer(chunk.column("text"))
             data, pieces = split(data, offsets)
             sizes = np.zeros(len(offsets) - 1, np.int64)
