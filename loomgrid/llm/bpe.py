@@ -31,7 +31,7 @@ from . import packing as pk
 from . import textbatch as tb
 from . import vocabulary as vc
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 8 << 20
 #: Bytes of text that are cut into words at once.
 PIECE_BYTES = 1 << 20
 
@@ -292,7 +292,7 @@ def encode(
         sizes = np.concatenate([np.empty(0, np.int64), *(pk.unpack(x.as_py()).astype(np.int64) for x in lists.column("lengths"))])
         ids = np.concatenate([np.empty(0, "<u4"), *(pk.unpack(x.as_py(), "<u4") for x in lists.column("ids"))])
         first = np.concatenate(([0], np.cumsum(sizes)))
-        place = slot.astype(np.int32)[pk.unpack(head.column("stream")[0].as_py(), "<u4")]
+        place = slot.astype(np.int32)[pk.unpack_skewed(head.column("stream")[0].as_py())]
         bounds = np.concatenate(([0], np.cumsum(pk.unpack(head.column("sizes")[0].as_py()).astype(np.int64))))
         pieces, at = shared.value
         doc_ids = head.column("docs").combine_chunks()[0].values

@@ -142,7 +142,7 @@ class Stream:
         tb.tidy()
         get = lambda c: pk.unpack(row.column(c)[0].as_py())
         self.sizes = get("sizes").astype(np.int64)
-        stream = pk.unpack(row.column("stream")[0].as_py(), "<u4")
+        stream = pk.unpack_skewed(row.column("stream")[0].as_py())
         self.words, self.counts = get("numbers")[stream], get("totals")[stream]
         self.owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
 

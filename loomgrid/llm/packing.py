@@ -27,6 +27,23 @@ def unpack(raw: bytes, dtype: str = "<u8") -> np.ndarray:
     return wide.view(dtype).ravel()
 
 
+def pack_skewed(x: np.ndarray) -> bytes:
+    """Numbers most of which are small: one byte each, and what is beyond 254 apart."""
+    import zstandard
+
+    small = zstandard.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), 3)
+    return len(small).to_bytes(4, "little") + small + pack(x[x >= 255] - 255, 3)
+
+
+def unpack_skewed(raw: bytes, dtype: str = "<u4") -> np.ndarray:
+    import zstandard
+
+    at = 4 + int.from_bytes(raw[:4], "little")
+    out = np.frombuffer(zstandard.decompress(raw[4:at]), np.uint8).astype(dtype)
+    out[out == 255] += unpack(raw[at:], dtype)
+    return out
+
+
 def pack_rising(x: np.ndarray) -> bytes:
     """Rising numbers as packed differences."""
     x = np.asarray(x, np.uint64)

@@ -131,7 +131,7 @@ def word_lists(docs: DataFrame, split: Callable, buckets: int, chunk_bytes: int)
                     pa.array([(first + at) % buckets, *full], pa.int32()),
                     pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.nulls(n, pa.list_(ids.type))]),
                     pa.array([pk.pack(sizes), *none], pa.binary()),
-                    pa.array([pk.pack(stream, 7), *none], pa.binary()),
+                    pa.array([pk.pack_skewed(stream), *none], pa.binary()),
                     pa.array([pk.pack(bucket), *none], pa.binary()),
                     pa.array([zstandard.compress(sums[full].tobytes()), *none], pa.binary()),
                     pa.array([None, *sums[full]], pa.int64()),
