@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm import bpe, decontaminate, jaccard, secrets, toxicity
-from loomgrid.llm.store import shared_folder
+from loomgrid.llm.store import delete, shared_folder
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of the ids and of the text that they decode to."""
-    return bpe.encode(docs, keep_ids=True)
+    return bpe.encode(docs, keep_ids=True, chunk_bytes=6 << 20)
 
 
 STAGES = [
@@ -57,11 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a Parquet table that the next stage reads."""
+    """All stages over ``documents``; each result is a Parquet table that the next stage reads, and goes after that."""
     folder = f"{shared_folder(spark)}/loomgrid/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if i:
+            delete(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
         docs = spark.read.parquet(path)
     return docs
