@@ -9,9 +9,9 @@ The estimates are concentration steps written as aggregations: distances fall in
 sums and products of each (group, class) are added up exactly in integers, and the closest classes that
 hold the kept share of the rows give the next centre and scatter. Every step covers all rows, no group is
 ever gathered, and the result does not depend on the order of rows. Four starts are run (full scatter,
-diagonal scatter, medians with median deviations, and these with the correlations of spatial signs), two
-steps on half of the rows and then on ``SHARE`` of them until no group changes, and the one with the
-smallest determinant is kept. Estimates of few rows are shrunk: a (language, source) of n rows has weight n / (n + ``PRIOR_ROWS``)
+diagonal scatter, medians with median deviations, and these with the correlations of spatial signs) for two
+steps on half of the rows and one on ``SHARE`` of them; the two with the smallest determinants go on until
+no group's determinant changes, and the one with the smallest is kept. Estimates of few rows are shrunk: a (language, source) of n rows has weight n / (n + ``PRIOR_ROWS``)
 against its language, and a language against all documents, so every group has one and none is skipped.
 
 Defined cases: null or empty text has no words and fails the base rule; null languages and sources form
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
@@ -39,7 +39,9 @@ MIN_WORDS = 50
 SHARE = 0.75
 FIRST_SHARES = (0.5, 0.5)
 #: Steps at most; an estimate that has not settled by then is taken as it is.
-STEPS = 20
+STEPS = 12
+#: Starts that go on after the first steps, and the change of a log determinant below which an estimate has settled.
+BEST, SETTLED = 2, 1e-3
 #: Rows by which an estimate is drawn towards the next wider one.
 PRIOR_ROWS = 100
 #: Share of normal documents beyond the cutoff.
@@ -158,7 +160,7 @@ def _vector() -> list:
 
 _PAIRS = [(i, j) for i in range(len(VECTOR)) for j in range(i, len(VECTOR))]
 _KEYS = ["level", "lang_key", "source_key"]
-_RAW = "level int, lang_key string, source_key string, start int, n long, kept long, centre array<double>, scatter array<double>, scale double, settled boolean"
+_RAW = "level int, lang_key string, source_key string, start int, n long, kept long, centre array<double>, scatter array<double>, det double, scale double, settled boolean"
 
 
 def _sums() -> list:
@@ -179,7 +181,8 @@ def moments(n: int, sums, products) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _row(key, start: int, n: int, kept: int, centre, scatter, scale: float, settled: bool) -> tuple:
-    return (*key, start, n, kept, np.asarray(centre).tolist(), np.asarray(scatter).ravel().tolist(), scale, settled)
+    det = float(np.linalg.slogdet(scatter + np.diag((np.array(FLOORS) * GRID) ** 2))[1])
+    return (*key, start, n, kept, np.asarray(centre).tolist(), np.asarray(scatter).ravel().tolist(), det, scale, settled)
 
 
 def _frame(rows):
@@ -230,9 +233,8 @@ def _step(key, pdf, share: float, first: bool):
     middle = int(np.searchsorted(upto, math.ceil(total / 2)))
     squared = 2.0 ** ((pdf["klass"].iloc[middle] + 0.5) / CLASSES) - 1
     scale = max(1.0, squared / (p * (1 - 2 / (9 * p)) ** 3))
-    before = np.asarray(pdf["before"].iloc[0])
-    settled = not first and int(pdf["kept"].iloc[0]) == kept and bool(np.array_equal(before, centre))
-    return _frame([_row(key[:3], key[3], total, kept, centre, scatter, scale, settled)])
+    row = _row(key[:3], key[3], total, kept, centre, scatter, scale, False)
+    return _frame([(*row[:-1], not first and abs(row[-3] - float(pdf["before"].iloc[0])) < SETTLED)])
 
 
 def shrink(centre, scatter, scale: float, n: int, above: tuple | None, prior_rows: float = PRIOR_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -243,7 +245,7 @@ def shrink(centre, scatter, scale: float, n: int, above: tuple | None, prior_row
     return w * centre + (1 - w) * c, w * scatter + (1 - w) * s, w * scale + (1 - w) * k
 
 
-_USED = "level int, lang_key string, source_key string, start int, kept long, before array<double>, centre array<double>, inverse array<double>, log_det double, scale double"
+_USED = "level int, lang_key string, source_key string, start int, before double, centre array<double>, inverse array<double>, log_det double, scale double"
 
 
 def _shrunk(parts, prior_rows: float):
@@ -260,8 +262,7 @@ def _shrunk(parts, prior_rows: float):
                 used = shrink(centre, scatter, getattr(r, f"scale{k}"), getattr(r, f"n{k}"), used, prior_rows)
             scatter = used[1] + np.diag((np.array(FLOORS) * GRID) ** 2)
             inverse, det = np.linalg.inv(scatter), float(np.linalg.slogdet(scatter)[1])
-            own = np.array(getattr(r, f"centre{r.level}")).tolist()
-            out.append((r.level, r.lang_key, r.source_key, r.start, r.kept, own, used[0].tolist(), inverse.ravel().tolist(), det, used[2]))
+            out.append((r.level, r.lang_key, r.source_key, r.start, r.det, used[0].tolist(), inverse.ravel().tolist(), det, used[2]))
         yield pd.DataFrame(out, columns=names)
 
 
@@ -272,7 +273,7 @@ def _used(raw: DataFrame, prior_rows: float) -> DataFrame:
     rows = raw.join(wider(2, []), "start").join(wider(1, ["lang_key"]), ["lang_key", "start"], "left")
     own = [F.when(F.col("level") == 0, F.col(f)).alias(f"{f}0") for f in fields]
     names = [f"{f}{k}" for k in (1, 2) for f in fields]
-    return rows.select(*_KEYS, "start", "kept", *own, *names).mapInPandas(lambda parts: _shrunk(parts, prior_rows), _USED)
+    return rows.select(*_KEYS, "start", "det", *own, *names).mapInPandas(lambda parts: _shrunk(parts, prior_rows), _USED)
 
 
 def _squared_distance():
@@ -310,11 +311,14 @@ def estimates(vectors: DataFrame, prior_rows: float = PRIOR_ROWS) -> DataFrame:
     klass = F.floor(F.log2(1 + _squared_distance()) * CLASSES).cast("int").alias("klass")
     for k in range(STEPS):
         share = FIRST_SHARES[k] if k < len(FIRST_SHARES) else SHARE
-        used = _used(raw, prior_rows).select(*_KEYS, "start", "kept", "before", "centre", "inverse")
+        used = _used(raw, prior_rows).select(*_KEYS, "start", "before", "centre", "inverse")
         step = (
-            rows.join(used, _KEYS).groupBy(*_KEYS, "start", klass).agg(*_sums(), F.first("kept").alias("kept"), F.first("before").alias("before"))
+            rows.join(used, _KEYS).groupBy(*_KEYS, "start", klass).agg(*_sums(), F.first("before").alias("before"))
             .groupBy(*_KEYS, "start").applyInPandas(_concentrate(share, k <= len(FIRST_SHARES)), _RAW)
         )
+        if k == len(FIRST_SHARES):  # the best starts get the numbers 0 and on, in every group alike
+            place = F.row_number().over(Window.partitionBy(*_KEYS).orderBy("det", "start")) - 1
+            step = step.withColumn("start", place).where(F.col("start") < BEST)
         step = cut(step, "quality-step")
         drop(raw)
         raw = step
