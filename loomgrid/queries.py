@@ -75,10 +75,10 @@ m AS (SELECT image, sum(score * w) / sum(w) AS score, count(*) AS n FROM s GROUP
 """
 
 
-@query(_RANKINGS + "SELECT image AS p_partkey, n AS n_scorers, round(score, 6) AS score FROM m ORDER BY round(score, 6) DESC, image LIMIT 100")
+@query(_RANKINGS + "SELECT image AS p_partkey, n AS n_scorers, round(score, 6) AS score FROM m")
 def rank_weighted_mean(spark, d):
     means = rank.weighted_mean(_part_rankings(spark, d))
-    return means.select(F.col("image").alias("p_partkey"), F.col("n").alias("n_scorers"), r6("score").alias("score")).orderBy(F.desc("score"), "p_partkey").limit(100)
+    return means.select(F.col("image").alias("p_partkey"), F.col("n").alias("n_scorers"), r6("score").alias("score"))
 
 
 @query(_RANKINGS + "SELECT image, round(score, 6) AS score FROM m WHERE score > 0 ORDER BY round(score, 9) DESC, image LIMIT 1")
@@ -191,12 +191,12 @@ def contiguity_check(spark, d):
     return merges.contiguous(read(spark, d, "conversations"), ["conv_id"], "turn")
 
 
-@query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, 'img' || l_partkey AS a, 'sup' || l_suppkey AS b FROM lineitem WHERE l_orderkey % 50 = 0),
+@query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, 'img' || l_partkey AS a, 'sup' || l_suppkey AS b FROM lineitem),
 n AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY i, a, b) - 1 AS idx, a, b FROM l),
 f AS (SELECT k, idx, 0 AS pos, a AS path FROM n UNION ALL SELECT k, idx, 1, b FROM n WHERE idx % 2 = 0)
 SELECT k AS merge_id, row_number() OVER (PARTITION BY k ORDER BY idx, pos) - 1 AS ord, path FROM f""")
 def ordered_list_merge(spark, d):
-    rows = read(spark, d, "lineitem").where("l_orderkey % 50 = 0")
+    rows = read(spark, d, "lineitem")
     a, b = F.concat(F.lit("img"), "l_partkey"), F.concat(F.lit("sup"), "l_suppkey")
     idx = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", a, b)) - 1
     payload = rows.select(
@@ -286,16 +286,16 @@ def mean_embedding_normalised(spark, d):
 
 
 @query("""SELECT p_partkey, f.i * 7 + r.i AS ord, f.v AS flip, r.v AS rotation FROM part, (VALUES (0, 'none'), (1, 'h'), (2, 'v'), (3, 'hv')) f(i, v),
-(VALUES (0, -45), (1, -30), (2, -15), (3, 0), (4, 15), (5, 30), (6, 45)) r(i, v) WHERE p_partkey <= 50""")
+(VALUES (0, -45), (1, -30), (2, -15), (3, 0), (4, 15), (5, 30), (6, 45)) r(i, v)""")
 def image_variants(spark, d):
-    rows = read(spark, d, "part").where("p_partkey <= 50").select("p_partkey")
+    rows = read(spark, d, "part").select("p_partkey")
     return embeddings.variants(rows, ["none", "h", "v", "hv"], [-45, -30, -15, 0, 15, 30, 45]).select("p_partkey", "ord", "flip", "rotation")
 
 
 @query()
 def kmeans_fixed_iter(spark, d):
-    rows = read(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)))
-    out = clusters.kmeans(rows, [f"e{i}" for i in range(4)], "vec_id", 6, 4)
+    rows = read(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)))
+    out = clusters.kmeans(rows, [f"e{i}" for i in range(64)], "vec_id", 6, 4)
     return out.select("rank", "population", F.transform("centre", lambda v: F.round(v, 6)).alias("centre"))
 
 
@@ -516,16 +516,10 @@ def layer_fold(spark, d):
 # Pixels and masks -------------------------------------------------------------------------------------
 
 _W = _H = 24
-_MASK = "SELECT DISTINCT l_linenumber AS mask_id, (l_partkey * 7 + l_suppkey) % 24 AS x, (l_orderkey + l_partkey) % 24 AS y FROM lineitem WHERE l_quantity < {q} AND l_orderkey < 4000"
+_MASK = "SELECT DISTINCT (l_orderkey // 4000) * 10 + l_linenumber AS mask_id, (l_partkey * 7 + l_suppkey) % 24 AS x, (l_orderkey + l_partkey) % 24 AS y FROM lineitem WHERE l_quantity < {q}"
 
 
 def _mask(spark, d, q):
-    rows = read(spark, d, "lineitem").where((F.col("l_quantity") < q) & (F.col("l_orderkey") < 4000))
-    x, y = (F.col("l_partkey") * 7 + F.col("l_suppkey")) % _W, (F.col("l_orderkey") + F.col("l_partkey")) % _H
-    return rows.select(F.col("l_linenumber").alias("mask_id"), x.cast("int").alias("x"), y.cast("int").alias("y")).distinct()
-
-
-def _all_masks(spark, d, q):
     """Masks from all line items: each run of 4000 order keys gives masks of its own, so that none fills up with the table."""
     rows = read(spark, d, "lineitem").where(F.col("l_quantity") < q)
     x, y = (F.col("l_partkey") * 7 + F.col("l_suppkey")) % _W, (F.col("l_orderkey") + F.col("l_partkey")) % _H
@@ -579,27 +573,27 @@ def pca_angle(spark, d):
     return masks.pca_angle(_mask(spark, d, 3)).select("mask_id", r6("angle").alias("angle"))
 
 
-@query(f"""WITH RECURSIVE m AS (SELECT * FROM ({_MASK.format(q=2)}) WHERE mask_id = 1), e AS (SELECT a.x AS ax, a.y AS ay, b.x AS nx, b.y AS ny FROM m a JOIN m b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
-c AS (SELECT x, y, x AS sx, y AS sy FROM m UNION SELECT nx, ny, sx, sy FROM c JOIN e ON c.x = ax AND c.y = ay)
-SELECT x, y, min(sy * 1048576 + sx) AS label FROM c GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE m AS (SELECT * FROM ({_MASK.format(q=2)})), e AS (SELECT a.mask_id, a.x AS ax, a.y AS ay, b.x AS nx, b.y AS ny FROM m a JOIN m b ON a.mask_id = b.mask_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+c AS (SELECT mask_id, x, y, x AS sx, y AS sy FROM m UNION SELECT mask_id, nx, ny, sx, sy FROM c JOIN e USING (mask_id) WHERE c.x = ax AND c.y = ay)
+SELECT mask_id, x, y, min(sy * 1048576 + sx) AS label FROM c GROUP BY 1, 2, 3""")
 def connected_components(spark, d):
-    return masks.components(_mask(spark, d, 2).where("mask_id = 1")).select("x", "y", "label")
+    return masks.components(_mask(spark, d, 2)).select("mask_id", "x", "y", "label")
 
 
 @query()
 def mask_cleanup(spark, d):
     """Holes, opening and small components, as a digest by mask."""
-    return _digest(masks.cleanup(_all_masks(spark, d, 40), _W, _H, 6, 1, 3))
+    return _digest(masks.cleanup(_mask(spark, d, 40), _W, _H, 6, 1, 3))
 
 
 @query()
 def largest_components(spark, d):
-    return _digest(masks.keep_largest(_all_masks(spark, d, 3), 2))
+    return _digest(masks.keep_largest(_mask(spark, d, 3), 2))
 
 
 @query()
 def largest_rectangle(spark, d):
-    return masks.largest_rectangle(_all_masks(spark, d, 12))
+    return masks.largest_rectangle(_mask(spark, d, 12))
 
 
 @query(f"""WITH m AS ({_MASK.format(q=3)}) SELECT DISTINCT mask_id, x + dx AS x, y + dy AS y FROM m, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) k(dx, dy) WHERE x + dx BETWEEN 0 AND 23 AND y + dy BETWEEN 0 AND 23""")
