@@ -53,9 +53,13 @@ def weighted_mean(rankings: DataFrame, key: str = "image") -> DataFrame:
     )
 
 
-def best(rankings: DataFrame, key: str = "image") -> DataFrame:
-    """The one image with the largest mean; the first listed of equals; none where that is not above 0."""
+def best(rankings: DataFrame, key: str = "image", places: int | None = None) -> DataFrame:
+    """The one image with the largest mean; the first listed of equals; none where that is not above 0.
+
+    With ``places``, means that agree in so many decimals are equal.
+    """
     means = weighted_mean(rankings, key)
+    means = means if places is None else means.withColumn("score", F.round("score", places))
     first = means.agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("ord"), F.col(key).alias("k"))).alias("b"))
     return first.where(F.col("b.s") < 0).select(F.col("b.k").alias(key), (-F.col("b.s")).alias("score"))
 

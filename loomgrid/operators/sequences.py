@@ -92,8 +92,14 @@ def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def robust_line(df: DataFrame, keys: list[str], x: str, y: str, samples: int = 64, trim: float = 0.1, max_slope: float = 10.0) -> DataFrame:
-    """(keys, slope, intercept): even samples, median-smoothed, a cubic fit, and the median of its plausible slopes."""
+def robust_line(
+    df: DataFrame, keys: list[str], x: str, y: str, samples: int = 64, trim: float = 0.1, max_slope: float = 10.0, least: int = 3
+) -> DataFrame:
+    """(keys, slope, intercept): even samples, median-smoothed, a cubic fit, and the median of its plausible slopes.
+
+    Where fewer than ``least`` slopes of the middle part are within ``max_slope``, the ``least`` flattest
+    count. The line goes through the medians of the x and (smoothed) y that go with the slopes kept.
+    """
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(x, kind="stable")
@@ -107,15 +113,13 @@ def robust_line(df: DataFrame, keys: list[str], x: str, y: str, samples: int = 6
         centre, scale = t.mean(), max(t.std(), 1e-9)
         fit = np.polynomial.Polynomial.fit((t - centre) / scale, v, min(3, len(t) - 1))
         cut = round(len(t) * trim)
-        middle = (t[cut : len(t) - cut] if len(t) > 2 * cut else t) - centre
-        slopes = fit.deriv()(middle / scale) / scale
-        good = np.abs(slopes) <= max_slope
-        if not good.any():
-            good = np.abs(slopes) <= np.sort(np.abs(slopes))[min(2, len(slopes) - 1)]
-        slope = float(np.median(slopes[good]))
-        kept = middle[good]
-        pivot = kept[len(kept) // 2]
-        return pd.DataFrame([(*key, slope, float(fit(pivot / scale) - slope * (pivot + centre)))])
+        inner = slice(cut, len(t) - cut) if len(t) > 2 * cut else slice(None)
+        slopes = fit.deriv()((t[inner] - centre) / scale) / scale
+        kept = np.flatnonzero(np.abs(slopes) <= max_slope)
+        if len(kept) < least:
+            kept = np.argsort(np.abs(slopes), kind="stable")[:least]
+        slope = float(np.median(slopes[kept]))
+        return pd.DataFrame([(*key, slope, float(np.median(v[inner][kept]) - slope * np.median(t[inner][kept])))])
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     return df.groupBy(*keys).applyInPandas(run, f"{kinds}, slope double, intercept double")

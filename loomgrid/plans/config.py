@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import secrets
 from functools import reduce
 from pathlib import Path
 
@@ -28,15 +29,19 @@ def resolve_spec(spec: dict | str | Path | list | tuple) -> dict:
     return made
 
 
-def resolve_seeds(seed: int | str | list[int], batch: int) -> list[int]:
-    """One seed per item: a list must have the batch's length, a number counts up; random seeds are refused."""
-    if isinstance(seed, list):
-        if len(seed) != batch:
-            raise ValueError(f"{len(seed)} seeds for a batch of {batch}")
-        return [int(s) for s in seed]
-    if seed == "random":
-        raise ValueError("a random seed is not reproducible; give a number or a list")
-    return [int(seed) + i for i in range(batch)]
+def resolve_seeds(seed: int | str | list[int] | None, batch: int | None = None) -> list[int]:
+    """One seed per item: a list sets the batch or must have its length; one number is for a batch of one.
+
+    ``None``, ``"rand"`` and ``"random"`` draw the seeds; keep what comes out with the results.
+    """
+    if batch is not None and int(batch) <= 0:
+        raise ValueError(f"a batch of {batch}")
+    if seed is None or seed in ("rand", "random"):
+        return [secrets.randbelow(1 << 31) for _ in range(1 if batch is None else int(batch))]
+    seeds = [int(s) for s in (seed if isinstance(seed, (list, tuple)) else [seed])]
+    if not seeds or batch is not None and len(seeds) != int(batch):
+        raise ValueError(f"{len(seeds)} seeds for a batch of {batch}")
+    return seeds
 
 
 def resolve_context(spec: dict) -> dict:

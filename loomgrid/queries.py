@@ -84,9 +84,7 @@ def rank_weighted_mean(spark, d):
 @query(_RANKINGS + "SELECT image, round(score, 6) AS score FROM m WHERE score > 0 ORDER BY round(score, 9) DESC, image LIMIT 1")
 def rank_top1(spark, d):
     rows = _part_rankings(spark, d).withColumn("score", F.round("score", 12))
-    means = rank.weighted_mean(rows).select("image", F.round("score", 9).alias("score"), "ord")
-    first = means.agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("image").alias("k"))).alias("b"))
-    return first.where("b.s < 0").select(F.col("b.k").alias("image"), r6(-F.col("b.s")).alias("score"))
+    return rank.best(rows, places=9).select("image", r6("score").alias("score"))
 
 
 @query(_RANKINGS + """, k AS (SELECT * FROM s WHERE scorer_ord <> 1 UNION ALL SELECT image, 1, 0.5, 1.0 FROM r WHERE image % 3 = 0)
@@ -406,11 +404,16 @@ def bbox_expand(spark, d):
     return _detections(spark, d).select("image_id", "ord", b.alias("b")).select("image_id", "ord", *(F.col(f"b.{c}").cast("long").alias(c) for c in G.CORNERS))
 
 
-@query()
+@query(f"""WITH r AS (SELECT *, (x2 - x1)::DOUBLE AS bw, (y2 - y1)::DOUBLE AS bh FROM ({_DET})),
+s AS (SELECT *, least(greatest(bw, ceil(bh * (3 / 4.0::DOUBLE))), 80) AS cw, least(greatest(bh, ceil(bw / (3 / 4.0::DOUBLE))), 80) AS ch FROM r),
+p AS (SELECT *, greatest(0, least(80 - cw, floor(0.5::DOUBLE * (x1 + x2) - cw / 2))) AS px, greatest(0, least(80 - ch, floor(0.5::DOUBLE * (y1 + y2) - ch / 2))) AS py FROM s),
+q AS (SELECT *, greatest(x2 - cw, least(x1, px)) AS ax, greatest(y2 - ch, least(y1, py)) AS ay FROM p)
+SELECT image_id, ord, ax::BIGINT AS x1, ay::BIGINT AS y1, (ax + cw)::BIGINT AS x2, (ay + ch)::BIGINT AS y2 FROM q""")
 def bbox_to_ratio(spark, d):
-    """Every box grown towards 3:4; the tests hold it against the rule."""
+    """Every box grown towards 3:4."""
     b = G.expand_to_ratio(F.col("box"), F.lit(80), F.lit(80), (3, 4))
-    return _detections(spark, d).select("image_id", "ord", b.alias("b")).select("image_id", "ord", "b.*")
+    rows = _detections(spark, d).select("image_id", "ord", b.alias("b"))
+    return rows.select("image_id", "ord", *(F.col(f"b.{c}").cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
 @query("""SELECT p_partkey, CASE WHEN w >= h THEN greatest(8, (64 // 8) * 8) ELSE greatest(8, floor(round_even(w * (64::DOUBLE / h), 0) / 8) * 8) END::INT AS w,
@@ -580,18 +583,36 @@ def connected_components(spark, d):
     return masks.components(_mask(spark, d, 2)).select("mask_id", "x", "y", "label")
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS ({_MASK.format(q=40)}), g AS (SELECT mask_id, gx.x, gy.y FROM (SELECT DISTINCT mask_id FROM m), (SELECT unnest(range(24)) AS x) gx, (SELECT unnest(range(24)) AS y) gy),
+bg AS (SELECT * FROM g ANTI JOIN m USING (mask_id, x, y)), e AS (SELECT a.mask_id, a.x AS ax, a.y AS ay, b.x AS nx, b.y AS ny FROM bg a JOIN bg b ON a.mask_id = b.mask_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+c AS (SELECT mask_id, x, y, x AS sx, y AS sy FROM bg UNION SELECT mask_id, nx, ny, sx, sy FROM c JOIN e USING (mask_id) WHERE c.x = ax AND c.y = ay),
+l AS (SELECT mask_id, x, y, min(sy * 1048576 + sx) AS label FROM c GROUP BY 1, 2, 3),
+h AS (SELECT mask_id, label FROM l GROUP BY 1, 2 HAVING count(*) <= 6 AND min(x) > 0 AND min(y) > 0 AND max(x) < 23 AND max(y) < 23),
+f AS (SELECT * FROM m UNION SELECT mask_id, x, y FROM l SEMI JOIN h USING (mask_id, label)), k AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) t(dx, dy)),
+o AS (SELECT DISTINCT mask_id, x + dx AS x, y + dy AS y FROM (SELECT * FROM g ANTI JOIN f USING (mask_id, x, y)), k), r AS (SELECT * FROM f ANTI JOIN o USING (mask_id, x, y)),
+w AS (SELECT DISTINCT mask_id, x + dx AS x, y + dy AS y FROM r, k WHERE x + dx BETWEEN 0 AND 23 AND y + dy BETWEEN 0 AND 23),
+n AS (SELECT a.mask_id, a.x, a.y, b.x AS nx, b.y AS ny FROM w a JOIN w b ON a.mask_id = b.mask_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+n2 AS (SELECT DISTINCT a.mask_id, a.x, a.y, b.nx, b.ny FROM n a JOIN n b ON a.mask_id = b.mask_id AND a.nx = b.x AND a.ny = b.y),
+n3 AS (SELECT DISTINCT a.mask_id, a.x, a.y, b.nx, b.ny FROM n2 a JOIN n b ON a.mask_id = b.mask_id AND a.nx = b.x AND a.ny = b.y),
+z AS (SELECT mask_id, x, y FROM n3 GROUP BY 1, 2, 3 HAVING count(*) > 3) SELECT mask_id, count(*) AS n, sum(x * 100 + y) AS digest FROM z GROUP BY 1""")
 def mask_cleanup(spark, d):
     """Holes, opening and small components, as a digest by mask."""
     return _digest(masks.cleanup(_mask(spark, d, 40), _W, _H, 6, 1, 3))
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS ({_MASK.format(q=3)}), e AS (SELECT a.mask_id, a.x AS ax, a.y AS ay, b.x AS nx, b.y AS ny FROM m a JOIN m b ON a.mask_id = b.mask_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+c AS (SELECT mask_id, x, y, x AS sx, y AS sy FROM m UNION SELECT mask_id, nx, ny, sx, sy FROM c JOIN e USING (mask_id) WHERE c.x = ax AND c.y = ay),
+l AS (SELECT mask_id, x, y, min(sy * 1048576 + sx) AS label FROM c GROUP BY 1, 2, 3), r AS (SELECT mask_id, label, row_number() OVER (PARTITION BY mask_id ORDER BY count(*) DESC, label) AS r FROM l GROUP BY 1, 2)
+SELECT mask_id, count(*) AS n, sum(x * 100 + y) AS digest FROM l JOIN r USING (mask_id, label) WHERE r <= 2 GROUP BY 1""")
 def largest_components(spark, d):
     return _digest(masks.keep_largest(_mask(spark, d, 3), 2))
 
 
-@query()
+@query(f"""WITH m AS ({_MASK.format(q=12)}), k AS (SELECT unnest(range(25)) AS k), i AS (SELECT DISTINCT mask_id FROM m),
+p AS (SELECT i.mask_id, a.k AS x, b.k AS y, count(m.x) AS n FROM i CROSS JOIN k a CROSS JOIN k b LEFT JOIN m ON m.mask_id = i.mask_id AND m.x < a.k AND m.y < b.k GROUP BY 1, 2, 3),
+s AS (SELECT a.mask_id, a.y, a.x AS x1, b.x AS x2, b.n - a.n AS n FROM p a JOIN p b ON a.mask_id = b.mask_id AND a.y = b.y AND a.x < b.x),
+r AS (SELECT u.mask_id, u.x1, u.y AS y1, u.x2, v.y AS y2, v.n - u.n AS n FROM s u JOIN s v ON u.mask_id = v.mask_id AND u.x1 = v.x1 AND u.x2 = v.x2 AND u.y < v.y),
+o AS (SELECT *, row_number() OVER (PARTITION BY mask_id ORDER BY n DESC, y2, x2, y2 - y1 DESC) AS o FROM r WHERE n = (x2 - x1) * (y2 - y1)) SELECT mask_id, x1, y1, x2, y2 FROM o WHERE o = 1""")
 def largest_rectangle(spark, d):
     return masks.largest_rectangle(_mask(spark, d, 12))
 
@@ -638,10 +659,10 @@ def lab_convert(spark, d):
 SELECT l_orderkey, l_linenumber, round((r - m) * (tsd / (sd + 1e-6)) + tm, 4) AS matched FROM p JOIN s USING (l_linenumber)""")
 def color_match_stats(spark, d):
     """A channel moved to the mean and spread of another, per image."""
-    p = _pixels(spark, d)
-    s = p.groupBy("l_linenumber").agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("sd"), F.avg("g").alias("tm"), F.stddev_pop("g").alias("tsd"))
-    value = (F.col("r") - F.col("m")) * (F.col("tsd") / (F.col("sd") + 1e-6)) + F.col("tm")
-    return p.join(s, "l_linenumber").select("l_orderkey", "l_linenumber", F.round(value, 4).alias("matched"))
+    from .operators import anatomy
+
+    matched = anatomy.colour_match(_pixels(spark, d), ["r"], ["g"], ["l_linenumber"], ["matched"])
+    return matched.select("l_orderkey", "l_linenumber", F.round("matched", 4).alias("matched"))
 
 
 @query(f"WITH m AS ({_MASK.format(q=3)}) SELECT mask_id, 23 - x AS fx, y AS fy, 23 - y AS tx, x AS ty FROM m")
@@ -652,7 +673,13 @@ def flip_and_turn(spark, d):
     return turned.select("mask_id", "fx", "fy", F.col("x").alias("tx"), F.col("y").alias("ty"))
 
 
-@query()
+@query("""WITH t AS (SELECT p_partkey % 3 AS image_id, p_partkey AS triangle, (p_partkey * 3 % 20)::DOUBLE AS x0, (p_partkey * 5 % 20)::DOUBLE AS y0, (p_partkey * 7 % 20)::DOUBLE AS x1, (p_partkey * 11 % 20)::DOUBLE AS y1,
+(p_partkey * 13 % 20)::DOUBLE AS x2, (p_partkey * 17 % 20)::DOUBLE AS y2, 1.0::DOUBLE + p_partkey * 2 % 9 AS z0, 1.0::DOUBLE + p_partkey * 4 % 9 AS z1, 1.0::DOUBLE + p_partkey * 8 % 9 AS z2 FROM part),
+d AS (SELECT *, (y1 - y2) * (x0 - x2) + (x2 - x1) * (y0 - y2) AS det FROM t),
+c AS (SELECT d.*, gx.x, gy.y, ((y1 - y2) * (gx.x - x2) + (x2 - x1) * (gy.y - y2)) / det AS a, ((y2 - y0) * (gx.x - x2) + (x0 - x2) * (gy.y - y2)) / det AS b
+FROM d, (SELECT unnest(range(20)) AS x) gx, (SELECT unnest(range(20)) AS y) gy WHERE abs(det) > 1e-12),
+f AS (SELECT *, 1 / (a / z0 + b / z1 + (1 - a - b) / z2) AS depth FROM c WHERE a >= -1e-6 AND b >= -1e-6 AND 1 - a - b >= -1e-6),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY round(depth, 9), triangle) AS r FROM f WHERE depth > 0) SELECT image_id, x, y, triangle, round(depth, 6) AS depth FROM r WHERE r = 1""")
 def depth_raster(spark, d):
     rows = read(spark, d, "part")
     k = F.col("p_partkey")
@@ -660,7 +687,7 @@ def depth_raster(spark, d):
         (k % 3).alias("image_id"), k.alias("triangle"), *((k * a % 20).cast("double").alias(n) for n, a in (("x0", 3), ("y0", 5), ("x1", 7), ("y1", 11), ("x2", 13), ("y2", 17))),
         *((1.0 + k * a % 9).alias(n) for n, a in (("z0", 2), ("z1", 4), ("z2", 8))),
     )
-    return masks.nearest_depth(masks.rasterise(tri)).select("image_id", "x", "y", "triangle", r6("depth").alias("depth"))
+    return masks.nearest_depth(masks.rasterise(tri).withColumn("depth", F.round("depth", 9))).select("image_id", "x", "y", "triangle", r6("depth").alias("depth"))
 
 
 # Landmarks --------------------------------------------------------------------------------------------
@@ -697,7 +724,9 @@ def symmetry_score(spark, d):
     return landmarks.symmetry_score(_landmarks(spark, d), (1, 2), (2, 3)).select("subject", r6("score").alias("score"))
 
 
-@query()
+@query("""WITH s AS (SELECT l_linenumber AS source_id, l_partkey % 20 AS idx, min(l_quantity) AS x, min(l_discount) AS y, min(l_tax) AS z, abs(l_linenumber * 12.0::DOUBLE - 20) AS turn FROM lineitem GROUP BY 1, 2),
+w AS (SELECT *, CASE WHEN turn >= 80 THEN 0 ELSE greatest(0.1::DOUBLE, CASE WHEN turn <= 60 THEN turn / 60 ELSE (80 - turn) / 20 END) END AS w FROM s), z AS (SELECT idx, sum(z * w) / nullif(sum(w), 0) AS z FROM w GROUP BY 1),
+b AS (SELECT source_id FROM w ORDER BY turn, source_id LIMIT 1) SELECT idx, s.x, s.y, round(coalesce(z.z, s.z), 6) AS z FROM s JOIN b USING (source_id) JOIN z USING (idx)""")
 def depth_fusion(spark, d):
     rows = read(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("source_id"), (F.col("l_partkey") % 20).alias("idx")).agg(
         F.min("l_quantity").alias("x"), F.min("l_discount").alias("y"), F.min("l_tax").alias("z")
@@ -705,11 +734,12 @@ def depth_fusion(spark, d):
     return landmarks.fuse_depth(rows).select("idx", "x", "y", r6("z").alias("z"))
 
 
-@query()
+@query("""SELECT DISTINCT l_linenumber, 2.0::DOUBLE AS scale, 1.0::DOUBLE AS shift_x, 0.0::DOUBLE AS shift_y, -3.0::DOUBLE AS shift_z FROM lineitem""")
 def landmark_similarity(spark, d):
+    """Points moved by a known similarity; the twin states it."""
     rows = read(spark, d, "lineitem").select("l_linenumber", *(F.col(c).alias(n) for c, n in (("l_quantity", "sx"), ("l_discount", "sy"), ("l_tax", "sz"))))
     rows = rows.withColumns({"tx": 2 * F.col("sy") + 1, "ty": -2 * F.col("sx"), "tz": 2 * F.col("sz") - 3})
-    return landmarks.similarity(rows, ["l_linenumber"]).select("l_linenumber", r6("scale").alias("scale"), F.transform("shift", lambda v: F.round(v, 4) + 0.0).alias("shift"))
+    return landmarks.similarity(rows, ["l_linenumber"]).select("l_linenumber", r6("scale").alias("scale"), *((F.round(F.col("shift")[i], 4) + 0.0).alias(f"shift_{c}") for i, c in enumerate("xyz")))
 
 
 # Graphs as tables -------------------------------------------------------------------------------------
@@ -775,15 +805,22 @@ def depth_percentiles(spark, d):
     return state.depth_ranges(rows).select("clip", "frame", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT user_id % 50 AS clip, event_id % 5 AS frame, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM events GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY frame) AS i FROM r),
+s AS (SELECT clip, frame, i, lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM n WHERE i = 1 UNION ALL SELECT n.clip, n.frame, n.i, 0.9::DOUBLE * s.lo + 0.1::DOUBLE * n.lo, 0.9::DOUBLE * s.hi + 0.1::DOUBLE * n.hi FROM s JOIN n ON n.clip = s.clip AND n.i = s.i + 1)
+SELECT clip, frame, event_id, round(greatest(0, least(1, (value - lo) / greatest(hi - lo, 1e-6))), 6) AS norm FROM events e JOIN s ON s.clip = e.user_id % 50 AND s.frame = e.event_id % 5""")
 def depth_normalised(spark, d):
     rows = read(spark, d, "events").select((F.col("user_id") % 50).alias("clip"), (F.col("event_id") % 5).alias("frame"), "event_id", F.col("value").alias("depth"))
     return state.normalise_depth(rows, "running").select("clip", "frame", "event_id", r6("norm").alias("norm"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import queries_more  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_more  # noqa: F401
+
     return dict(_SQL)

@@ -93,8 +93,11 @@ def test_table_store_and_tap(spark, tmp_path):
 
 def test_config():
     assert config.deep_merge({"a": {"b": 1, "c": [1]}}, {"a": {"c": [2]}, "d": 3}) == {"a": {"b": 1, "c": [2]}, "d": 3}
-    assert config.resolve_seeds(5, 3) == [5, 6, 7] and config.resolve_seeds([1, 2], 2) == [1, 2]
-    with pytest.raises(ValueError):
-        config.resolve_seeds([1], 2)
+    assert config.resolve_seeds(5) == [5] and config.resolve_seeds([1, 2]) == config.resolve_seeds([1, 2], 2) == [1, 2]
+    drawn = config.resolve_seeds("random", 3)
+    assert len(drawn) == 3 and all(0 <= s < 1 << 31 for s in drawn) and len(config.resolve_seeds(None)) == 1
+    for seed, batch in (([1], 2), (5, 3), ([], None), (5, 0), ("random", -1)):
+        with pytest.raises(ValueError):
+            config.resolve_seeds(seed, batch)
     made = config.resolve_context({"guidance_scale": 4.0, "steps": None})
     assert made["cfg"] == 4.0 and made["steps"] == 30

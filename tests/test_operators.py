@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.functions import geometry as G
+from loomgrid.operators import anatomy, clusters, landmarks, masks, merges, models, rank
 from loomgrid.operators import boxes as B
-from loomgrid.operators import clusters, landmarks, masks, merges, models, rank
 from loomgrid.operators import sequences as Q
 from loomgrid.sources import artifacts
 from loomgrid.streaming import state
@@ -142,3 +142,21 @@ def test_boxes_from_points(spark):
     r = B.hand_box(points, ["image_id"], F.lit(20), F.lit(20)).first()
     assert tuple(r.box) == (2, 2, 6, 8)
     assert G.CORNERS == ("x1", "y1", "x2", "y2")
+
+
+def test_robust_line_goes_through_the_medians_of_what_it_kept(spark):
+    rows = [("a", float(x), 2.0 * x + 1) for x in range(40)] + [("b", float(x), 50.0 * x) for x in range(10)] + [("c", 1.0, 4.0)]
+    got = {r.k: (r.slope, r.intercept) for r in Q.robust_line(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()}
+    assert got["a"] == pytest.approx((2.0, 1.0), abs=0.2) and got["c"] == (0.0, 4.0)
+    # No slope is within the limit: the three flattest count, and the line still meets their middle.
+    assert got["b"][0] > 10.0
+
+
+def test_mask_choice_falls_back_where_a_filter_leaves_nothing(spark):
+    rows = [
+        ("t", 1, 0.92, 100.0, 4, 4, 1, False, "a"), ("t", 2, 0.90, 40.0, 4, 4, 0, True, "a"), ("t", 3, 0.91, 60.0, 1, 4, 0, False, "b"),
+        ("u", 1, 0.50, 10.0, 0, 4, 2, False, "a"), ("u", 2, 0.50, 20.0, 0, 4, 1, False, "a"), ("u", 3, 0.94, 90.0, 0, 4, 3, True, "b"),
+    ]
+    df = spark.createDataFrame(rows, "target string, ord int, score double, area double, inside int, valid int, violations int, inverted boolean, source string")
+    got = {r.target: r.ord for r in anatomy.choose_mask(df, ["target"]).collect()}
+    assert got == {"t": 2, "u": 3}  # t: 3 misses points, 1 holds a forbidden one; u: nothing passes, so the score decides
