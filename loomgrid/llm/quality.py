@@ -41,7 +41,7 @@ FIRST_SHARES = (0.5, 0.5)
 #: Steps at most; an estimate that has not settled by then is taken as it is.
 STEPS = 12
 #: Starts that go on after the first steps, and the change of a log determinant below which an estimate has settled.
-BEST, SETTLED = 2, 1e-3
+BEST, SETTLED = 2, 0.02
 #: Rows by which an estimate is drawn towards the next wider one.
 PRIOR_ROWS = 100
 #: Share of normal documents beyond the cutoff.
@@ -209,32 +209,35 @@ def _starts(parts):
         yield _frame(out)
 
 
-def _concentrate(share: float, first: bool):
-    """One step: from sums by distance class to the estimate over the closest ``share`` of the rows."""
-
-    def run(key, pdf):
-        return _step(key, pdf.sort_values("klass"), share, first)
-
-    return run
+def _concentrate(rows: DataFrame, used: DataFrame, share: float, first: bool) -> DataFrame:
+    """One step: from distance classes to the estimates over the closest ``share`` of each group's rows."""
+    group, klass = [*_KEYS, "start"], F.floor(F.log2(1 + _squared_distance()) * CLASSES).cast("int").alias("klass")
+    classes = rows.join(used, _KEYS).groupBy(*group, klass).agg(*_sums(), F.first("before").alias("before"))
+    # A group's classes are a bounded few, so windows over them are too.
+    upto, total = F.sum("n").over(Window.partitionBy(*group).orderBy("klass")), F.sum("n").over(Window.partitionBy(*group))
+    classes = classes.withColumns({"upto": upto, "total": total})
+    inside = F.col("upto") - F.col("n") < F.ceil(F.lit(share) * F.col("total"))
+    added = [c for c in classes.columns if c[0] in "sp" and c[1:2].isdigit()]
+    sums = classes.groupBy(*group).agg(
+        F.max("total").alias("n"), F.sum(F.when(inside, F.col("n"))).alias("kept"), F.first("before").alias("before"),
+        F.min(F.when(F.col("upto") >= F.ceil(F.col("total") / 2), F.col("klass"))).alias("middle"), *(F.sum(F.when(inside, F.col(c))).alias(c) for c in added),
+    )
+    return sums.mapInPandas(lambda parts: _settled(parts, first), _RAW)
 
 
-def _step(key, pdf, share: float, first: bool):
+def _settled(parts, first: bool):
+    """Raw estimates from the sums of the rows kept, and whether they have settled."""
     p = len(VECTOR)
-    n = pdf["n"].to_numpy()
-    upto = np.cumsum(n)
-    total = int(upto[-1])
-    last = int(np.searchsorted(upto, math.ceil(share * total)))
-    part = pdf.iloc[: last + 1]
-    sums = [sum(map(int, part[f"s{i}"])) for i in range(p)]
-    products = [sum(map(int, part[f"p{i}_{j}"])) for i, j in _PAIRS]
-    kept = int(upto[last])
-    centre, scatter = moments(kept, sums, products)
-    # How far the median squared distance is above that of a chi-square variable.
-    middle = int(np.searchsorted(upto, math.ceil(total / 2)))
-    squared = 2.0 ** ((pdf["klass"].iloc[middle] + 0.5) / CLASSES) - 1
-    scale = max(1.0, squared / (p * (1 - 2 / (9 * p)) ** 3))
-    row = _row(key[:3], key[3], total, kept, centre, scatter, scale, False)
-    return _frame([(*row[:-1], not first and abs(row[-3] - float(pdf["before"].iloc[0])) < SETTLED)])
+    for pdf in parts:
+        out = []
+        for r in pdf.itertuples(index=False):
+            centre, scatter = moments(r.kept, [getattr(r, f"s{i}") for i in range(p)], [getattr(r, f"p{i}_{j}") for i, j in _PAIRS])
+            # How far the median squared distance is above that of a chi-square variable.
+            squared = 2.0 ** ((r.middle + 0.5) / CLASSES) - 1
+            scale = max(1.0, squared / (p * (1 - 2 / (9 * p)) ** 3))
+            row = _row((r.level, r.lang_key, r.source_key), r.start, r.n, r.kept, centre, scatter, scale, False)
+            out.append((*row[:-1], not first and abs(row[-3] - r.before) < SETTLED))
+        yield _frame(out)
 
 
 def shrink(centre, scatter, scale: float, n: int, above: tuple | None, prior_rows: float = PRIOR_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -308,14 +311,10 @@ def estimates(vectors: DataFrame, prior_rows: float = PRIOR_ROWS) -> DataFrame:
     robust = robust.join(rows_.groupBy(*_KEYS).agg(F.array(*signs).alias("signs")), _KEYS)
     raw = cut(robust.mapInPandas(_starts, _RAW), "quality-step")
     drop(medians)
-    klass = F.floor(F.log2(1 + _squared_distance()) * CLASSES).cast("int").alias("klass")
     for k in range(STEPS):
         share = FIRST_SHARES[k] if k < len(FIRST_SHARES) else SHARE
         used = _used(raw, prior_rows).select(*_KEYS, "start", "before", "centre", "inverse")
-        step = (
-            rows.join(used, _KEYS).groupBy(*_KEYS, "start", klass).agg(*_sums(), F.first("before").alias("before"))
-            .groupBy(*_KEYS, "start").applyInPandas(_concentrate(share, k <= len(FIRST_SHARES)), _RAW)
-        )
+        step = _concentrate(rows, used, share, k <= len(FIRST_SHARES))
         if k == len(FIRST_SHARES):  # the best starts get the numbers 0 and on, in every group alike
             place = F.row_number().over(Window.partitionBy(*_KEYS).orderBy("det", "start")) - 1
             step = step.withColumn("start", place).where(F.col("start") < BEST)
