@@ -269,6 +269,7 @@ def encode(
 
     def code(table: pa.Table) -> pa.Table:
         """One part of the distinct-word table: each word is encoded once, for all chunks that have it."""
+        tb.tidy()
         heads, lists = vc.parted(table)
         number: dict[bytes, int] = {}
         places = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in vc.list_words(lists)]

@@ -142,6 +142,7 @@ def shared_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         """Back to each chunk: which of its shingles of a range occur in several documents, and in how many."""
+        tb.tidy()
         base = table.column("base").to_numpy().view(np.uint64)
         known = [pk.unpack_rising(x.as_py()) + b for x, b in zip(table.column("known"), base)]
         times = np.concatenate([pk.unpack(x.as_py()) for x in table.column("times")])

@@ -109,6 +109,7 @@ def _add(pairs: Pairs, buckets: int):
     """The count table of one hash range, handed back to each chunk in the chunk's own order, with numbers from 1."""
 
     def run(table: pa.Table) -> pa.Table:
+        tb.tidy()
         keys = [pairs.opened(k.as_py(), m.as_py()) for k, m in zip(table.column("keys"), table.column("more"))]
         counts = np.concatenate([pk.unpack(x.as_py()) for x in table.column("counts")])
         _, back = np.unique(np.concatenate(keys), return_inverse=True)
@@ -204,10 +205,11 @@ def score(
     ``wide`` has n-grams exchanged as two numbers even where one would do.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def add_words(table: pa.Table) -> pa.Table:
+        tb.tidy()
         heads, lists = vc.parted(table)
         number: dict[bytes, int] = {}
         places = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in vc.list_words(lists)]
@@ -225,6 +227,7 @@ def score(
         return vc.with_heads(heads, lists)
 
     def streams(table: pa.Table) -> pa.Table:
+        tb.tidy()
         head, lists, slot = vc.unite(table)
         made = {name: _column(lists, name)[slot] for name in ("totals", "numbers")}
         columns = {name: head.column(name) for name in ("chunk", "docs", "sizes", "stream")}

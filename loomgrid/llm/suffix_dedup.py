@@ -280,6 +280,7 @@ def _count(level):
     """For a range of hashes: what ``level`` makes of the total number of each, back to the chunks in their order."""
 
     def run(table: pa.Table) -> pa.Table:
+        tb.tidy()
         values = [pk.unpack_rising(x.as_py()) for x in table.column("hashes")]
         times = np.concatenate([pk.unpack(x.as_py()) for x in table.column("times")])
         everything = np.concatenate(values)
@@ -465,6 +466,7 @@ def removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def merge_range(table: pa.Table) -> pa.Table:
         import zstandard
 
+        tb.tidy()
         take = lambda c: [pk.unpack(x.as_py()).astype(np.int64) for x in table.column(c)]
         times = take("times")
         rests = [zstandard.decompress(x.as_py()) for x in table.column("rests")]
