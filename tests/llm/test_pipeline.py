@@ -37,6 +37,29 @@ def test_stages_hold_their_contract(spark, tmp_path):
     assert seen["bpe"].keys() == seen["secrets"].keys() and all(len(r.ids) == r.n_tokens for r in seen["bpe"].values())
 
 
+def test_stages_take_empty_tables_repeats_nulls_and_other_columns(spark, tmp_path):
+    """Each stage keeps the columns, also those named like the operators' own; repeated rows stay one document."""
+    rng = random.Random(2)
+    words = lambda n: " ".join("".join(rng.choice("aeiounrst") for _ in range(5)) for _ in range(n))
+    text = words(30)
+    rows = [(7, text), (7, text), (3, text + " end"), (None, "x"), (None, None), (5, ""), (9, words(40))]
+    schema = "doc_id long, text string, chunk long, key string, rid long, n_words int, ids array<int>, n_chars int"
+    rows = [(i, t, 1, "k", 2, 3, [4], 0) for i, t in rows]
+    spark.createDataFrame([(9, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for part in (rows, []):
+        docs = spark.createDataFrame(part, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            got = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+            if name == "jaccard":
+                assert got == sorted((i or 0, t or "") for i, t, *_ in part if i != 7)
+            else:
+                assert got == sorted((i or 0, t or "") for i, t, *_ in part)
+        assert corpus_pipeline.encode(spark, docs, str(tmp_path)).count() == len(part)
+
+
 def test_registered():
     import __spark_entry__ as entry
 
