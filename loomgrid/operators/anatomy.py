@@ -167,8 +167,8 @@ def eye_score(left: Column, right: Column, face: Column) -> Column:
     centre = lambda b, c: 0.5 * (b[f"{c}1"] + b[f"{c}2"])
     apart = F.abs(centre(right, "x") - centre(left, "x")) / fw
     separation = F.when(apart < 0.20, apart / 0.20).when(apart > 0.70, 0.70 / apart).otherwise(1.0)
-    level = 1.0 - F.least(F.lit(1.0), F.abs(centre(left, "y") - centre(right, "y")) / F.greatest(F.lit(1.0), 0.25 * fh))
-    return S.clamp01(_mean([S.clamp01(size), S.clamp01(alike), S.clamp01(separation), S.clamp01(level)]))
+    slope = F.least(F.lit(1.0), F.abs(centre(left, "y") - centre(right, "y")) / F.greatest(F.lit(1.0), 0.25 * fh))
+    return S.clamp01((S.clamp01(size) + S.clamp01(alike) + S.clamp01(separation) + 1.0 - slope) / 4.0)
 
 
 def choose_mask(candidates: DataFrame, keys: list[str], fraction: float | None = 0.8, target: float = 0.25, source: str | None = None) -> DataFrame:

@@ -815,12 +815,12 @@ def depth_normalised(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import queries_more  # noqa: F401  registers its own
+    from . import queries_more, queries_wiring  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import queries_more  # noqa: F401
+    from . import queries_more, queries_wiring  # noqa: F401
 
     return dict(_SQL)
