@@ -43,11 +43,15 @@ from . import packing as pk
 from . import textbatch as tb
 from .chunks import chunk_table, open_text, slices
 from .components import components
-from .store import cut, drop
+from .store import cut, drop, files_for
 
 SHINGLE = 5
 PERCENT = 75
 CHUNK_BYTES = 6 << 20
+#: Sets with their prefixes that a file holds, about.
+SETS_IN_FILE = 4096
+#: Bytes of compressed text whose shingles one hash range counts, about.
+RANGE_BYTES = 4 << 20
 #: Bytes of shared shingles that one bin or block holds, about.
 BLOCK_BYTES = 8 << 20
 LEAF, FAN = 16, 8
@@ -114,12 +118,13 @@ def shared_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rare ones first, of which two sets that link have one in common.
     """
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks = chunk_table(docs, CHUNK_BYTES, "shingle-chunks")
     # Shingles are counted by so many leading bits of their hashes that few of one document meet others by chance.
     whole = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     drop_bits = np.uint64(max(0, 64 - int(whole).bit_length() - 10))
+    # Each chunk sends a packet to each range, so there are no more ranges than tasks or their size asks for.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), whole // RANGE_BYTES)
 
     def scan(batches):
         for batch in batches:
@@ -382,12 +387,14 @@ def link_components(sets: DataFrame, tokens: DataFrame, percent: int = PERCENT,
     """(id, component) of the sets (id, n, held, prefix) that link with another one; ``tokens`` has (id, n, tokens)."""
     rows = sets.select("id", F.explode("prefix").alias("token"))
     leads = rows.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("token", "lead")
-    near = cut(rows.join(leads, "token").where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("times")), "near")
+    many_sets = sets.count()
+    near = rows.join(leads, "token").where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("times"))
+    near = cut(near.coalesce(files_for(many_sets, SETS_IN_FILE)), "near")
     # A family: sets that chains of shared prefix shingles connect. Links never leave a family.
     family = components(near, "id", "lead")
     named = family.withColumnRenamed("component", "family")
     sized = named.join(sets.select("id", "held"), "id").groupBy("family").agg(F.sum(8 * F.col("held") + 64).alias("weight"), F.count("*").alias("many"))
-    sized = cut(sized, "family-sizes")
+    sized = cut(sized.coalesce(files_for(many_sets)), "family-sizes")
     total, widest, many = sized.agg(F.sum("weight"), F.max("weight"), F.sum("many")).first()
     if not total:
         drop(near, family, sized)
@@ -419,7 +426,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     may = every.where("key1 is not null")
     # Of equal sets the first stands for all, and the others' shingles are not exchanged.
     sets = may.groupBy("key1", "key2", "n").agg(F.min("rid").alias("id"), F.min_by(F.struct("held", "prefix"), "rid").alias("s"))
-    sets = cut(sets.select("key1", "key2", "n", "id", "s.*"), "classes")
+    rows = every.count()
+    sets = cut(sets.select("key1", "key2", "n", "id", "s.*").coalesce(files_for(rows, SETS_IN_FILE)), "classes")
     member = may.select("rid", "doc_id", "key1", "key2", "n").join(sets.drop("held", "prefix"), ["key1", "key2", "n"]).select("rid", "doc_id", "id")
     found = link_components(sets, may.select(F.col("rid").alias("id"), "n", "tokens"), percent, block_bytes)
     member = member.join(found, "id", "left").select("rid", "doc_id", F.coalesce("component", "id").alias("class"))
@@ -428,10 +436,12 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     again = cut(every.select("rid", "doc_id").join(again, "doc_id").select("rid", "lead"), "repeated")
     if again.limit(1).count():
         links = member.select(F.col("rid").alias("a"), F.col("class").alias("b")).union(again.select("rid", "lead"))
+        links = cut(links, "all-links")
         joined = components(links)
+        drop(links)
         member = every.select("rid", "doc_id").join(joined, F.col("rid") == F.col("id")).select("rid", "doc_id", F.col("component").alias("class"))
     least = member.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("many")).where("many > 1")
-    named = cut(member.join(least, "class").select("rid", "component_id"), "named")
+    named = cut(member.join(least, "class").select("rid", "component_id").coalesce(files_for(rows)), "named")
     drop(sets, found, again)
     return every.select("rid", "doc_id", "n").join(named, "rid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")

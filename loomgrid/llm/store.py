@@ -34,6 +34,11 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def files_for(rows: int, each: int = 1 << 16) -> int:
+    """Files of a table of ``rows`` rows: one for ``each`` rows, at least 16; for ``coalesce``, which never adds any."""
+    return max(16, rows // each)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
